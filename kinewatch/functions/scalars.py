@@ -130,14 +130,14 @@ def in_group(name: Column, members: tuple[str, ...]) -> Column:
     return F.lower(name).isin(*[m.lower() for m in members]) if members else F.lit(False)
 
 
-def strictly_after(start: Column, delay: float) -> Column:
+def strictly_after(start: Column, delay: float | Column) -> Column:
     """Least double x with x - start > delay, so that an equi/range search keeps that comparison.
 
     start + delay may miss it by a rounding step, so the neighbors on both sides are tried too.
     """
-    base = start + F.lit(float(delay))
+    base = start + delay
     steps = F.array(*[base * F.lit(1.0 + k * 2.220446049250313e-16) for k in (-2, -1, 0, 1, 2, 3)])
-    return F.array_min(F.filter(steps, lambda x: x - start > F.lit(float(delay))))
+    return F.array_min(F.filter(steps, lambda x: x - start > delay))
 
 
 # Reason texts of a state change.

@@ -54,21 +54,33 @@ def temporal_features(obs: DataFrame, width: float | None = None,
     }).drop("_p", "width", "height", "center_x", "center_y")
 
 
-def smooth_features(features: DataFrame, window: int, width: float | None = None,
-                    keys: list[str] = TRACK) -> DataFrame:
-    """Mean of the last `window` moving rows; the first observation stays raw and is not averaged."""
-    if window <= 0:
+def smooth_features(features: DataFrame, window: int | Column, width: float | None = None,
+                    keys: list[str] = TRACK, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    """Mean of the last `window` moving rows; the first observation stays raw and is not averaged.
+
+    In a sweep `window` is a column and `sizes` lists the values it takes.
+    """
+    sizes = sizes or (window,)
+    if min(sizes) <= 0:
         raise ValueError("the smoothing window must be positive")
     part = keys
     if width is not None:
-        features = with_halo(features, keys, T, window - 1, width) if window > 1 else (
+        n = max(sizes) - 1
+        features = with_halo(features, keys, T, n, width) if n else (
             features.withColumns({"_slice": slice_of(F.col(T), width), "_halo": F.lit(False)}))
         part = [*keys, "_slice"]
-    w = Window.partitionBy(*part).orderBy(T).rowsBetween(-(window - 1), 0)
-    means = {c: F.avg(F.when(~F.col("is_first"), F.col(c))).over(w) for c in SMOOTHED}
-    out = features.withColumns(
-        {c: F.when(F.col("is_first"), F.col(c)).otherwise(m) for c, m in means.items()})
-    return out if width is None else out.filter("not _halo").drop("_halo", "_slice")
+
+    def mean(c: str) -> Column:
+        moving, out = F.when(~F.col("is_first"), F.col(c)), None
+        for n in sizes:
+            w = Window.partitionBy(*part).orderBy(T).rowsBetween(-(n - 1), 0)
+            m = F.avg(moving).over(w)
+            out = m if out is None else F.when(window == n, m).otherwise(out)
+        return out
+
+    smoothed = features.withColumns(
+        {c: F.when(F.col("is_first"), F.col(c)).otherwise(mean(c)) for c in SMOOTHED})
+    return smoothed if width is None else smoothed.filter("not _halo").drop("_halo", "_slice")
 
 
 def monotonicity_violations(df: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
@@ -94,17 +106,17 @@ def with_signals(features: DataFrame, groups: PostureGroups, th: Thresholds) ->
     })
 
 
-def track_expiry(obs: DataFrame, frames: DataFrame, timeout: float,
-                 width: float | None = None) -> DataFrame:
+def track_expiry(obs: DataFrame, frames: DataFrame, timeout: float | Column,
+                 width: float | None = None, keys: list[str] = TRACK) -> DataFrame:
     """First frame beyond each gap longer than the timeout, if the track is not back by then."""
-    ends = neighbor(obs.select(*TRACK, F.col(T).cast("double").alias("last_seen")), TRACK,
+    ends = neighbor(obs.select(*keys, F.col(T).cast("double").alias("last_seen")), keys,
                     "last_seen", {"_next": F.col("last_seen")}, width, following=True)
     gaps = ends.filter(F.col("_next").isNull() | (F.col("_next") - F.col("last_seen") > timeout))
     hit = nearest_frame(gaps, frames, SCOPE, strictly_after(F.col("last_seen"), timeout), "_f",
                         ["frame_id", T], width)
     return hit.filter(
         F.col("_f").isNotNull() & (F.col("_next").isNull() | (F.col("_f")[T] < F.col("_next")))
-    ).select(*TRACK, "last_seen", F.col("_f")["frame_id"].alias("frame_id"),
+    ).select(*keys, "last_seen", F.col("_f")["frame_id"].alias("frame_id"),
              F.col("_f")[T].alias(T), (F.col("_f")[T] - F.col("last_seen")).alias("gap"))
 
 
@@ -116,19 +128,15 @@ _OUT = ("array<struct<frame_id:bigint,t:double,before:int,after:int,elapsed:doub
         "speed:boolean,falling:boolean,lying:boolean,expired:boolean,gap:double>>")
 
 
-def _held(th: Thresholds, elapsed: Column, seconds: float) -> Column:
-    return elapsed + 1e-9 >= F.lit(float(seconds))
-
-
 def _next_state(s: Column, r: Column, elapsed: Column, th: Thresholds) -> Column:
     live = s.isin(SUSPECTED, FALLING, LYING, RECOVERING)
-    suspect = _held(th, elapsed, th.suspect_duration)
+    suspect = elapsed + 1e-9 >= th.suspect_duration
     return (
         F.when(r["expired"], F.when(live, F.lit(RESOLVED)).otherwise(s))
         .when((s == UPRIGHT) & r["trigger"], F.lit(SUSPECTED))
         .when((s == SUSPECTED) & r["upright"] & ~r["fall"], F.lit(UPRIGHT))
         .when((s == SUSPECTED) & suspect, F.lit(FALLING))
-        .when((s == FALLING) & (r["lying"] | _held(th, elapsed, th.lying_duration)), F.lit(LYING))
+        .when((s == FALLING) & (r["lying"] | (elapsed + 1e-9 >= th.lying_duration)), F.lit(LYING))
         .when((s == LYING) & r["upright"], F.lit(RECOVERING))
         .when((s == RECOVERING) & r["fall"], F.lit(FALLING))
         .when((s == RECOVERING) & suspect & r["upright"], F.lit(RESOLVED))
@@ -186,6 +194,8 @@ def motion_states(signals: DataFrame, th: Thresholds, expiry: DataFrame | None =
                   width: float | None = None, keys: list[str] = TRACK) -> DataFrame:
     """State changes per track, from rows with signals and optional expiry rows.
 
+    In a sweep the durations are columns, and `keys` then includes them.
+
     width=None folds each track's sorted array. With a width, tracks are cut into time slices: every
     slice is folded in parallel from each state it could start in, one small row per slice is chained
     per track, and the slices are folded once more from their known start.
@@ -197,7 +207,7 @@ def motion_states(signals: DataFrame, th: Thresholds, expiry: DataFrame | None =
             *keys, _fold(F.col("rows"), F.lit(UPRIGHT), F.col("rows")[0]["t"], th, True).alias("r"))
         return _changes(done, keys)
 
-    longest = max(th.suspect_duration, th.lying_duration) + 1e-6
+    longest = th.longest + 1e-6
     if width <= longest:
         raise ValueError("a slice must be longer than the longest state duration")
     part = [*keys, "_slice"]
@@ -220,23 +230,27 @@ def motion_states(signals: DataFrame, th: Thresholds, expiry: DataFrame | None =
     hypotheses = groups.join(recent, part, "left").select(
         *part, F.col("rows")[0]["t"].alias("t0"), ends.alias("_ends"))
     flat = hypotheses.select(
-        *part, "t0", F.transform("_ends", lambda x: x["s0"]).alias("s0"),
+        *part, "t0", _seconds(th.suspect_duration).alias("suspect"),
+        _seconds(th.lying_duration).alias("lying"), F.transform("_ends", lambda x: x["s0"]).alias("s0"),
         F.transform("_ends", lambda x: x["e0"]).alias("e0"),
         F.transform("_ends", lambda x: x["to"]["s"]).alias("s1"),
         F.transform("_ends", lambda x: x["to"]["e"]).alias("e1"))
-    known = chain_slices(flat, keys, th)
+    known = chain_slices(flat, keys)
     done = groups.join(known, part).select(
         *keys, _fold(F.col("rows"), F.col("state"), F.col("entered"), th, True).alias("r"))
     return _changes(done, keys)
 
 
-def chain_slices(flat: DataFrame, keys: list[str], th: Thresholds) -> DataFrame:
+def _seconds(value: float | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def chain_slices(flat: DataFrame, keys: list[str]) -> DataFrame:
     """Start state of every slice, from one row per slice with the outcome of every start.
 
     Rows stream through in track and slice order; only the running state is held.
     """
-    need = {SUSPECTED: th.suspect_duration, FALLING: th.lying_duration,
-            RECOVERING: th.suspect_duration}
+    need = {SUSPECTED: "suspect", FALLING: "lying", RECOVERING: "suspect"}
     never = float("-inf")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,7 +263,8 @@ def chain_slices(flat: DataFrame, keys: list[str], th: Thresholds) -> DataFrame:
                     key, state, entered = here, UPRIGHT, row.t0
                 states.append(state)
                 entries.append(entered)
-                open_guard = state in need and row.t0 - entered + 1e-9 < need[state]
+                open_guard = state in need and (
+                    row.t0 - entered + 1e-9 < getattr(row, need[state]))
                 wanted = entered if open_guard else never
                 for s0, e0, s1, e1 in zip(row.s0, row.e0, row.s1, row.e1):
                     if s0 == state and e0 == wanted:

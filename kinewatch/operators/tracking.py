@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from kinewatch.operators.slices import carry, neighbor
+from kinewatch.operators.lineage import cut
+from kinewatch.operators.slices import carry, neighbor, slice_of
 from kinewatch.params import SCOPE, TrackingParams
 
 T = "timestamp_seconds"
@@ -26,47 +28,59 @@ def repair_timestamps(frames: DataFrame, fps: float | None, width: float | None
                       keys: list[str] = SCOPE) -> tuple[DataFrame, DataFrame]:
     """(repaired, rejected). A time not after the previous accepted one becomes frame_id / fps.
 
-    The latest accepted time is known outright wherever a frame's own time (or its fps time) exceeds
-    everything seen so far; only the frames between two such places depend on each other, and those
-    short runs are folded.
+    Every row depends on the accepted time before it. With a width (in frames) a scope is cut into
+    slices that start from a guess, the highest time so far. Slices whose guess differs from the end
+    of the slice before are run again from that end until all agree, which makes the result exact.
     """
-    own = F.col(T).cast("double")
-    spare = F.col("frame_id") / F.lit(float(fps)) if fps and fps > 0 else F.lit(None).cast("double")
-    rows = frames.withColumns({"_own": own, "_spare": spare})
-    prev = carry(rows, keys, "frame_id", {
-        "_top": ("max", F.col("_own")), "_any": ("max", F.greatest("_own", "_spare"))},
-        width, inclusive=False)
-    any_before = F.coalesce("_any", F.lit(-1.0))
-    clear = F.col("_own") > any_before
-    stuck = (F.col("_own") <= F.col("_top")) & (F.col("_spare") > any_before)
-    known = F.when(clear, F.col("_own")).when(stuck, F.col("_spare"))
-    marked = prev.withColumn("_known", known)
-    marked = carry(marked, keys, "frame_id",
-                   {"_run": ("last", F.when(F.col("_known").isNotNull(), F.col("frame_id"))),
-                    "_base": ("last", F.col("_known"))}, width)
-    done = marked.filter("_known is not null").withColumn("_value", F.col("_known"))
-    # frames whose outcome depends on their predecessors, one short array per run
-    entry = F.struct("frame_id", "_own", "_spare", F.struct(*frames.columns).alias("row"))
-    runs = marked.filter("_known is null").groupBy(*keys, "_run", "_base").agg(
-        F.array_sort(F.collect_list(entry), lambda a, b: F.when(
-            a["frame_id"] < b["frame_id"], -1).otherwise(1)).alias("e"))
-    row_type = frames.select(F.struct(*frames.columns).alias("row")).schema["row"].dataType
-    out_type = f"array<struct<row:{row_type.simpleString()},_value:double>>"
-
-    def step(acc, e):
-        top = acc["m"]
-        v = F.when(e["_own"] > top, e["_own"]).when(e["_spare"] > top, e["_spare"])
-        added = F.concat(acc["out"], F.array(
-            F.struct(e["row"].alias("row"), v.alias("_value")))).cast(out_type)
-        return F.struct(F.coalesce(v, top).alias("m"), added.alias("out"))
-
-    start = F.struct(F.coalesce("_base", F.lit(-1.0)).alias("m"),
-                     F.array().cast(out_type).alias("out"))
-    rest = runs.select(F.explode(F.aggregate("e", start, step)["out"]).alias("x")).select(
-        "x.row.*", "x._value")
-    both = done.select(*frames.columns, "_value").unionByName(rest)
-    good = both.filter("_value is not null").withColumn(T, F.col("_value")).drop("_value")
-    return good, both.filter("_value is null").drop("_value")
+    part = [*keys, "_slice"]
+    place = slice_of(F.col("frame_id"), width) if width else F.lit(0).cast("long")
+    rows = frames.withColumn("_slice", place)
+    own = F.max(F.col(T).cast("double"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*part).agg(own.alias("_m")).select(
+        *part, F.coalesce(F.max("_m").over(before), F.lit(-1.0)).alias("_start"))
+    if width is None:
+        done = _timed(rows.join(starts, part), fps, part)
+    else:
+        starts = cut(starts)
+        done = cut(_timed(rows.join(starts, part), fps, part))
+        while True:
+            ends = done.groupBy(*part).agg(F.greatest(F.first("_start"), F.max("_value")).alias("_end"))
+            follow = Window.partitionBy(*keys).orderBy("_slice")
+            want = ends.select(*part, F.lag("_end").over(follow).alias("_want"))
+            wrong = cut(starts.join(want, part).filter("_want <> _start").select(
+                *part, F.col("_want").alias("_start")))
+            if wrong.isEmpty():
+                break
+            keep = done.join(wrong.select(*part), part, "left_anti")
+            again = _timed(rows.join(wrong, part), fps, part)
+            done = cut(keep.unionByName(again))
+            starts = cut(starts.join(wrong.select(*part), part, "left_anti").unionByName(wrong))
+    good = done.filter("_value is not null").withColumn(T, F.col("_value"))
+    bad = done.filter("_value is null")
+    return good.select(*frames.columns), bad.select(*frames.columns)
+
+
+def _timed(rows: DataFrame, fps: float | None, part: list[str]) -> DataFrame:
+    """Adds `_value`, the accepted time (null where none fits); rows stream in frame order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, -1.0
+        for pdf in batches:
+            values = []
+            for here, frame, t, start in zip(
+                    zip(*[pdf[c] for c in part]), pdf["frame_id"], pdf[T], pdf["_start"]):
+                if here != key:
+                    key, last = here, start
+                if not t > last and fps and fps > 0:
+                    t = frame / fps
+                ok = t > last
+                last = t if ok else last
+                values.append(t if ok else None)
+            yield pdf.assign(_value=pd.array(values, dtype="Float64"))
+
+    ordered = rows.repartition(*part).sortWithinPartitions(*part, "frame_id")
+    return ordered.mapInPandas(run, StructType(ordered.schema.fields).add("_value", "double"))
 
 
 class Associator:

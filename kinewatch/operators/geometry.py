@@ -95,8 +95,8 @@ def with_bbox_geometry(df: DataFrame) -> DataFrame:
 
 
 def crop_rect(df: DataFrame) -> DataFrame:
-    """Whole-pixel crop of the box inside its frame; empty crops are dropped."""
-    out = df.withColumns({
+    """Whole-pixel crop of the box inside its frame; missing boxes and empty crops are dropped."""
+    out = df.dropna(subset=["x1", "y1", "x2", "y2"]).withColumns({
         "crop_x1": F.greatest(F.lit(0), half_even(F.col("x1"))),
         "crop_y1": F.greatest(F.lit(0), half_even(F.col("y1"))),
         "crop_x2": F.least(F.col("frame_width").cast("long"), half_even(F.col("x2"))),

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinewatch.operators.lineage import cut
 from kinewatch.operators.slices import carry, neighbor, slice_of
@@ -80,7 +80,7 @@ def _timed(rows: DataFrame, fps: float | None, part: list[str]) -> DataFrame:
             yield pdf.assign(_value=pd.array(values, dtype="Float64"))
 
     ordered = rows.repartition(*part).sortWithinPartitions(*part, "frame_id")
-    return ordered.mapInPandas(run, StructType(ordered.schema.fields).add("_value", "double"))
+    return ordered.mapInPandas(run, StructType([*ordered.schema.fields, StructField("_value", DoubleType())]))
 
 
 class Associator:

@@ -51,7 +51,12 @@ def _lines(spark: SparkSession, path: str, stream: bool) -> DataFrame:
 def read_detections(spark: SparkSession, path: str, tracked: bool = False,
                     stream: bool = False) -> tuple[DataFrame, DataFrame]:
     """Detection JSON lines, with the box as four columns."""
-    good, bad = _strict_lines(_lines(spark, path, stream), S.TRACKED if tracked else S.DETECTION)
+    return parse_detections(_lines(spark, path, stream), tracked)
+
+
+def parse_detections(lines: DataFrame, tracked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same from a table of (file, value) lines."""
+    good, bad = _strict_lines(lines, S.TRACKED if tracked else S.DETECTION)
     box = F.col("bbox_xyxy")
     names = ["x1", "y1", "x2", "y2"]
     out = good.withColumns({n: F.get(box, F.lit(i)) for i, n in enumerate(names)})

@@ -18,10 +18,8 @@ SUBJECTS = {
 
 def partition_of(subject: Column, subjects: dict[str, tuple[int, ...]] = SUBJECTS) -> Column:
     """Partition name of a subject, null for a subject no partition names."""
-    out = F.lit(None).cast("string")
-    for name, members in subjects.items():
-        out = F.when(subject.isin(*members), F.lit(name)).otherwise(out)
-    return out
+    pairs = [F.lit(x) for name, members in subjects.items() for m in members for x in (m, name)]
+    return F.try_element_at(F.create_map(*pairs), subject.cast("int"))
 
 
 def parse_clip_path(files: DataFrame, prefix: str = "fall29/") -> tuple[DataFrame, DataFrame]:
@@ -29,10 +27,8 @@ def parse_clip_path(files: DataFrame, prefix: str = "fall29/") -> tuple[DataFram
     path = portable_path(F.col("relative_path"))
     pattern = r"(?:^|/)SBJ_(\d+)_LOC(\d+)(?:/|$)"
     rows = files.withColumn("relative_path", path).withColumns({
-        "subject_id": F.try_to_number(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")),
-                                      F.lit("999999999")).cast("int"),
-        "location_id": F.try_to_number(F.nullif(F.regexp_extract(path, pattern, 2), F.lit("")),
-                                       F.lit("999999999")).cast("int"),
+        "subject_id": F.regexp_extract(path, pattern, 1).try_cast("int"),
+        "location_id": F.regexp_extract(path, pattern, 2).try_cast("int"),
         "label": F.lower(F.substring_index(path, "/", 1)),
         "video_id": F.concat(F.lit(prefix), F.regexp_replace(path, r"\.[^./]+$", "")),
     })
@@ -47,7 +43,7 @@ def parse_subject_folder(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
     label = F.lower(F.regexp_extract(path, pattern, 2))
     rows = files.withColumn("relative_path", path).withColumns({
-        "subject_id": F.try_to_number(number, F.lit("999999999")).cast("int"), "label": label,
+        "subject_id": number.try_cast("int"), "label": label,
         "video_id": F.concat(F.lit("subject-"), number, F.lit("/"), label, F.lit("/"),
                              F.regexp_extract(path, pattern, 3))})
     return (rows.filter(F.col("subject_id").isNotNull()),
@@ -57,18 +53,17 @@ def parse_subject_folder(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedupe_clips(clips: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept, excluded, conflicts): the lowest path per content stays.
 
-    Content found under different subject, label or partition is a conflict. The kept path is an
+    Content found under different subject, label or partition is a conflict. The kept row is an
     aggregate, so a content with very many copies combines before the shuffle.
     """
     who = F.struct("subject_id", "label", "partition")
     best = clips.groupBy("sha256").agg(
+        F.min_by(F.struct(*clips.columns), "relative_path").alias("row"),
         F.min("relative_path").alias("kept"), F.min(who).alias("_lo"), F.max(who).alias("_hi"))
-    rows = clips.join(best.select("sha256", "kept"), "sha256")
-    kept = rows.filter(F.col("relative_path") == F.col("kept")).drop("kept")
-    excluded = rows.filter(F.col("relative_path") != F.col("kept")).select(
-        "sha256", "kept", F.col("relative_path").alias("excluded"))
+    excluded = clips.select("sha256", F.col("relative_path").alias("excluded")).join(
+        best.select("sha256", "kept"), "sha256").filter("excluded <> kept")
     conflicts = best.filter(F.col("_lo") != F.col("_hi")).select("sha256")
-    return kept, excluded, conflicts
+    return best.select("row.*"), excluded, conflicts
 
 
 def first_n_per_group(clips: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -287,7 +287,8 @@ def state_name(code: Column) -> Column:
 
 
 def _changes(done: DataFrame, keys: list[str]) -> DataFrame:
-    c = done.select(*keys, F.explode("r.out").alias("c"))
+    # a plain explode would add a filter on the array's size, and run the fold a second time for it
+    c = done.select(*keys, F.explode_outer("r.out").alias("c")).filter("c is not null")
     before, after = state_name(F.col("c.before")), state_name(F.col("c.after"))
     return c.select(
         *keys, F.col("c.frame_id").alias("frame_id"), F.col("c.t").alias(T),

@@ -66,15 +66,19 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.parse_json(text))
 
 
-def clip_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Confusion counts and ratios per group; a ratio without denominator is null."""
+def clip_metrics(rows: DataFrame, by: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
+    """Confusion counts and ratios per group; a ratio without denominator is null.
+
+    `extra` aggregates are taken in the same pass.
+    """
     e, p = F.col("expected_fall"), F.col("predicted_fall")
     out = rows.groupBy(*by).agg(
         F.count("*").alias("clips"),
         F.count_if(e & p).alias("true_positive_clips"),
         F.count_if(~e & p).alias("false_positive_clips"),
         F.count_if(e & ~p).alias("false_negative_clips"),
-        F.count_if(~e & ~p).alias("true_negative_clips"))
+        F.count_if(~e & ~p).alias("true_negative_clips"),
+        *[c.alias(n) for n, c in (extra or {}).items()])
     tp, fp = F.col("true_positive_clips"), F.col("false_positive_clips")
     fn, tn = F.col("false_negative_clips"), F.col("true_negative_clips")
     out = out.withColumns({
@@ -180,28 +184,35 @@ def report_violations(headers: DataFrame, rows: DataFrame, selected: DataFrame,
         F.when(F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in rules.items()]))
     out = [headers.select(*KEY, F.explode(hit).alias("rule"), none.alias("detail"))]
 
-    # one pass over the clip rows
+    # one pass over the clip rows: row rules, and the metrics to compare with the saved ones
     bad = {
         "row_in_other_partition": ~F.col("partition").eqNullSafe(F.lit(partition)),
         "bad_video_id": F.coalesce(F.length("video_id"), F.lit(0)) == 0,
         "label_not_boolean": F.col("expected_fall").isNull() | F.col("predicted_fall").isNull(),
     }
-    per = rows.groupBy(*KEY).agg(*[F.count_if(cond).alias(n) for n, cond in bad.items()])
-    found = F.filter(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in bad]),
-                     lambda x: x["n"] > 0)
-    out.append(per.select(*KEY, F.explode(found).alias("x")).select(
-        *KEY, "x.rule", F.col("x.n").cast("string").alias("detail")))
-    out.append(headers.join(rows, KEY, "left_anti").select(
-        *KEY, F.lit("no_clip_rows").alias("rule"), none.alias("detail")))
+    again = clip_metrics(rows, KEY, {n: F.count_if(cond) for n, cond in bad.items()})
+    now = {n: F.col(n) for n in (*COUNTS, *RATIOS)}
+    saved = {n: F.col(f"metrics.{n}") for n in (*COUNTS, *RATIOS)}
+    same = F.lit(True)
+    for n in COUNTS:
+        same = same & saved[n].eqNullSafe(now[n])
+    for n in RATIOS:
+        same = same & _close(saved[n], now[n])
+    both = headers.select(*KEY, "metrics").join(again, KEY, "left")
+    found = F.array_compact(F.array(
+        *[F.when(F.col(n) > 0, F.struct(F.lit(n).alias("rule"), F.col(n).cast("string").alias("detail")))
+          for n in bad],
+        F.when(F.col("clips").isNull(), F.struct(F.lit("no_clip_rows").alias("rule"), none.alias("detail")))
+        .when(~same, F.struct(F.lit("metrics_differ").alias("rule"), none.alias("detail")))))
+    out.append(both.select(*KEY, F.explode(found).alias("x")).select(*KEY, "x.rule", "x.detail"))
 
     ids = rows.groupBy(*KEY, "video_id").agg(F.count("*").alias("n"))
-    out.append(ids.filter("n > 1").select(
-        *KEY, F.lit("duplicate_video_id").alias("rule"), F.col("video_id").alias("detail")))
     listed = selected.groupBy(*KEY, "video_id").agg(F.count("*").alias("m"))
-    wrong = ids.join(listed, [*KEY, "video_id"], "full").filter(
-        F.coalesce("n", F.lit(0)) != F.coalesce("m", F.lit(0)))
-    out.append(wrong.select(
-        *KEY, F.lit("selected_ids_differ").alias("rule"), F.col("video_id").alias("detail")))
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    wrong = F.array_compact(F.array(F.when(n > 1, F.lit("duplicate_video_id")),
+                                    F.when(n != m, F.lit("selected_ids_differ"))))
+    out.append(ids.join(listed, [*KEY, "video_id"], "full").select(
+        *KEY, F.explode(wrong).alias("rule"), F.col("video_id").alias("detail")))
     after = selected.select(*KEY, (F.col("position") - 1).alias("position"),
                             F.col("video_id").alias("_next"))
     out.append(selected.join(after, [*KEY, "position"]).filter("_next < video_id").select(
@@ -215,19 +226,6 @@ def report_violations(headers: DataFrame, rows: DataFrame, selected: DataFrame,
     out.append(headers.select(*KEY).join(hollow, "cycle_id").select(
         *KEY, F.lit("empty_partition").alias("rule"), "detail"))
 
-    again = clip_metrics(rows.na.drop(subset=["expected_fall", "predicted_fall"]), KEY)
-    now = {n: F.col(f"again.{n}") for n in (*COUNTS, *RATIOS)}
-    saved = {n: F.col(f"metrics.{n}") for n in (*COUNTS, *RATIOS)}
-    same = F.lit(True)
-    for n in COUNTS:
-        same = same & saved[n].eqNullSafe(now[n])
-    for n in RATIOS:
-        same = same & _close(saved[n], now[n])
-    both = headers.select(*KEY, "metrics").join(
-        again.select(*KEY, F.struct(*COUNTS, *RATIOS).alias("again")), KEY)
-    out.append(both.filter(~same).select(
-        *KEY, F.lit("metrics_differ").alias("rule"), none.alias("detail")))
-
     total = out[0]
     for part in out[1:]:
         total = total.unionByName(part)

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 200_000
+MAX_GROUP_ROWS = 50_000
 SLICE_SECONDS = 600.0
+SLICE_FRAMES = 20_000
 
 
 def slice_width(df: DataFrame, keys: list[str], width: float = SLICE_SECONDS,
@@ -148,3 +149,11 @@ def nearest_frame(probes: DataFrame, frames: DataFrame, keys: list[str], at: Col
     both = carry(left.unionByName(right), keys, "_t", {"_hit": ("last", F.col("_f"))}, width,
                  tie=["_k"], descending=not backward)
     return both.filter("_k = 1").select("_p.*", F.col("_hit").alias(name))
+
+
+MAX_BROADCAST_ROWS = 10_000
+
+
+def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcasts a table that a count shows to be short; a longer one is left to Spark."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

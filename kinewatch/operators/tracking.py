@@ -115,37 +115,42 @@ class Associator:
                 out.append((r, c))
         return out
 
+    def forget(self, frame: int) -> None:
+        """Drops tracks lost for longer than the buffer."""
+        live = frame - self.seen <= self.p.lost_track_buffer
+        self.boxes, self.ids = self.boxes[live], self.ids[live]
+        self.seen, self.hits = self.seen[live], self.hits[live]
+
+    def restore(self, boxes: np.ndarray, ids: np.ndarray, seen: np.ndarray, hits: np.ndarray) -> None:
+        self.boxes, self.ids, self.seen, self.hits = boxes, ids, seen, hits
+
     def step(self, frame: int, boxes: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Track id per detection, -1 where none is assigned."""
         if len(boxes) >= MAX_PER_FRAME:
             raise ValueError("too many detections in one frame for the track numbering")
-        live = frame - self.seen <= self.p.lost_track_buffer
-        self.boxes, self.ids = self.boxes[live], self.ids[live]
-        self.seen, self.hits = self.seen[live], self.hits[live]
+        self.forget(frame)
         ids = np.full(len(boxes), -1, dtype=np.int64)
+        taken = np.zeros(len(boxes), dtype=bool)
         strong = np.nonzero(scores >= self.p.track_activation_threshold)[0]
         weak = np.nonzero((scores > LOW_SCORE) & (scores < self.p.track_activation_threshold))[0]
-        free = np.arange(len(self.ids))
         recent = self.seen >= frame - 1
-        for dets, tracks, limit, fuse in (
-            (strong, free, self.p.minimum_matching_threshold, True),
-            (weak, free[recent], SECOND_STAGE_COST, False),
+        for dets, pool, limit, fuse in (
+            (strong, np.ones(len(self.ids), dtype=bool), self.p.minimum_matching_threshold, True),
+            (weak, recent, SECOND_STAGE_COST, False),
         ):
-            tracks = np.array([t for t in tracks if self.seen[t] != frame], dtype=int)
+            tracks = np.nonzero(pool & (self.seen != frame))[0]
             if not len(dets) or not len(tracks):
                 continue
             like = self._iou(self.boxes[tracks], boxes[dets])
             cost = 1.0 - (like * scores[dets][None, :] if fuse else like)
             for r, c in self._pairs(cost, limit):
                 t, d = tracks[r], dets[c]
-                self.boxes[t], self.seen[t] = boxes[d], frame
-                self.hits[t] += 1
+                self.boxes[t], self.seen[t], taken[d] = boxes[d], frame, True
+                self.hits[t] = min(self.hits[t] + 1, self.p.minimum_consecutive_frames)
                 if self.hits[t] >= self.p.minimum_consecutive_frames:
                     ids[d] = self.ids[t]
-        born = [d for d in strong if ids[d] < 0
-                and scores[d] >= self.p.track_activation_threshold + NEW_TRACK_MARGIN
-                and not (len(self.boxes) and (
-                    (self.seen == frame) & (self.boxes == boxes[d]).all(axis=1)).any())]
+        born = [d for d in strong if not taken[d]
+                and scores[d] >= self.p.track_activation_threshold + NEW_TRACK_MARGIN]
         if born:
             # a track is named by the frame and place of the detection it starts with
             new = np.array([frame * MAX_PER_FRAME + d for d in born], dtype=np.int64)
@@ -158,12 +163,21 @@ class Associator:
         return ids
 
 
+PIECE = [*SCOPE, "_piece", "_slice"]
+BOX = ["x1", "y1", "x2", "y2"]
+SEED, WARM, OWN = 0, 1, 2
+
+
 def associate_tracks(detections: DataFrame, params: TrackingParams = TrackingParams(),
-                     width: float | None = None) -> DataFrame:
+                     width: int | None = None) -> DataFrame:
     """Detections with a track_id, blind to the class; ids never cross a scope.
 
     A scope is cut wherever no detection is seen for longer than the lost-track buffer, because no
     track survives that. The pieces run in parallel, and rows stream through in frame order.
+
+    With a width (in frames) a piece is cut further. Every slice first runs through the frames just
+    before it; where the tracks it then holds equal the tracks the slice before ends with, its result
+    is the sequential one up to names, and names are linked. Other slices run again from that end.
     """
     order = dict(order="frame_id", width=width, tie=["detection_id"])
     rows = neighbor(detections, SCOPE, values={"_before": F.col("frame_id")}, **order)
@@ -171,36 +185,197 @@ def associate_tracks(detections: DataFrame, params: TrackingParams = TrackingPar
         F.col("frame_id") - F.col("_before") > params.lost_track_buffer)
     rows = carry(rows.withColumn("_fresh", fresh), SCOPE,
                  values={"_piece": ("last", F.when(F.col("_fresh"), F.col("frame_id")))}, **order)
-    part = [*SCOPE, "_piece"]
-    flat = rows.select(*part, "frame_id", "detection_id", "x1", "y1", "x2", "y2", "confidence")
-    ordered = flat.repartition(*part).sortWithinPartitions(*part, "frame_id", "detection_id")
+    rows = rows.select(*SCOPE, F.col("_piece").cast("long"), F.col("frame_id").cast("long"),
+                       "detection_id", *[F.col(b).cast("double") for b in BOX],
+                       F.col("confidence").cast("double"))
+    kind, none = F.lit(OWN).alias("_kind"), F.lit(None).cast("long")
+    tail = [kind, none.alias("_id"), none.alias("_seen"), none.alias("_hits"), none.alias("_pos")]
+    if width is None:
+        own = rows.select("*", F.lit(0).cast("long").alias("_slice"), *tail)
+        out = _follow(own, params, None)
+        return out.filter("kind = 'row'").select(*SCOPE, "frame_id", "detection_id", "track_id")
+
+    warm_frames = 2 * params.lost_track_buffer
+    if width <= warm_frames:
+        raise ValueError("a slice must be longer than twice the lost-track buffer")
+    at = F.col("frame_id") - F.col("_piece")
+    own = rows.select("*", slice_of(at, width).alias("_slice"), *tail)
+    early = own.filter(slice_of(at + warm_frames, width) > F.col("_slice")).withColumns(
+        {"_slice": F.col("_slice") + 1, "_kind": F.lit(WARM)})
+    # warm-up frames only matter to slices that exist
+    live = own.select(*PIECE).distinct()
+    done = cut(_follow(own.unionByName(early.join(live, PIECE, "left_semi")), params, width))
+    while True:
+        wrong = cut(_disagreeing(done))
+        if wrong.isEmpty():
+            break
+        before = done.filter("kind = 'end'").withColumn("_slice", F.col("_slice") + 1)
+        seeds = before.join(wrong, PIECE, "left_semi").select(
+            *SCOPE, "_piece", (F.col("_piece") + F.col("_slice") * width - 1).alias("frame_id"),
+            F.lit(None).cast(dict(rows.dtypes)["detection_id"]).alias("detection_id"), *BOX,
+            F.lit(None).cast("double").alias("confidence"), "_slice", F.lit(SEED).alias("_kind"),
+            F.col("track_id").alias("_id"), "_seen", "_hits", "_pos")
+        again = _follow(own.join(wrong, PIECE, "left_semi").unionByName(seeds), params, width)
+        done = cut(done.join(wrong, PIECE, "left_anti").unionByName(again))
+    names = _linked_names(done)
+    rows_out = done.filter("kind = 'row'").join(
+        names, [*PIECE, "track_id"], "left").withColumn(
+        "track_id", F.coalesce("_name", "track_id"))
+    return rows_out.select(*SCOPE, "frame_id", "detection_id", "track_id")
+
+
+STATE = [*BOX, "_seen", "_hits"]
+
+
+def _disagreeing(done: DataFrame) -> DataFrame:
+    """Slices whose first tracks differ from the last tracks of the slice before."""
+    def listed(kind: str, name: str, shift: int) -> DataFrame:
+        entry = F.struct("_pos", *STATE)
+        return done.filter(F.col("kind") == kind).withColumn("_slice", F.col("_slice") + shift).groupBy(
+            *PIECE).agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+    real = done.filter("kind = 'row' or kind = 'mark'").select(*PIECE).distinct()
+    first = listed("start", "a", 0)
+    last = listed("end", "b", 1)
+    both = real.join(first, PIECE, "left").join(last, PIECE, "left")
+    return both.filter((F.col("_slice") > 0) & ~F.col("a").eqNullSafe(F.col("b"))).select(*PIECE)
+
+
+def _linked_names(done: DataFrame) -> DataFrame:
+    """Final name of every track that was alive when its slice began, carried from slice to slice."""
+    key = [*PIECE, "_pos"]
+    ends = done.filter("kind = 'end'").withColumn("_slice", F.col("_slice") + 1).select(
+        *key, F.col("track_id").alias("_prior"))
+    links = done.filter("kind = 'start'").select(*key, "track_id").join(ends, key)
+    ordered = links.repartition(*PIECE[:-1]).sortWithinPartitions(*PIECE, "_pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece, tracker, tail = None, None, None
+        piece, at, now, before = None, None, {}, {}
         for pdf in batches:
-            if tail is not None:
-                pdf = pd.concat([tail, pdf], ignore_index=True)
-            yield_rows, tail = [], None
-            groups = list(pdf.groupby([*part, "frame_id"], sort=False))
-            for key, frame in groups[:-1]:
-                piece, tracker = assign(key, frame, piece, tracker, yield_rows)
-            tail = groups[-1][1] if groups else None  # its frame may go on in the next batch
-            if yield_rows:
-                yield pd.concat(yield_rows, ignore_index=True)
-        if tail is not None and len(tail):
-            last: list[pd.DataFrame] = []
-            assign((*tail.iloc[0][part], tail.iloc[0]["frame_id"]), tail, piece, tracker, last)
-            yield pd.concat(last, ignore_index=True)
-
-    def assign(key, frame, piece, tracker, out):
-        if key[:-1] != piece:
-            piece, tracker = key[:-1], Associator(params)
-        ids = tracker.step(int(key[-1]), frame[["x1", "y1", "x2", "y2"]].to_numpy(float),
-                           frame["confidence"].to_numpy(float))
-        got = frame[[*SCOPE, "frame_id", "detection_id"]].assign(track_id=ids)
-        out.append(got[got["track_id"] >= 0])
-        return piece, tracker
-
-    types = dict(flat.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*SCOPE, "frame_id", "detection_id"])
-    return ordered.mapInPandas(run, schema + ", track_id long")
+            names = []
+            for row in pdf.itertuples(index=False):
+                here = tuple(row[:3])
+                if here != piece:
+                    piece, at, now = here, None, {}
+                if row[3] != at:
+                    # names carry over only to the very next slice
+                    before = now if at is not None and row[3] == at + 1 else {}
+                    at, now = row[3], {}
+                # columns: piece (3), slice, position, own name, name in the slice before
+                name = before.get(row[6], row[6])
+                now[row[5]] = name
+                names.append(name)
+            yield pdf[[*PIECE, "track_id"]].assign(_name=names)
+
+    types = dict(links.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*PIECE, "track_id"]) + ", _name long"
+    return ordered.mapInPandas(run, schema)
+
+
+def _follow(rows: DataFrame, params: TrackingParams, width: int | None) -> DataFrame:
+    """Runs the association over sorted pieces.
+
+    Gives `row` (a detection and its track), `mark` (a slice that has rows), and with a width the
+    tracks held at the `start` and `end` of every slice.
+    """
+    columns = [*PIECE, "kind", "frame_id", "detection_id", "track_id", *BOX, "_seen", "_hits", "_pos"]
+    types = dict(rows.dtypes)
+    schema = (", ".join(f"{c} {types[c]}" for c in PIECE)
+              + f", kind string, frame_id long, detection_id {types['detection_id']}, track_id long, "
+              + ", ".join(f"{b} double" for b in BOX) + ", _seen long, _hits long, _pos long")
+    ordered = rows.repartition(*PIECE).sortWithinPartitions(
+        *PIECE, "frame_id", "_kind", "_pos", "detection_id")
+    step_by = [*PIECE, "frame_id", "_kind"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, tracker, begun, rest = None, None, False, None
+        out: list[tuple] = []  # (piece, kind, frame, detection ids, track ids, state or None)
+
+        def held(kind: str, frame: int) -> None:
+            tracker.forget(frame)
+            if len(tracker.ids):
+                out.append((piece, kind, frame, None, tracker.ids,
+                            (tracker.boxes, tracker.seen, tracker.hits)))
+
+        def boundary(ahead: int) -> int:
+            return int(piece[2]) + (int(piece[3]) + ahead) * width
+
+        def finish() -> None:
+            if piece is not None and width is not None:
+                held("end", boundary(1))
+
+        def feed(cols: dict[str, np.ndarray], a: int, b: int) -> None:
+            nonlocal piece, tracker, begun
+            here = tuple(cols[c][a] for c in PIECE)
+            if here != piece:
+                finish()
+                piece, tracker, begun = here, Associator(params), False
+            kind, frame = int(cols["_kind"][a]), int(cols["frame_id"][a])
+            boxes = cols["box"][a:b]
+            if kind == SEED:
+                tracker.restore(boxes.copy(), *(cols[c][a:b].astype(np.int64)
+                                                for c in ("_id", "_seen", "_hits")))
+                return
+            if kind == OWN and not begun:
+                begun = True
+                if width is not None:
+                    out.append((piece, "mark", frame, None, np.array([-1]), None))
+                    if piece[3] > 0:
+                        held("start", boundary(0))
+            ids = tracker.step(frame, boxes, cols["confidence"][a:b])
+            if kind == OWN and (ids >= 0).any():
+                out.append((piece, "row", frame, cols["detection_id"][a:b][ids >= 0],
+                            ids[ids >= 0], None))
+
+        def flush() -> pd.DataFrame:
+            sizes = [len(o[4]) for o in out]
+            blank = [np.full(n, np.nan) for n in sizes]
+
+            def state(i: int, pick) -> np.ndarray:
+                return pick(out[i][5]) if out[i][5] is not None else blank[i]
+
+            def each(pick) -> np.ndarray:
+                return np.concatenate([state(i, pick) for i in range(len(out))])
+
+            data = {c: np.repeat(np.array([o[0][i] for o in out], dtype=object), sizes)
+                    for i, c in enumerate(PIECE)}
+            data["kind"] = np.repeat(np.array([o[1] for o in out], dtype=object), sizes)
+            data["frame_id"] = np.repeat([o[2] for o in out], sizes)
+            data["detection_id"] = np.concatenate(
+                [o[3] if o[3] is not None else np.full(n, None) for o, n in zip(out, sizes)])
+            data["track_id"] = np.concatenate([o[4] for o in out])
+            for i, b in enumerate(BOX):
+                data[b] = each(lambda s, i=i: s[0][:, i])
+            data["_seen"], data["_hits"] = each(lambda s: s[1]), each(lambda s: s[2])
+            data["_pos"] = each(lambda s: np.arange(len(s[1])))
+            done = pd.DataFrame(data, columns=columns)
+            for c in ("_seen", "_hits", "_pos"):
+                done[c] = done[c].astype("Int64")
+            out.clear()
+            return done
+
+        def arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+            cols = {c: pdf[c].to_numpy() for c in (*step_by, "detection_id", "_id", "_seen", "_hits")}
+            cols["box"] = pdf[BOX].to_numpy(float)
+            cols["confidence"] = pdf["confidence"].to_numpy(float)
+            return cols
+
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            marks = pdf[step_by]
+            cuts = np.nonzero((marks != marks.shift()).any(axis=1).to_numpy())[0]
+            cols = arrays(pdf)
+            # the last step may go on in the next batch
+            for a, b in zip(cuts, cuts[1:]):
+                feed(cols, a, b)
+            rest = pdf.iloc[cuts[-1]:] if len(cuts) else None
+            if out:
+                yield flush()
+        if rest is not None and len(rest):
+            feed(arrays(rest), 0, len(rest))
+        finish()
+        if out:
+            yield flush()
+
+    return ordered.mapInPandas(run, schema)

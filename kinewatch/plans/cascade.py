@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinewatch.operators import episodes as E
 from kinewatch.operators import motion as M
 from kinewatch.operators.protocol import clip_metrics
-from kinewatch.operators.slices import slice_width
+from kinewatch.operators.slices import SLICE_FRAMES, slice_width, small
 from kinewatch.operators.tracking import associate_tracks
 from kinewatch.operators.geometry import restore_posture
 from kinewatch.params import SCOPE, TRACK, CascadeParams, EventParams, PostureGroups, TrackingParams
@@ -55,7 +55,8 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
     if "track_id" in detections.columns:
         obs = detections
     else:
-        obs = restore_posture(associate_tracks(detections, tracking), detections)
+        cuts = slice_width(detections, SCOPE, SLICE_FRAMES)
+        obs = restore_posture(associate_tracks(detections, tracking, cuts), detections)
     if level == "detector_tracking":
         return CascadeResult(detections, obs)
     signals = motion_signals(obs, p, width)
@@ -72,7 +73,7 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
 def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
                      groups: PostureGroups = PostureGroups(), events: EventParams = EventParams(),
                      width: float | None = None) -> DataFrame:
-    """Final events of every candidate. The grid is a short fixed list and is broadcast."""
+    """Final events of every candidate; the grid is broadcast once its count shows it to be short."""
     grid = candidates.select(
         "candidate_id", "confidence_threshold", "smoothing_window", "aspect_ratio_fall_min",
         "vertical_speed_min", "suspect_duration", "lying_duration", "upright_aspect_ratio_max",
@@ -86,7 +87,7 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
         suspect_duration=F.col("suspect_duration"), lying_duration=F.col("lying_duration"),
         longest=max(max(r.suspect_duration, r.lying_duration) for r in specs))
     keys = ["candidate_id", "suspect_duration", "lying_duration", "track_timeout", *TRACK]
-    each = obs.join(F.broadcast(grid), obs["confidence"] >= grid["confidence_threshold"])
+    each = obs.join(small(grid), obs["confidence"] >= grid["confidence_threshold"])
     features = M.temporal_features(each, width, keys)
     smooth = M.smooth_features(features, F.col("smoothing_window"), width, keys, sizes)
     signals = M.with_signals(smooth, groups, th)
@@ -105,8 +106,9 @@ def evaluate_candidates(obs: DataFrame, frames: DataFrame, clips: DataFrame, can
     per_clip = found.groupBy("candidate_id", *SCOPE).agg(
         F.count("*").alias("predicted_event_count"),
         F.min("start_time").alias("first_event_start_seconds"))
-    every = clips.crossJoin(F.broadcast(candidates.select("candidate_id", "variant",
-                                                          "confidence_threshold")))
+    # the sweep itself: every clip under every candidate
+    every = clips.crossJoin(small(candidates.select("candidate_id", "variant",
+                                                    "confidence_threshold")))
     n = F.coalesce("predicted_event_count", F.lit(0))
     rows = every.join(per_clip, ["candidate_id", *SCOPE], "left").withColumns(
         {"predicted_event_count": n, "predicted_fall": n > 0})

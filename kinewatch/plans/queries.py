@@ -153,7 +153,7 @@ def _(spark, sf):
 @query("associate_tracks")
 def _(spark, sf):
     good, _ = G.validate_detections(boxes(spark, sf))
-    return TR.associate_tracks(good, width=SL.slice_width(good, SCOPE, 100_000.0))
+    return TR.associate_tracks(good, width=SL.slice_width(good, SCOPE, SL.SLICE_FRAMES))
 
 
 @query("detection_lines", f"""select case when bad then 'rejected' else class_name end as kind,
@@ -873,7 +873,7 @@ def _(spark, sf):
 def _(spark, sf):
     grid = PR.candidate_grid(spark, ("nano", "small"), "both")
     clips = X.load(spark, sf, X.CLIPS).select("clip_key")
-    return clips.crossJoin(F.broadcast(grid)).groupBy("variant", "preset").agg(F.count("*").alias("clips"))
+    return clips.crossJoin(SL.small(grid)).groupBy("variant", "preset").agg(F.count("*").alias("clips"))
 
 
 def candidate_sql() -> str:

@@ -246,52 +246,64 @@ def cross_split_exact_duplicates(files: DataFrame, digest: str = "sha256",
 
 # --- near duplicates -----------------------------------------------------------------------------
 
+LEVELS = 3  # band, band within band, and once more: keys of about 13, 23 and 31 of the 64 bits
+
+
 def near_duplicate_hashes(hashes: DataFrame, distance: int = 4, bucket_limit: int = 20_000
                           ) -> DataFrame:
     """Pairs of distinct 64-bit hashes within the distance: a_hash <= b_hash, distance.
 
     Two hashes within d agree on at least one of d+1 bit bands, so only hashes equal on a band are
     compared. A band value shared by too many hashes is split again: its members agree there, so
-    they must also agree on one of d+1 bands of their other bits. This repeats until no bucket
-    is too large or the bits are used up, and stays exact. Copies were collapsed beforehand.
+    they must also agree on one of d+1 bands of their other bits. One small count decides whether
+    a further level is needed. Copies were collapsed beforehand, and every pair is found once.
     """
-    values = cut(hashes.select("dhash").distinct())
+    k = distance + 1
+    rows = cut(hashes.select("dhash").distinct()).withColumns(
+        {"_node": F.lit(0), "_key": F.array().cast("array<bigint>")})
+    nodes: list[list[list[int]]] = [[]]  # per node the bands fixed on the way to it
     found = None
-    # path: bit ranges fixed so far; used: bands tried earlier on each level, for first-match dedupe
-    level = [([], values.withColumn("_path", F.lit("")))]
-    while level:
-        following = []
-        for fixed, rows in level:
-            free = _free_bits(fixed)
-            if len(free) < distance + 1:
-                found = _compare(rows, [], fixed, distance, found)
-                continue
-            bands = _split_bits(free, distance + 1)
-            keyed = rows.withColumn("_b", F.explode(F.array(*[
-                F.struct(F.lit(i).alias("i"), _bits(F.col("dhash"), band).alias("v"))
-                for i, band in enumerate(bands)])))
-            keyed = keyed.withColumns({"_band": F.col("_b.i"), "_val": F.col("_b.v")}).drop("_b")
-            size = keyed.groupBy("_path", "_band", "_val").agg(F.count("*").alias("_n"))
-            big = size.filter(F.col("_n") > bucket_limit)
-            if big.isEmpty():
-                found = _compare(keyed, bands, fixed, distance, found)
-                continue
-            keyed = cut(keyed.join(size, ["_path", "_band", "_val"]))
-            found = _compare(keyed.filter(F.col("_n") <= bucket_limit).drop("_n"), bands, fixed,
-                             distance, found)
-            for i, band in enumerate(bands):
-                part = keyed.filter((F.col("_n") > bucket_limit) & (F.col("_band") == i))
-                if part.isEmpty():
-                    continue
-                path = F.concat_ws("/", "_path", F.concat_ws(":", F.lit(i), "_val"))
-                following.append(([*fixed, (bands[:i], band)],
-                                  part.select("dhash", path.alias("_path"))))
-        level = following
+    for level in range(LEVELS):
+        bands = [_split_bits(_free_bits(fixed), k) for fixed in nodes]
+        masks = [_mask(b) for per in bands for b in per]
+        table = F.array(*[F.lit(m).cast("long") for m in masks])
+        keyed = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        mask = F.element_at(table, F.col("_node") * k + F.col("_band") + 1)
+        value = F.col("dhash").bitwiseAND(mask)
+        keyed = keyed.withColumn("_key", F.concat("_key", F.array(value)))
+        keyed = keyed.withColumn("_node", F.col("_node") * k + F.col("_band")).drop("_band")
+        checks = _earlier(nodes, bands, k)
+        last = level == LEVELS - 1 or min(len(_free_bits(f)) for f in nodes) < 2 * k
+        big = None
+        if not last:
+            size = keyed.groupBy("_node", "_key").agg(F.count("*").alias("_n")).filter(
+                F.col("_n") > bucket_limit)
+            big = cut(size.select("_node", "_key"))
+            last = big.isEmpty()
+        if last:
+            return _compare(keyed, checks, distance, found)
+        found = _compare(keyed.join(big, ["_node", "_key"], "left_anti"), checks, distance, found)
+        rows = cut(keyed.join(big, ["_node", "_key"], "left_semi"))
+        nodes = [[*fixed, band] for fixed, per in zip(nodes, bands) for band in per]
     return found
 
 
-def _free_bits(fixed: list) -> list[int]:
-    taken = {b for _, band in fixed for b in band}
+def _earlier(nodes: list, bands: list, k: int) -> list[list[int]]:
+    """Per child node the masks that must all differ, or the pair was met in an earlier bucket."""
+    out = []
+    for fixed, per in zip(nodes, bands):
+        seen: list[int] = []
+        taken: list[list[int]] = []
+        for band in fixed:  # bands before the chosen one on every outer level
+            options = _split_bits(_free_bits(taken), k)
+            seen += [_mask(o) for o in options[: options.index(band)]]
+            taken.append(band)
+        out += [seen + [_mask(b) for b in per[:j]] for j in range(k)]
+    return out
+
+
+def _free_bits(fixed: list[list[int]]) -> list[int]:
+    taken = {b for band in fixed for b in band}
     return [b for b in range(64) if b not in taken]
 
 
@@ -305,27 +317,20 @@ def _mask(band: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _bits(value: Column, band: list[int]) -> Column:
-    return value.bitwiseAND(F.lit(_mask(band)).cast("long"))
-
-
-def _compare(rows: DataFrame, bands: list[list[int]], fixed: list, distance: int,
+def _compare(keyed: DataFrame, checks: list[list[int]], distance: int,
              found: DataFrame | None) -> DataFrame:
     """Compares hashes within a bucket and keeps a pair only in its first common bucket."""
-    on = ["_path"] + (["_band", "_val"] if bands else [])
-    a = rows.select(*on, F.col("dhash").alias("a_hash"))
-    b = rows.select(*on, F.col("dhash").alias("b_hash"))
+    on = ["_node", "_key"]
+    a = keyed.select(*on, F.col("dhash").alias("a_hash"))
+    b = keyed.select(*on, F.col("dhash").alias("b_hash"))
     diff = F.col("a_hash").bitwiseXOR(F.col("b_hash"))
-    first = F.lit(True)
-    for earlier, _ in fixed:  # on each outer level no earlier band may agree
-        for band in earlier:
-            first = first & (_bits(diff, band) != 0)
-    for i, band in enumerate(bands):
-        first = first & ((F.col("_band") <= i) | (_bits(diff, band) != 0))
     gap = hamming_distance(F.col("a_hash"), F.col("b_hash"))
-    pairs = a.join(b, on).filter(
-        (F.col("a_hash") <= F.col("b_hash")) & (gap <= distance) & first
-    ).select("a_hash", "b_hash", gap.alias("distance"))
+    none = F.array().cast("array<bigint>")
+    table = F.array(*[F.array(*[F.lit(m).cast("long") for m in c]) if c else none for c in checks])
+    first = F.forall(F.element_at(table, F.col("_node") + 1), lambda m: diff.bitwiseAND(m) != 0)
+    # the cheap distance test comes first; few pairs reach the second
+    pairs = a.join(b, on).filter((F.col("a_hash") <= F.col("b_hash")) & (gap <= distance)).filter(
+        first).select("a_hash", "b_hash", gap.alias("distance"))
     return pairs if found is None else found.unionByName(pairs)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -67,20 +70,34 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return _strict_lines(_lines(spark, path, False), S.FRAME)
 
 
+def _documents(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, value) with the whole text of each path, read where the tasks run.
+
+    Spark's own readers skip file names that start with an underscore, as these annotation files do.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for path in pdf["path"]:
+                fs, at = (FileSystem.from_uri(path) if "://" in path
+                          else (LocalFileSystem(), path.removeprefix("file:")))
+                with fs.open_input_stream(at) as stream:
+                    texts.append(stream.read().decode("utf-8"))
+            yield pd.DataFrame({"name": pdf["name"], "value": texts})
+
+    table = spark.createDataFrame(list(paths.items()), "name string, path string")
+    return table.repartition(len(paths), "path").mapInPandas(run, "name string, value string")
+
+
 def read_coco(spark: SparkSession, root: str, splits: dict[str, str] = SPLITS) -> Coco:
     """Annotation files of all splits; a file without one of the three lists stops the job."""
-    parts = []
-    for split, folder in splits.items():
-        doc = (spark.read.schema(_type(S.COCO)).option("multiLine", True).option("mode", "FAILFAST")
-               .json(f"{root}/{folder}/_annotations.coco.json").withColumn("split", F.lit(split)))
-        for name in ("images", "annotations", "categories"):
-            doc = doc.withColumn(name, F.coalesce(F.col(name), F.raise_error(
-                F.lit(f"{split}: '{name}' is missing or not a list")).cast(
-                dict(doc.dtypes)[name])))
-        parts.append(doc)
-    docs = parts[0]
-    for part in parts[1:]:
-        docs = docs.unionByName(part)
+    paths = {split: f"{root}/{folder}/_annotations.coco.json" for split, folder in splits.items()}
+    docs = _documents(spark, paths).select(
+        F.col("name").alias("split"), F.from_json("value", S.COCO, {"mode": "FAILFAST"}).alias("d"))
+    docs = docs.select("split", *[
+        F.coalesce(F.col(f"d.{n}"), F.raise_error(F.concat(
+            F.col("split"), F.lit(f": '{n}' is missing or not a list"))).cast(t)).alias(n)
+        for n, t in [(f.name, f.dataType) for f in _type(S.COCO).fields]])
 
     def each(name: str) -> DataFrame:
         return docs.select("split", F.explode(name).alias("x"))

@@ -128,9 +128,10 @@ def test_reports_must_be_comparable(spark):
 def test_confirm_and_unlock(spark):
     gate = Gate(0.8, 0)
     dev = tables(spark, {"a": ((9, 0, 1, 10), "nano", 0.4)})
-    lock, _ = PR.select_candidate(*dev, gate)
+    lock = PR.select_candidate(*dev, gate)[0].cache()
     val = tables(spark, {"v": ((9, 0, 1, 10), "nano", 0.4)}, VALIDATION, start=500)
     ok, broken = PR.confirm_candidate(lock, dev[1], *val, gate)
+    ok = ok.cache()
     assert broken.count() == 0 and ok.count() == 1
     weak = tables(spark, {"v": ((1, 0, 1, 2), "nano", 0.4)}, VALIDATION, start=500)
     assert {r.rule for r in PR.confirm_candidate(lock, dev[1], *weak, gate)[1].collect()} == {"gate_not_met"}

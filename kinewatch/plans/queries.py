@@ -136,8 +136,9 @@ def _(spark, sf):
     return G.crop_rect(shifted).select("detection_id", "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 
-@query("restore_posture", f"""select detection_id, class_name, cast(detection_id % 5 as int) as track_id from {BOXES}
-  where confidence >= 0.5""")
+@query("restore_posture", f"""select b.detection_id, b.class_name, cast(t.detection_id % 5 as int) as track_id
+  from {BOXES} b join {BOXES} t on t.confidence >= 0.5 and t.detection_id = b.detection_id and t.source_id = b.source_id
+    and t.session_id = b.session_id and t.frame_id = b.frame_id""")
 def _(spark, sf):
     all_boxes = boxes(spark, sf)
     ids = all_boxes.filter("confidence >= 0.5").select(
@@ -761,13 +762,13 @@ FAULTS = f"""with r as ({ROWS_SQL}), d as (select * from r where partition = '{D
     union all select 'nano-0.5', 'no_weights_path', 1 union all select 'nano-0.5', 'weights_differ_from_snapshot', 1
     union all select 'nano-0.7', 'parameters_differ_from_snapshot', 1
     union all select 'small-0.4', 'metrics_differ', 1 union all select 'small-0.5', 'metrics_differ', 1
-    union all select 'small-0.7', 'metrics_differ', 1
+    union all select 'small-0.7', 'metrics_differ', (count(*) > 0)::int from d where candidate_id = 'small-0.7' and video_key % 500 = 2
     union all select 'small-0.5', 'subject_not_covered', 1
     union all select 'small-0.5', 'selected_ids_differ', count(*) from d where candidate_id = 'small-0.5' and subject_id = 26
-    union all select 'small-0.6', 'row_in_other_partition', 1
+    union all select 'small-0.6', 'row_in_other_partition', (count(*) > 0)::int from d where candidate_id = 'small-0.6' and video_key % 100 = 1
     union all select 'small-0.7', 'duplicate_video_id', count(*) from d where candidate_id = 'small-0.7' and video_key % 500 = 2
     union all select 'small-0.7', 'selected_ids_differ', count(*) from d where candidate_id = 'small-0.7' and video_key % 500 = 2)
-  select report_id, rule, n::bigint as violations from v"""
+  select report_id, rule, n::bigint as violations from v where n > 0"""
 
 
 @query("clip_metrics", f"""select candidate_id, partition, clips, true_positive_clips, false_positive_clips, false_negative_clips,
@@ -812,16 +813,20 @@ def _(spark, sf):
     return PR.report_comparability(h, rows).groupBy("rule").agg(F.count("*").alias("violations"))
 
 
-@query("select_candidate", f"""select candidate_id, false_positive_clips, round(f1, 6) as f1 from ({O.ratios(
+WINNER = f"""select candidate_id, false_positive_clips, round(f1, 6) as f1 from ({O.ratios(
     f"select candidate_id, variant, conf, {O.METRICS} from ({ROWS_SQL}) where partition = '{DEVELOPMENT}' group by 1, 2, 3", "candidate_id, variant, conf")})
-  where recall >= 0.4 order by false_positive_clips, f1 desc, recall desc, specificity desc, case when variant = 'small' then 0 else 1 end, conf limit 1""")
+  where recall >= 0.4 order by false_positive_clips, f1 desc, recall desc, specificity desc, case when variant = 'small' then 0 else 1 end, conf limit 1"""
+
+
+@query("select_candidate", WINNER)
 def _(spark, sf):
     lock, _ = PR.select_candidate(*reports(spark, sf, DEVELOPMENT), GATE, "small")
     return rounded(lock.select("candidate_id", "false_positive_clips", "f1"))
 
 
 @query("confirm_candidate", f"""select candidate_id, false_positive_clips, round(recall, 6) as recall from ({O.ratios(
-    f"select candidate_id, {O.METRICS} from ({ROWS_SQL}) where partition = '{VALIDATION}' and candidate_id = 'small-0.8' group by 1", "candidate_id")})""")
+    f"select candidate_id, {O.METRICS} from ({ROWS_SQL}) where partition = '{VALIDATION}' and candidate_id = 'small-0.8' group by 1", "candidate_id")})
+  where recall >= 0.4 and candidate_id = (select candidate_id from ({WINNER}))""")
 def _(spark, sf):
     h, rows, selected, protocol = reports(spark, sf, VALIDATION)
     dev = reports(spark, sf, DEVELOPMENT)
@@ -1006,10 +1011,14 @@ def _(spark, sf):
     return Q.union_splits(parts).groupBy("split").agg(F.count("*").alias("images"))
 
 
-@query("validate_coco", f"""select split, annotation_id, concat_ws(',', case when image_id % 40 = 0 then 'unknown_image' end,
+DUP = "count(*) over (partition by split, annotation_id) > 1 as dup"
+
+
+@query("validate_coco", f"""select split, annotation_id, concat_ws(',', case when dup then 'duplicate_annotation_id' end,
+    case when image_id % 40 = 0 then 'unknown_image' end,
     case when category_id = 4 then 'unknown_category' end,
     case when image_id % 40 <> 0 and (x + w > 640 + 1e-6 or y + h > 480 + 1e-6 or w <= 0) then 'box_outside_image' end) as errors
-  from ({X.ANNOTATIONS}) where image_id % 40 = 0 or category_id = 4 or x + w > 640 + 1e-6 or y + h > 480 + 1e-6 or w <= 0""")
+  from (select *, {DUP} from ({X.ANNOTATIONS})) where dup or image_id % 40 = 0 or category_id = 4 or x + w > 640 + 1e-6 or y + h > 480 + 1e-6 or w <= 0""")
 def _(spark, sf):
     images, ann, cats = coco(spark, sf)
     _, bad = Q.validate_coco_annotations(ann, images.filter("image_id % 40 <> 0"), cats.filter("category_id <> 4"))
@@ -1120,7 +1129,8 @@ def _(spark, sf):
 
 
 @query("audit_violations", f"""select rule, count(*) as rows from (select 'box_outside_image' as rule from ({X.ANNOTATIONS})
-  where x + w > 640 + 1e-6 or y + h > 480 + 1e-6 or w <= 0) group by rule""")
+  where x + w > 640 + 1e-6 or y + h > 480 + 1e-6 or w <= 0
+  union all select 'duplicate_annotation_id' from (select {DUP} from ({X.ANNOTATIONS})) where dup) group by rule""")
 def _(spark, sf):
     return D.audit_violations(*coco(spark, sf)).groupBy("rule").agg(F.count("*").alias("rows"))
 
@@ -1136,7 +1146,8 @@ def _(spark, sf):
 @query("training_gate", f"""select rule, count(*) as rows from (
     select case when image_id % 19 = 0 then 'file_missing' else 'file_changed' end as rule from ({X.IMAGES})
     where (image_id % 13 <> 0 and image_id % 19 = 0) or (image_id % 13 <> 0 and image_id % 19 <> 0 and image_id % 17 = 0)
-    union all select 'audit_box_outside_image' union all select 'class_not_configured' union all select 'class_not_audited') group by rule""")
+    union all select 'audit_box_outside_image' union all select 'class_not_configured' union all select 'class_not_audited'
+    union all select distinct 'audit_duplicate_annotation_id' from (select {DUP} from ({X.ANNOTATIONS})) where dup) group by rule""")
 def _(spark, sf):
     images, ann, cats = coco(spark, sf)
     mapping, _ = Q.category_keepers(ann, cats)

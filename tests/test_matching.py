@@ -54,7 +54,7 @@ PROTOCOLS = st.builds(
     st.sampled_from(["and", "or"]), st.booleans())
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(ROW, min_size=1, max_size=10), st.lists(ROW, min_size=1, max_size=10), PROTOCOLS)
 def test_matches_equal_global_greedy(spark, truth, pred, p):
     g, q = table(spark, truth, "g"), table(spark, pred, "p")

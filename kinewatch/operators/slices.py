@@ -12,18 +12,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 50_000
-SLICE_SECONDS = 600.0
-SLICE_FRAMES = 20_000
+SHORTEST_SECONDS = 2.0  # longer than any duration the motion states wait for
 
 
-def slice_width(df: DataFrame, keys: list[str], width: float = SLICE_SECONDS,
-                limit: int = MAX_GROUP_ROWS) -> float | None:
-    """None while the largest key is small enough for one task, otherwise the slice width.
+def slice_width(df: DataFrame, keys: list[str], order: str = "timestamp_seconds",
+                at_least: float = SHORTEST_SECONDS, limit: int | None = None) -> float | None:
+    """None while every key is small enough for one task, otherwise a width for the densest one.
 
-    One aggregation over the key columns only; the counts combine before the shuffle.
+    The width gives slices of about half the limit. One aggregation over the key columns and the
+    order column; it combines before the shuffle.
     """
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return width if top is not None and top > limit else None
+    limit = limit or MAX_GROUP_ROWS
+    sizes = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), (F.max(order) - F.min(order)).cast("double").alias("span"))
+    width = sizes.filter(F.col("n") > limit).agg(
+        F.min(F.col("span") * limit / (2 * F.col("n")))).first()[0]
+    return None if width is None else max(width, float(at_least))
 
 
 def slice_of(order: Column, width: float) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinewatch.operators.lineage import cut
-from kinewatch.operators.slices import carry, neighbor, slice_of
+from kinewatch.operators.slices import carry, neighbor, slice_of, slice_width
 from kinewatch.params import SCOPE, TrackingParams
 
 T = "timestamp_seconds"
@@ -168,6 +169,13 @@ BOX = ["x1", "y1", "x2", "y2"]
 SEED, WARM, OWN = 0, 1, 2
 
 
+def association_width(detections: DataFrame, params: TrackingParams = TrackingParams()
+                      ) -> int | None:
+    """Slice width in frames for the busiest scope, None while no scope needs slices."""
+    width = slice_width(detections, SCOPE, "frame_id", 2 * params.lost_track_buffer + 1)
+    return None if width is None else math.ceil(width)
+
+
 def associate_tracks(detections: DataFrame, params: TrackingParams = TrackingParams(),
                      width: int | None = None) -> DataFrame:
     """Detections with a track_id, blind to the class; ids never cross a scope.

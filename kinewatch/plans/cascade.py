@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from kinewatch.operators import episodes as E
 from kinewatch.operators import motion as M
 from kinewatch.operators.protocol import clip_metrics
-from kinewatch.operators.slices import SLICE_FRAMES, slice_width, small
-from kinewatch.operators.tracking import associate_tracks
+from kinewatch.operators.slices import slice_width, small
+from kinewatch.operators.tracking import associate_tracks, association_width
 from kinewatch.operators.geometry import restore_posture
 from kinewatch.params import SCOPE, TRACK, CascadeParams, EventParams, PostureGroups, TrackingParams
 
@@ -55,8 +55,8 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
     if "track_id" in detections.columns:
         obs = detections
     else:
-        cuts = slice_width(detections, SCOPE, SLICE_FRAMES)
-        obs = restore_posture(associate_tracks(detections, tracking, cuts), detections)
+        obs = restore_posture(associate_tracks(
+            detections, tracking, association_width(detections, tracking)), detections)
     if level == "detector_tracking":
         return CascadeResult(detections, obs)
     signals = motion_signals(obs, p, width)

@@ -154,7 +154,7 @@ def _(spark, sf):
 @query("associate_tracks")
 def _(spark, sf):
     good, _ = G.validate_detections(boxes(spark, sf))
-    return TR.associate_tracks(good, width=SL.slice_width(good, SCOPE, SL.SLICE_FRAMES))
+    return TR.associate_tracks(good, width=TR.association_width(good))
 
 
 @query("detection_lines", f"""select case when bad then 'rejected' else class_name end as kind,
@@ -221,7 +221,7 @@ def _(spark, sf):
 def _(spark, sf):
     obs, _, _ = cam(spark, sf, sparse=False)
     late = F.when(F.col("detection_id") % 11 == 0, F.col(T) - 0.5).otherwise(F.col(T))
-    width = SL.slice_width(obs, TRACK, 1e12)
+    width = SL.slice_width(obs, TRACK, "frame_id", 1.0)
     return rounded(M.monotonicity_violations(obs.withColumn(T, late), TRACK, width).select(
         "detection_id", T, "previous_timestamp"))
 
@@ -286,12 +286,12 @@ CLOCK = f"""select source_id, session_id, frame_id, timestamp_seconds from ({X.F
   select source_id, session_id, n as frame_id, round(v, 6) as timestamp_seconds from run where v is not null""")
 def _(spark, sf):
     frames = X.load(spark, sf, X.FRAMES)
-    w = SL.slice_width(frames, SCOPE)
-    n = SL.with_ordinal(frames, SCOPE, "frame_id", "n", w and 1e12)
+    w = SL.slice_width(frames, SCOPE, "frame_id", 1.0)
+    n = SL.with_ordinal(frames, SCOPE, "frame_id", "n", w)
     bad = (F.when(F.col("frame_id") % 9 == 0, F.lit(0.0))
            .when(F.col("frame_id") % 7 == 0, F.col(T) - 0.4).otherwise(F.col(T)))
     shaky = n.withColumn(T, bad).withColumn("frame_id", F.col("n")).select(*SCOPE, "frame_id", T)
-    good, _ = TR.repair_timestamps(shaky, 8.0, w and 50_000.0)
+    good, _ = TR.repair_timestamps(shaky, 8.0, SL.slice_width(shaky, SCOPE, "frame_id", 10.0))
     return rounded(good)
 
 
@@ -635,14 +635,14 @@ def match_events(spark, sf):
     round((p - tp) / 12.5, 6) as false_alarms_per_hour, round(d, 6) as mean_detection_delay_seconds from n""")
 def _(spark, sf):
     truth, pred, win = intervals(spark, sf)
-    out = MT.event_metrics(truth, pred, MatchProtocol(), 12.5, win, SL.slice_width(pred, SCOPE))
+    out = MT.event_metrics(truth, pred, MatchProtocol(), 12.5, win, SL.slice_width(pred, SCOPE, "start_time"))
     return rounded(out.drop("specificity_unavailable_reason", "false_alarms_per_hour_unavailable_reason"))
 
 
 @query("negative_window_hits", f"with win as ({X.duck(X.WINDOWS)}), pr as ({X.duck(X.PREDICTIONS)}) select event_id from ({HITS})")
 def _(spark, sf):
     _, pred, win = intervals(spark, sf)
-    return MT.negative_window_hits(win, pred, SL.slice_width(pred, SCOPE)).select("event_id")
+    return MT.negative_window_hits(win, pred, SL.slice_width(pred, SCOPE, "start_time")).select("event_id")
 
 
 @query("window_specificity", f"""with win as ({X.duck(X.WINDOWS)}), pr as ({X.duck(X.PREDICTIONS)})
@@ -650,7 +650,7 @@ def _(spark, sf):
     cast(null as varchar) as specificity_unavailable_reason""")
 def _(spark, sf):
     _, pred, win = intervals(spark, sf)
-    return rounded(MT.window_specificity(win, pred, SL.slice_width(pred, SCOPE)))
+    return rounded(MT.window_specificity(win, pred, SL.slice_width(pred, SCOPE, "start_time")))
 
 
 @query("validate_intervals", f"""select event_id, concat_ws(',', case when s < 0 then 'negative_start' end,

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from kinewatch.operators import slices
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,16 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["previous_state", "next_state", "transitions"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+SLICED = ["temporal_features", "smooth_features", "monotonicity_violations", "track_expiry",
+          "motion_states_with_expiry", "repair_timestamps", "fall_events", "review_ready",
+          "select_keyframes", "negative_window_hits"]
+
+
+@pytest.mark.parametrize("name", SLICED)
+def test_query_on_slices(spark, con, name, monkeypatch):
+    """The same rows when even small keys are cut into slices."""
+    monkeypatch.setattr(slices, "MAX_GROUP_ROWS", 20)
+    df = entry.queries()[name](spark, SF)
+    assert difference(df, con, entry.oracle_sql()[name]) is None

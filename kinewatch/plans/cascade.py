@@ -78,18 +78,19 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
         "candidate_id", "confidence_threshold", "smoothing_window", "aspect_ratio_fall_min",
         "vertical_speed_min", "suspect_duration", "lying_duration", "upright_aspect_ratio_max",
         "track_timeout")
-    specs = grid.select("smoothing_window", "suspect_duration", "lying_duration").distinct().collect()
-    sizes = tuple(sorted({r.smoothing_window for r in specs}))
+    spec = grid.agg(F.sort_array(F.collect_set("smoothing_window")).alias("sizes"), F.max(
+        F.greatest("suspect_duration", "lying_duration")).alias("longest")).first()
     th = SimpleNamespace(
         aspect_ratio_fall_min=F.col("aspect_ratio_fall_min"),
         vertical_speed_min=F.col("vertical_speed_min"),
         upright_aspect_ratio_max=F.col("upright_aspect_ratio_max"),
         suspect_duration=F.col("suspect_duration"), lying_duration=F.col("lying_duration"),
-        longest=max(max(r.suspect_duration, r.lying_duration) for r in specs))
+        longest=spec.longest)
     keys = ["candidate_id", "suspect_duration", "lying_duration", "track_timeout", *TRACK]
     each = obs.join(small(grid), obs["confidence"] >= grid["confidence_threshold"])
     features = M.temporal_features(each, width, keys)
-    smooth = M.smooth_features(features, F.col("smoothing_window"), width, keys, sizes)
+    smooth = M.smooth_features(features, F.col("smoothing_window"), width, keys,
+                               tuple(spec.sizes))
     signals = M.with_signals(smooth, groups, th)
     expiry = M.track_expiry(each, frames, F.col("track_timeout"), width, keys)
     moves = M.motion_states(signals, th, expiry, width, keys)

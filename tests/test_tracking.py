@@ -75,3 +75,18 @@ def test_repaired_times_equal_a_loop(spark, fps):
         assert {r.frame_id: r.timestamp_seconds for r in good.collect()} == want
         assert bad.count() == 300 - len(want)
     assert good.filter(F.col("timestamp_seconds").isNull()).count() == 0
+
+
+def test_cascade_from_untracked_detections(spark, monkeypatch):
+    from kinewatch.operators import slices
+    from kinewatch.plans.cascade import run_cascade
+    from tests.makers import OBS, random_video
+
+    obs, frames = random_video(2, 120)
+    detections = spark.createDataFrame(obs, OBS).drop("track_id")
+    frames = spark.createDataFrame(frames, FRAME)
+    plain = run_cascade(frames, detections, level="temporal").transitions.cache()
+    assert plain.count() > 0
+    monkeypatch.setattr(slices, "MAX_GROUP_ROWS", 60)
+    cut = run_cascade(frames, detections, level="temporal").transitions
+    assert plain.exceptAll(cut).count() == 0 and cut.count() == plain.count()

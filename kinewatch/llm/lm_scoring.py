@@ -78,10 +78,13 @@ def count_events(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def trie(grams: DataFrame, order: int) -> list[DataFrame]:
-    """Level k: key (k bytes of context and a symbol) and n, for k from `order` down to 0."""
+    """Level k: key (k bytes of context and a symbol) and n, for k from `order` down to 0.
+
+    Below the longest, n counts the longer contexts that have seen the symbol: what they predict isn't learned again.
+    """
     levels = [grams.select("key", "n")]
     for k in range(order - 1, -1, -1):
-        levels.append(settle(levels[-1].withColumn("key", F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))).groupBy("key").agg(F.sum("n").alias("n"))))
+        levels.append(settle(levels[-1].withColumn("key", F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))).groupBy("key").agg(F.count("*").alias("n"))))
     return levels
 
 

@@ -23,8 +23,9 @@ WORDS, SHARE = 5, (4, 5)
 BUCKETS, BITS, PARTS = 1 << 22, 1 << 26, 64
 #: Levels are powers of two of a count; from this one on an n-gram is dealt out in parts.
 FREQUENT = 10
-#: Hub rounds go on while the rest of the product would be larger than so many entries for each entry of the matrix.
-REST, ROUNDS = 16, 12
+#: Hub rounds before the rest of the product is formed, and at most; more than HUBS are made while the rest would be larger
+#: than REST entries for each entry of the matrix. The links found are the same.
+HUBS, ROUNDS, REST = 1, 12, 256
 
 DOCUMENT, COUNT = 0, 1
 
@@ -93,7 +94,7 @@ def _unseen(kind: np.ndarray, some: np.ndarray, seen: set) -> np.ndarray:
 
 
 def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tuple[int, int]) -> DataFrame:
-    """gram, class, n: of each class the rarest n-grams, so many that a pair over the bound shares one; those of one class alone are left out.
+    """gram, class, n, edge (the last of them in order): of each class the rarest n-grams, so many that a pair over the bound shares one; those of one class alone are left out.
 
     With |x| n-grams, a partner shares share * |x| of them at least, so it misses no more than the others, and one of
     |x| - ceil(share * |x|) + 1 is common. The order (level, hash) is the same for all documents.
@@ -115,8 +116,11 @@ def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tupl
             gram, level = gram[pick], level[pick]
             lead = (n - -(-n * share[0] // share[1]) + 1)[row]
             keep = place < lead
+            order = (level.astype(np.int64) << 56) | (gram >> np.uint64(8)).astype(np.int64)
+            edge = order[place == lead - 1]
+            edge = np.repeat(edge, lead[keep & (place == 0)])
             gram, row, level = gram[keep].astype(np.int64), row[keep], level[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kind[row]), pa.array(n[row].astype(np.int32)), pa.array(level >= FREQUENT)], names=["gram", "class", "n", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kind[row]), pa.array(n[row].astype(np.int32)), pa.array(edge), pa.array(level >= FREQUENT)], names=["gram", "class", "n", "edge", "frequent"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of n-gram and class: drops repeats, and n-grams of one class unless their other parts are elsewhere."""
@@ -135,13 +139,13 @@ def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tupl
             keep[-1] = False
             out = batch.filter(pa.array(keep))
             if out.num_rows:
-                yield out.select(["gram", "class", "n"])
+                yield out.select(["gram", "class", "n", "edge"])
         if held is not None and (had or held.column("frequent")[0].as_py()):
-            yield held.select(["gram", "class", "n"])
+            yield held.select(["gram", "class", "n", "edge"])
 
-    led = docs.select("text").mapInArrow(run, "gram long, class long, n int, frequent boolean")
+    led = docs.select("text").mapInArrow(run, "gram long, class long, n int, edge long, frequent boolean")
     part = F.when(F.col("frequent"), F.pmod(F.col("class"), F.lit(PARTS))).otherwise(0)
-    return led.withColumn("part", part).repartition("gram", "part").drop("part").sortWithinPartitions("gram", "class").mapInArrow(several, "gram long, class long, n int")
+    return led.withColumn("part", part).repartition("gram", "part").drop("part").sortWithinPartitions("gram", "class").mapInArrow(several, "gram long, class long, n int, edge long")
 
 
 def full_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -165,59 +169,99 @@ def full_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, grams binary")
 
 
-def overlap(pairs: DataFrame, rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """a, b of the pairs whose counted overlap reaches the bound."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    rows = rows.join(need, "class", "left_semi")
+def count_common(pairs: DataFrame, rows: DataFrame, more: list[str]) -> DataFrame:
+    """a, b, more columns of the pairs, and common: how many n-grams the rows (class, grams) of a and b share; size_a and size_b."""
     both = pairs.join(rows.select(F.col("class").alias("b"), F.col("grams").alias("right")), "b")
     both = both.join(rows.select(F.col("class").alias("a"), F.col("grams").alias("left")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
+            out = np.zeros((3, batch.num_rows), np.int64)
             for i, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                linked[i] = share[1] * common >= share[0] * (len(x) + len(y) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+                x, y = _hashes(left), _hashes(right)
+                z = np.sort(np.concatenate([x, y]), kind="stable")
+                out[:, i] = (z[1:] == z[:-1]).sum(), len(x), len(y)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", *more)], *map(pa.array, out)], names=["a", "b", *more, "common", "size_a", "size_b"])
+
+    kinds = "".join(f", {c} {dict(pairs.dtypes)[c]}" for c in more)
+    return both.select("a", "b", *more, "left", "right").mapInArrow(run, f"a long, b long{kinds}, common long, size_a long, size_b long")
+
+
+def _hashes(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.int64) if pa.types.is_binary(value.type) else value.values.to_numpy()
+
+
+def overlap(pairs: DataFrame, rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b of the pairs whose counted overlap reaches the bound."""
+    counted = count_common(pairs, rows, [])
+    return counted.filter(F.col("common") * share[1] >= (F.col("size_a") + F.col("size_b") - F.col("common")) * share[0]).select("a", "b")
+
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+def _may_reach(common: Column, share: tuple[int, int]) -> Column:
+    """Whether a pair with so many common leading n-grams can reach the bound.
 
+    All that both have up to the earlier of the two edges is counted; the rest of that row is the most that can follow.
+    """
+    p, q = share
+    need = F.ceil(p * (F.col("na") + F.col("nb")) / (p + q))
+    after = lambda n: F.ceil(n * p / q) - 1
+    rest = F.when(F.col("ea") < F.col("eb"), after(F.col("na"))).when(F.col("eb") < F.col("ea"), after(F.col("nb"))).otherwise(F.greatest(after(F.col("na")), after(F.col("nb"))))
+    return common + rest >= need
+
+
+def _near_sizes(share: tuple[int, int]) -> Column:
+    return F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0]
+
+
+def _side(df: DataFrame, s: str, *more: str) -> DataFrame:
+    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "edge", "c", "m")], *more)
 
-def _near_sizes(x: Column, y: Column, share: tuple[int, int]) -> Column:
-    return F.least(x, y) * share[1] >= F.greatest(x, y) * share[0]
+
+PAIR, TURNED = ["a", "b", "na", "nb", "ea", "eb"], ["b", "a", "nb", "na", "eb", "ea"]
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Each pair with the smaller class first."""
+    return pairs.select(*[F.when(F.col("a") > F.col("b"), F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(PAIR, TURNED, strict=True)])
 
 
 def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """vertex and component of the classes that are linked with others."""
     entries = settle(leading_columns(docs, _levels(found), width, share))
     size = entries.count()
-    rows = settle(full_rows(docs, _marked(entries), width).dropDuplicates(["class"]))
+    leading = settle(entries.groupBy("class").agg(F.collect_list("gram").alias("grams")))
     links, groups = None, None
     for turn in range(ROUNDS + 1):
         named = entries if groups is None else entries.join(groups.withColumnRenamed("vertex", "class"), "class", "left")
-        named = named.withColumn("c", F.col("class") if groups is None else F.coalesce("component", "class")).select("gram", "class", "n", "c")
+        named = named.withColumn("c", F.col("class") if groups is None else F.coalesce("component", "class")).select("gram", "class", "n", "edge", "c")
         mixed = named.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") < F.col("hi")).select("gram")
-        open_ = settle(named.join(mixed, "gram", "left_semi"))
+        open_ = named.join(mixed, "gram", "left_semi")
+        # m: how many leading n-grams a row has in common with anyone else, the most that a pair can count
+        open_ = settle(open_.join(open_.groupBy("class").agg(F.count("*").alias("m")), "class"))
         by_group = open_.groupBy("gram", "c").agg(F.count("*").alias("k"))
         tally = by_group.groupBy("gram").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"))
-        tally = settle(tally.select("gram", "k", F.col("top.c").alias("main"), (F.col("k") - F.col("top.k")).alias("others")))
-        rest = tally.agg(F.sum(F.col("k") * F.col("others"))).first()[0] or 0
+        tally = settle(tally.select("gram", F.col("k").alias("all"), F.col("top.c").alias("main"), (F.col("k") - F.col("top.k")).alias("others")))
+        rest = tally.agg(F.sum(F.col("all") * F.col("others"))).first()[0] or 0
         if not rest:
             break
-        last = turn == ROUNDS or turn > 0 and rest <= REST * size
-        if last:  # all that differ in component: rows outside of the n-gram's main component against all others
-            left = open_.join(tally, "gram").filter(F.col("c") != F.col("main")).select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "main")
-            right = open_.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = left.join(right, "gram").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        else:  # hubs: of each n-gram one row outside of its main component (in the first turn: any)
-            outside = open_ if turn == 0 else open_.join(tally, "gram").filter(F.col("c") != F.col("main"))
-            luck = F.xxhash64("class", F.lit(turn))
-            hubs = outside.groupBy("gram").agg(F.min(F.struct(luck.alias("luck"), "class", "n", "c")).alias("hub")).select("gram", "hub")
-            pairs = open_.join(hubs, "gram").select(F.col("hub.class").alias("a"), F.col("hub.n").alias("na"), F.col("hub.c").alias("ca"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")).filter(F.col("ca") != F.col("cb"))
-        pairs = settle(pairs.filter(_near_sizes(F.col("na"), F.col("nb"), share)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        new = settle(overlap(pairs, rows, share))
+        last = turn >= HUBS and (turn == ROUNDS or rest <= REST * size)
+        fits = (F.col("ca") != F.col("cb")) & _near_sizes(share) & _may_reach(F.least("ma", "mb"), share)
+        if last:  # all that differ in component: rows outside of an n-gram's main component against all others
+            left = _side(open_.join(tally, "gram").filter(F.col("c") != F.col("main")), "a", "main")
+            pairs = left.join(_side(open_, "b"), "gram").filter(fits & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
+            pairs = _in_order(pairs).groupBy(*PAIR).agg(F.count("*").alias("common"))
+        else:  # hubs of each n-gram: its smallest row, a random one, and a random one outside of its main component
+            row = F.struct("class", "n", "edge", "c", "m")
+            luck = lambda k: F.xxhash64("class", "gram", F.lit(2 * turn + k))  # noqa: E731, B023
+            hubs = open_.join(tally, "gram").groupBy("gram").agg(F.array(
+                F.min_by(row, F.struct("n", luck(0))), F.min_by(row, luck(0)), F.min_by(row, F.when(F.col("c") != F.col("main"), luck(1)))).alias("hubs"))
+            hubs = _side(hubs.select("gram", F.explode(F.array_distinct("hubs")).alias("hub")).filter(F.col("hub").isNotNull()).select("gram", "hub.*"), "a")
+            pairs = hubs.join(_side(open_, "b"), "gram").filter(fits)
+            pairs = _in_order(pairs).distinct()
+            pairs = count_common(pairs, leading, ["na", "nb", "ea", "eb"])
+        pairs = settle(pairs.filter(_may_reach(F.col("common"), share)).select("a", "b"))
+        rows = full_rows(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")), width)
+        new = settle(overlap(pairs, settle(rows), share))
         links = new if links is None else links.unionByName(new)
         groups = settle(components(links))
         if last:
@@ -225,10 +269,6 @@ def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple
     return groups if groups is not None else entries.sparkSession.createDataFrame([], "vertex long, component long")
 
 
-def _marked(entries: DataFrame) -> DataFrame:
-    return entries.select("class").distinct()
-
-
 def join_documents(docs: DataFrame, width: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinewatch.llm.common import Words, mix, rows_of, settle
@@ -25,7 +26,7 @@ BUCKETS, BITS, PARTS = 1 << 22, 1 << 26, 64
 FREQUENT = 10
 #: Hub rounds before the rest of the product is formed, and at most; more than HUBS are made while the rest would be larger
 #: than REST entries for each entry of the matrix. The links found are the same.
-HUBS, ROUNDS, REST = 1, 12, 256
+HUBS, ROUNDS, REST = 2, 12, 256
 
 DOCUMENT, COUNT = 0, 1
 
@@ -119,8 +120,8 @@ def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tupl
             order = (level.astype(np.int64) << 56) | (gram >> np.uint64(8)).astype(np.int64)
             edge = order[place == lead - 1]
             edge = np.repeat(edge, lead[keep & (place == 0)])
-            gram, row, level = gram[keep].astype(np.int64), row[keep], level[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kind[row]), pa.array(n[row].astype(np.int32)), pa.array(edge), pa.array(level >= FREQUENT)], names=["gram", "class", "n", "edge", "frequent"])
+            gram, row, level, place = gram[keep].astype(np.int64), row[keep], level[keep], place[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kind[row]), pa.array(n[row].astype(np.int32)), pa.array(edge), pa.array(place.astype(np.int32)), pa.array(level >= FREQUENT)], names=["gram", "class", "n", "edge", "place", "frequent"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of n-gram and class: drops repeats, and n-grams of one class unless their other parts are elsewhere."""
@@ -139,13 +140,13 @@ def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tupl
             keep[-1] = False
             out = batch.filter(pa.array(keep))
             if out.num_rows:
-                yield out.select(["gram", "class", "n", "edge"])
+                yield out.select(["gram", "class", "n", "edge", "place"])
         if held is not None and (had or held.column("frequent")[0].as_py()):
-            yield held.select(["gram", "class", "n", "edge"])
+            yield held.select(["gram", "class", "n", "edge", "place"])
 
-    led = docs.select("text").mapInArrow(run, "gram long, class long, n int, edge long, frequent boolean")
+    led = docs.select("text").mapInArrow(run, "gram long, class long, n int, edge long, place int, frequent boolean")
     part = F.when(F.col("frequent"), F.pmod(F.col("class"), F.lit(PARTS))).otherwise(0)
-    return led.withColumn("part", part).repartition("gram", "part").drop("part").sortWithinPartitions("gram", "class").mapInArrow(several, "gram long, class long, n int, edge long")
+    return led.withColumn("part", part).repartition("gram", "part").drop("part").sortWithinPartitions("gram", "class").mapInArrow(several, "gram long, class long, n int, edge long, place int")
 
 
 def full_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -203,18 +204,27 @@ def _may_reach(common: Column, share: tuple[int, int]) -> Column:
     All that both have up to the earlier of the two edges is counted; the rest of that row is the most that can follow.
     """
     p, q = share
-    need = F.ceil(p * (F.col("na") + F.col("nb")) / (p + q))
+    need = _need(share)
     after = lambda n: F.ceil(n * p / q) - 1
     rest = F.when(F.col("ea") < F.col("eb"), after(F.col("na"))).when(F.col("eb") < F.col("ea"), after(F.col("nb"))).otherwise(F.greatest(after(F.col("na")), after(F.col("nb"))))
     return common + rest >= need
 
 
+def _need(share: tuple[int, int]) -> Column:
+    return F.ceil(share[0] * (F.col("na") + F.col("nb")) / sum(share))
+
+
+def _early(share: tuple[int, int]) -> Column:
+    """Whether an n-gram stands so early in both rows that a pair over the bound could have it first in common."""
+    return (F.col("pa") <= F.col("na") - _need(share)) & (F.col("pb") <= F.col("nb") - _need(share))
+
+
 def _near_sizes(share: tuple[int, int]) -> Column:
     return F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0]
 
 
 def _side(df: DataFrame, s: str, *more: str) -> DataFrame:
-    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "edge", "c", "m")], *more)
+    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "edge", "c", "m", "place")], *more)
 
 
 PAIR, TURNED = ["a", "b", "na", "nb", "ea", "eb"], ["b", "a", "nb", "na", "eb", "ea"]
@@ -233,7 +243,7 @@ def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple
     links, groups = None, None
     for turn in range(ROUNDS + 1):
         named = entries if groups is None else entries.join(groups.withColumnRenamed("vertex", "class"), "class", "left")
-        named = named.withColumn("c", F.col("class") if groups is None else F.coalesce("component", "class")).select("gram", "class", "n", "edge", "c")
+        named = named.withColumn("c", F.col("class") if groups is None else F.coalesce("component", "class")).select("gram", "class", "n", "edge", "place", "c")
         mixed = named.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") < F.col("hi")).select("gram")
         open_ = named.join(mixed, "gram", "left_semi")
         # m: how many leading n-grams a row has in common with anyone else, the most that a pair can count
@@ -245,21 +255,24 @@ def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple
         if not rest:
             break
         last = turn >= HUBS and (turn == ROUNDS or rest <= REST * size)
-        fits = (F.col("ca") != F.col("cb")) & _near_sizes(share) & _may_reach(F.least("ma", "mb"), share)
+        fits = (F.col("ca") != F.col("cb")) & _near_sizes(share) & _early(share) & _may_reach(F.least("ma", "mb"), share)
         if last:  # all that differ in component: rows outside of an n-gram's main component against all others
             left = _side(open_.join(tally, "gram").filter(F.col("c") != F.col("main")), "a", "main")
             pairs = left.join(_side(open_, "b"), "gram").filter(fits & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-            pairs = _in_order(pairs).groupBy(*PAIR).agg(F.count("*").alias("common"))
         else:  # hubs of each n-gram: its smallest row, a random one, and a random one outside of its main component
-            row = F.struct("class", "n", "edge", "c", "m")
+            row = F.struct("class", "n", "edge", "c", "m", "place")
             luck = lambda k: F.xxhash64("class", "gram", F.lit(2 * turn + k))  # noqa: E731, B023
             hubs = open_.join(tally, "gram").groupBy("gram").agg(F.array(
                 F.min_by(row, F.struct("n", luck(0))), F.min_by(row, luck(0)), F.min_by(row, F.when(F.col("c") != F.col("main"), luck(1)))).alias("hubs"))
             hubs = _side(hubs.select("gram", F.explode(F.array_distinct("hubs")).alias("hub")).filter(F.col("hub").isNotNull()).select("gram", "hub.*"), "a")
             pairs = hubs.join(_side(open_, "b"), "gram").filter(fits)
-            pairs = _in_order(pairs).distinct()
-            pairs = count_common(pairs, leading, ["na", "nb", "ea", "eb"])
-        pairs = settle(pairs.filter(_may_reach(F.col("common"), share)).select("a", "b"))
+        pairs = count_common(_in_order(pairs).distinct(), leading, PAIR[2:])
+        pairs = pairs.filter(_may_reach(F.col("common"), share)).select("a", "b", "common")
+        if not last:  # of a row's pairs with hubs the two that have most in common; what they leave apart, the last product joins
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
+            ranked = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("common"), "b"))).filter(F.col("r") <= 2)
+            pairs = ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = settle(pairs.select("a", "b"))
         rows = full_rows(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")), width)
         new = settle(overlap(pairs, settle(rows), share))
         links = new if links is None else links.unionByName(new)

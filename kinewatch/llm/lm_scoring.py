@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kinewatch.llm.common import Words, remainder_of_id, rows_of, settle
 
 #: Bytes of context; entries that tasks look up in memory (the rest are joined), 12 bytes in each of four slots an entry.
-ORDER, IN_MEMORY = 5, 1 << 20
+ORDER, IN_MEMORY = 5, 1 << 19
 GRAM, WORD = 0, 1
 #: The end of a document, as a word.
 END = 0

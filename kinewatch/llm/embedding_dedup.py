@@ -36,7 +36,7 @@ def _assign(classes: DataFrame, dim: int, radius: float, pivots: int) -> DataFra
     pivot p_i; so x goes also to the cells j whose pivot is at most 2 r farther than its own. A pair of different cells is
     met in the smaller one alone, so only those are needed.
     """
-    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("blob").collect()
+    chosen = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("blob").collect()
     points = matrix([r[0] for r in chosen], dim)
     points = points / np.linalg.norm(points, axis=1, keepdims=True)
 

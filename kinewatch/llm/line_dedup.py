@@ -48,9 +48,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     whole = F.size("lines")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
         F.transform(F.array_except(F.sequence(F.lit(0), whole - 1), "gone"), lambda i: F.get("lines", i)))
-    return work.join(drops, ["r1", "r2"], "left").select(
-        *[F.col("row").getField(c).alias(c) for c in names], whole.cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+    out = work.join(drops, ["r1", "r2"], "left").select(
+        "row", whole.cast("long").alias("n"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("dropped"), F.array_join(kept, "\n").alias("text"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("n").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.col("text").alias("kept_text"))
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from kinewatch.llm.common import settle, table
 from kinewatch.llm.queries import tokenizer_file
 
 #: A text whose likeliest language gets less than this is taken for none of the learned ones.
-MIN_SCORE = 0.35
+MIN_SCORE = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

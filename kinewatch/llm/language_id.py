@@ -103,8 +103,8 @@ def document_frequency(docs: DataFrame, settings: Settings) -> tuple[np.ndarray,
     return out[:-1], int(out[-1])
 
 
-def _sample(docs: DataFrame, settings: Settings) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of the documents with the smallest hashes, so many a language: (language, buckets, share of each)."""
+def _sample(docs: DataFrame, settings: Settings) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """Features of the documents with the smallest hashes, so many a language: (rank, language, buckets, share of each)."""
     order = W.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(11)).alias("_h")).filter(F.rlike("text", F.lit(r"\p{L}")))
     chosen = chosen.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= settings.per_language)
@@ -120,7 +120,7 @@ def _sample(docs: DataFrame, settings: Settings) -> list[tuple[str, np.ndarray,
 
     rows = chosen.select("lang", "_r", "text").mapInArrow(features, "lang string, r int, buckets array<int>, shares array<float>")
     got = rows.toArrow().sort_by([("r", "ascending"), ("lang", "ascending")])
-    return [(lang, b.values.to_numpy(), s.values.to_numpy()) for lang, b, s in zip(got["lang"].to_pylist(), got["buckets"], got["shares"], strict=True)]
+    return [(r, lang, b.values.to_numpy(), s.values.to_numpy()) for r, lang, b, s in zip(got["r"].to_pylist(), got["lang"].to_pylist(), got["buckets"], got["shares"], strict=True)]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -134,12 +134,14 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     often, n = document_frequency(docs, settings)
     idf = np.log((1 + n) / (1 + often)) + 1
     sample = _sample(docs, settings)
-    languages = sorted({lang for lang, _, _ in sample})
+    languages = sorted({lang for _, lang, _, _ in sample})
     kinds = len(languages)
     if not kinds:
         return Model(settings, [], np.zeros((settings.buckets, 0)), np.zeros(0))
-    fit = [x for i, x in enumerate(sample) if i % settings.calibration_part] or sample
-    held = [x for i, x in enumerate(sample) if i % settings.calibration_part == 0]
+    # of each language the 1st, 5th, ... document calibrates and the others train; both if there is only one
+    fit = [x[1:] for x in sample if (x[0] - 1) % settings.calibration_part]
+    fit += [x[1:] for x in sample if x[1] not in {lang for lang, _, _ in fit}]
+    held = [x[1:] for x in sample if (x[0] - 1) % settings.calibration_part == 0]
     z, g2 = np.zeros((settings.buckets + 1, kinds)), np.zeros((settings.buckets + 1, kinds))
 
     def weights(rows) -> np.ndarray:

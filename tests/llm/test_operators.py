@@ -302,6 +302,17 @@ def test_languages(spark, odd, docs):
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_equal_samples(spark):
+    """As many documents of each language: all of them must be among those that train."""
+    df = table(spark, "/root/testdata/sf0.1", "documents").filter("length(text) < 3000")
+    model = language_id.train(df.filter(~language_id.held_out(F.col("doc_id"))), language_id.Settings(per_language=40))
+    told = language_id.predict(df.filter(language_id.held_out(F.col("doc_id"))), model)
+    right, score = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg("score")).first()
+    assert right >= 0.97 and abs(score - right) < 0.1
+    kept = corpus_pipeline.keep_languages(spark, df, SF)
+    assert kept.count() >= 0.99 * df.count()
+
+
 PAGE = """<html><body class="page"><div class="menu"><a href="/">Home</a> <a href="/x">All other things that we have</a></div><div class="content"><article class="post-12"><header><h1>Title &amp; more</h1>
 <span class="by">by someone</span></header><p>First  paragraph, which is long enough to be read by anyone who comes along.<p>Second &lt;one&gt;, also of some length, and it has <b>bold</b> words<br>in it.
 <script>if (a < b) { x("</p>") }</script><aside>By the way</aside><div class="ad">Buy this</div><form>Mail <input></form></article><div class="comments"><p>I don't agree, said a reader at great length, over and over.</p></div></div>

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinewatch.operators import episodes as E
 from kinewatch.operators import motion as M
 from kinewatch.operators.protocol import clip_metrics
-from kinewatch.operators.slices import slice_width, small
+from kinewatch.operators.slices import SHORTEST_SECONDS, slice_width, small
 from kinewatch.operators.tracking import associate_tracks, association_width
 from kinewatch.operators.geometry import restore_posture
 from kinewatch.params import SCOPE, TRACK, CascadeParams, EventParams, PostureGroups, TrackingParams
@@ -51,7 +51,8 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
         raise ValueError(f"level must be one of {LEVELS}")
     if level == "detector_only":
         return CascadeResult(detections=detections)
-    width = slice_width(detections, SCOPE)
+    # a slice must be longer than any duration the states wait for
+    width = slice_width(detections, SCOPE, at_least=max(SHORTEST_SECONDS, 1.25 * p.thresholds.longest))
     if "track_id" in detections.columns:
         obs = detections
     else:

@@ -230,6 +230,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, levels: list[DataFrame],
 
     columns = ["kind", "row", "doc_id", "key", "times", "n_tokens", "n_known", "base_score", "score"]
     both = settle(docs.select("doc_id", "text").mapInArrow(run, "kind int, row long, doc_id long, key long, times long, n_tokens long, n_known long, base_score double, score double"))
+    shared.destroy()  # `both` is written: nothing reads the tables again
     rare = both.filter(F.col("kind") >= 0).select("kind", "row", "key", "times")
     learned = counts.select("kind", "key", "value")
     met = settle(rare.join(learned, ["kind", "key"], "left"))

@@ -122,11 +122,12 @@ def unseen_costs(keys: DataFrame, levels: list[DataFrame], order: int) -> DataFr
         else:
             t, d = F.col("t"), F.col("d")
         here = here.withColumns({"t": t, "d": d})
-        hit = here.filter(F.col("n").isNotNull()).select("key", (F.col("cost") + F.log10((F.col("n") - 0.5) / F.col("t"))).alias("value"))
-        done = hit if done is None else done.unionByName(hit)
-        escape = F.when(F.col("d") > 0, F.log10(F.lit(0.5) * F.col("d") / F.col("t"))).otherwise(0.0)
+        hit, escape = F.log10((F.col("n") - 0.5) / F.col("t")), F.when(F.col("d") > 0, F.log10(F.lit(0.5) * F.col("d") / F.col("t"))).otherwise(0.0)
         known = F.when(F.col("d").isNotNull(), F.col("context"))
-        waiting = settle(here.filter(F.col("n").isNull()).select("key", (F.col("cost") + escape).alias("cost"), known.alias("above")))
+        # one written table a level: what was found and what waits on are read from it, so that no plan holds all levels
+        here = settle(here.select("key", F.col("n").isNotNull().alias("found"), (F.col("cost") + F.coalesce(hit, escape)).alias("cost"), known.alias("above")))
+        found, waiting = here.filter("found").select("key", F.col("cost").alias("value")), here.filter("not found").select("key", "cost", "above")
+        done = found if done is None else done.unionByName(found)
     seen = levels[order].count()  # at most 256
     rest = waiting.select("key", (F.col("cost") - F.log10(F.lit(float(max(1, 256 - seen))))).alias("value"))
     return done.unionByName(rest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from kinewatch.params import EventParams
+from kinewatch.params import STATES, EventParams
 
 LIFECYCLE_COLUMNS = [
     "kind", "seq", "frame_id", "timestamp_seconds", "start_frame", "start_time", "end_frame",
@@ -18,6 +18,22 @@ LIFECYCLE_TYPES = (
     "transition_reasons array<string>, temporal_state string"
 )
 
+#: Quiet time since the latest event: name of the class and the parameter that bounds it, nearest first; beyond is `far`.
+GAPS = [("merging", "merge_gap"), ("cooling", "cooldown")]
+
+#: What a state change does: (phase, next state) -> steps, in order. Pairs that aren't named do nothing.
+CHANGES = {("open", state): ("note", "tell") for state in STATES} | {
+    ("open", "lying"): ("note", "lie", "tell"),
+    ("open", "resolved"): ("note", "end", "tell"),
+    ("merging", "falling"): ("drop", "reopen", "tell"),
+    ("merging", "lying"): ("drop", "reopen", "tell"),
+    ("cooling", "falling"): ("drop", "suppress", "tell"),
+    ("cooling", "lying"): ("drop", "suppress", "tell"),
+    ("far", "falling"): ("drop", "open", "tell"),
+    ("far", "lying"): ("drop", "open", "lie", "tell"),
+} | {(phase, state): steps for phase in ("merging", "cooling", "far")
+     for state, steps in (("suspected", ("hold",)), ("upright", ("drop",)), ("resolved", ("drop",)))}
+
 
 @dataclass
 class Mark:
@@ -76,44 +92,40 @@ class Episodes:
         self.event.reviewed = True
         self.emit("review", frame_id, t)
 
+    def phase(self, start: Mark) -> str:
+        """`open` while an event runs, else how far `start` is from the end of the latest one."""
+        if self.active:
+            return "open"
+        quiet = start.t - self.event.end_time if self.event is not None else float("inf")
+        return next((name for name, bound in GAPS if quiet <= getattr(self.params, bound)), "far")
+
     def transition(self, mark: Mark, after: str, due: tuple[int, float] | None = None) -> None:
+        """Runs the steps that CHANGES names for this phase and state."""
         self.state = after
-        if self.active:
-            self.event.reasons.append(mark.reason)
-            if after == "lying":
-                self.event.lying_at, self.due = mark.t, due
-            elif after == "resolved":
-                self.close(mark.frame_id, mark.t, "resolved")
-            self.emit("change", mark.frame_id, mark.t)
-        elif after == "suspected":
-            self.pending = mark
-        elif after in ("upright", "resolved"):
-            self.pending = None
-        elif after in ("falling", "lying"):
-            self.promote(mark, after, due)
-
-    def promote(self, mark: Mark, after: str, due: tuple[int, float] | None) -> None:
-        start, self.pending = self.pending or mark, None
-        reasons = [start.reason] + ([mark.reason] if mark.reason != start.reason else [])
-        if self.event is not None:
-            gap = start.t - self.event.end_time
-            if gap <= self.params.merge_gap:
-                e = self.event
-                e.end_frame = e.end_time = None
-                e.status = "active"
-                e.reasons += ["merged: " + r for r in reasons]
-                self.active = True
-                self.emit("change", mark.frame_id, mark.t)
-                return
-            if gap <= self.params.cooldown:
-                self.event.suppressed_at = start.t
-                self.emit("change", mark.frame_id, mark.t)
-                return
-        self.event = Event(start.frame_id, start.t, reasons, start.deadline)
-        self.active, self.due = True, None
-        if after == "lying":
-            self.event.lying_at, self.due = mark.t, due
-        self.emit("change", mark.frame_id, mark.t)
+        start = self.pending or mark
+        texts = list(dict.fromkeys((start.reason, mark.reason)))
+        for step in CHANGES.get((self.phase(start), after), ()):
+            match step:
+                case "hold":
+                    self.pending = mark
+                case "drop":
+                    self.pending = None
+                case "open":
+                    self.event, self.active, self.due = Event(start.frame_id, start.t, texts, start.deadline), True, None
+                case "reopen":
+                    self.event.end_frame, self.event.end_time, self.event.status = None, None, "active"
+                    self.event.reasons += [f"merged: {text}" for text in texts]
+                    self.active = True
+                case "suppress":
+                    self.event.suppressed_at = start.t
+                case "note":
+                    self.event.reasons.append(mark.reason)
+                case "lie":
+                    self.event.lying_at, self.due = mark.t, due
+                case "end":
+                    self.close(mark.frame_id, mark.t, "resolved")
+                case "tell":
+                    self.emit("change", mark.frame_id, mark.t)
 
     # --- batch: frames are known in advance ------------------------------------------------------
 

@@ -22,7 +22,8 @@ T = "timestamp_seconds"
 LOW_SCORE = 0.1
 NEW_TRACK_MARGIN = 0.1
 SECOND_STAGE_COST = 0.5
-MAX_PER_FRAME = 10_000
+#: Track x box cells that are compared at once.
+CELLS = 1 << 20
 
 
 def repair_timestamps(frames: DataFrame, fps: float | None, width: float | None = None,
@@ -84,6 +85,17 @@ def _timed(rows: DataFrame, fps: float | None, part: list[str]) -> DataFrame:
     return ordered.mapInPandas(run, StructType([*ordered.schema.fields, StructField("_value", DoubleType())]))
 
 
+def track_names(frame: int, place: np.ndarray) -> np.ndarray:
+    """Names of tracks: 63-bit digests of the frame and place of the detection each starts with."""
+    def spread(x: np.ndarray) -> np.ndarray:  # the finalizer of splitmix64
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    base = spread(np.array([frame], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (spread(base + place.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
 class Associator:
     """Two-stage IoU association over the frames of one scope, in order."""
 
@@ -103,10 +115,28 @@ class Associator:
         total = area(a)[:, None] + area(b)[None, :] - inter
         return np.where(total > 0, inter / np.where(total > 0, total, 1), 0.0)
 
+    def _near(self, tracks: np.ndarray, boxes: np.ndarray, weight: np.ndarray, limit: float
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Track, box and cost of the pairs within the limit.
+
+        Tracks go from left to right in blocks, so a crowded frame needs no whole matrix; below a
+        cost of 1 only boxes that reach into a block's range of x can be within the limit.
+        """
+        by_left = np.argsort(self.boxes[tracks, 0], kind="stable")
+        step, found = max(1, CELLS // len(boxes)), []
+        for at in range(0, len(tracks), step):
+            block = by_left[at:at + step]
+            own = self.boxes[tracks[block]]
+            near = np.arange(len(boxes)) if limit >= 1 else np.nonzero(
+                (boxes[:, 0] < np.fmax.reduce(own[:, 2])) & (boxes[:, 2] > np.fmin.reduce(own[:, 0])))[0]
+            cost = 1.0 - self._iou(own, boxes[near]) * weight[near][None, :]
+            r, c = np.nonzero(cost <= limit)
+            found.append((block[r], near[c], cost[r, c]))
+        return tuple(np.concatenate(part) for part in zip(*found))
+
     @staticmethod
-    def _pairs(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-        rows, cols = np.nonzero(cost <= limit)
-        order = np.lexsort((cols, rows, cost[rows, cols]))
+    def _pairs(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray) -> list[tuple[int, int]]:
+        order = np.lexsort((cols, rows, cost))
         out, used_r, used_c = [], set(), set()
         for k in order:
             r, c = int(rows[k]), int(cols[k])
@@ -127,8 +157,6 @@ class Associator:
 
     def step(self, frame: int, boxes: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Track id per detection, -1 where none is assigned."""
-        if len(boxes) >= MAX_PER_FRAME:
-            raise ValueError("too many detections in one frame for the track numbering")
         self.forget(frame)
         ids = np.full(len(boxes), -1, dtype=np.int64)
         taken = np.zeros(len(boxes), dtype=bool)
@@ -142,9 +170,8 @@ class Associator:
             tracks = np.nonzero(pool & (self.seen != frame))[0]
             if not len(dets) or not len(tracks):
                 continue
-            like = self._iou(self.boxes[tracks], boxes[dets])
-            cost = 1.0 - (like * scores[dets][None, :] if fuse else like)
-            for r, c in self._pairs(cost, limit):
+            weight = scores[dets] if fuse else np.ones(len(dets))
+            for r, c in self._pairs(*self._near(tracks, boxes[dets], weight, limit)):
                 t, d = tracks[r], dets[c]
                 self.boxes[t], self.seen[t], taken[d] = boxes[d], frame, True
                 self.hits[t] = min(self.hits[t] + 1, self.p.minimum_consecutive_frames)
@@ -153,8 +180,7 @@ class Associator:
         born = [d for d in strong if not taken[d]
                 and scores[d] >= self.p.track_activation_threshold + NEW_TRACK_MARGIN]
         if born:
-            # a track is named by the frame and place of the detection it starts with
-            new = np.array([frame * MAX_PER_FRAME + d for d in born], dtype=np.int64)
+            new = track_names(frame, np.array(born))
             self.boxes = np.vstack([self.boxes, boxes[born]])
             self.ids = np.concatenate([self.ids, new])
             self.seen = np.concatenate([self.seen, np.full(len(born), frame)])

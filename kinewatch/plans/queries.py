@@ -1386,7 +1386,8 @@ def stream_cascade(spark, sf):
          .option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     out = spark.read.parquet(f"{at}/out").filter("kind = 'transition'")
-    return out.select(*TRACK, "frame_id", "previous_state", "next_state", "reason")
+    track = F.col("track_id").cast("int").alias("track_id")  # the type in the given tables
+    return out.select(*SCOPE, track, "frame_id", "previous_state", "next_state", "reason")
 
 
 @query("events_round_trip", f"""{LIFE} select {EVENT_SQL} from events_out""")

@@ -17,7 +17,7 @@ from kinewatch.operators.lifecycle import LIFECYCLE_COLUMNS, LIFECYCLE_TYPES, Ep
 from kinewatch.operators.motion import FIRST_ELAPSED
 from kinewatch.params import SCOPE, TRACK, CascadeParams
 
-OUTPUT = ("source_id string, session_id string, track_id int, out_seq long, " + LIFECYCLE_TYPES
+OUTPUT = ("source_id string, session_id string, track_id long, out_seq long, " + LIFECYCLE_TYPES
           + ", previous_state string, next_state string, reason string")
 OUT_COLUMNS = [*TRACK, "out_seq", *LIFECYCLE_COLUMNS, "previous_state", "next_state", "reason"]
 
@@ -52,7 +52,7 @@ class TrackState:
         th, t = self.p.thresholds, frame["t"]
         w, h = o["x2"] - o["x1"], o["y2"] - o["y1"]
         center = (o["y1"] + o["y2"]) / 2.0
-        aspect, speed, elapsed = w / h, 0.0, FIRST_ELAPSED
+        aspect, speed, elapsed = w / h if h else 0.0, 0.0, FIRST_ELAPSED
         if self.last is None:
             self.entered = t
         else:
@@ -113,7 +113,7 @@ class Cascade(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clock = handle.getValueState("clock", "saved string")
-        self.tracks = handle.getMapState("tracks", "track_id int", "saved string")
+        self.tracks = handle.getMapState("tracks", "track_id long", "saved string")
 
     def close(self) -> None:
         pass

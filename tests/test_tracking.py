@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,27 @@ def test_cascade_from_untracked_detections(spark, monkeypatch):
     monkeypatch.setattr(slices, "MAX_GROUP_ROWS", 60)
     cut = run_cascade(frames, detections, level="temporal").transitions
     assert plain.exceptAll(cut).count() == 0 and cut.count() == plain.count()
+
+
+def test_crowded_frames_and_large_frame_ids():
+    """20,000 boxes a frame, frame ids as epoch microseconds: every box keeps its track, names differ."""
+    n, start = 20_000, 1_700_000_000_000_000
+    x, y = np.arange(n) % 200 * 10.0, np.arange(n) // 200 * 10.0
+    boxes = np.stack([x, y, x + 8, y + 8], axis=1)
+    one = TR.Associator(TR.TrackingParams())
+    first = one.step(start, boxes, np.full(n, 0.9))
+    assert len(set(first)) == n and (first >= 0).all()
+    assert (one.step(start + 1, boxes + 0.2, np.full(n, 0.9)) == first).all()
+
+
+def test_blocks_find_the_pairs_of_the_whole_matrix(monkeypatch):
+    rng = np.random.default_rng(3)
+    corner = rng.uniform(0, 60, (80, 2))
+    boxes = np.hstack([corner, corner + rng.uniform(1, 30, (80, 2))])
+    one, weight = TR.Associator(TR.TrackingParams()), rng.uniform(0.2, 1, 50)
+    one.boxes = boxes[:30]
+    for limit in (0.5, 0.8, 1.0):
+        cost = 1.0 - one._iou(boxes[:30], boxes[30:]) * weight[None, :]
+        monkeypatch.setattr(TR, "CELLS", 200)
+        got = one._near(np.arange(30), boxes[30:], weight, limit)
+        assert sorted(zip(*got)) == sorted((r, c, cost[r, c]) for r, c in zip(*np.nonzero(cost <= limit)))

@@ -16,6 +16,9 @@ from kinewatch.llm.common import remainder_of_id, rows_of
 
 UNKNOWN = "und"
 
+#: Parts of a language while the end of its sample is sought.
+SAMPLE_PARTS = 256
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -105,8 +108,14 @@ def document_frequency(docs: DataFrame, settings: Settings) -> tuple[np.ndarray,
 
 def _sample(docs: DataFrame, settings: Settings) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
     """Features of the documents with the smallest hashes, so many a language: (rank, language, buckets, share of each)."""
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(11)).alias("_h")).filter(F.rlike("text", F.lit(r"\p{L}")))
+    # where the sample of each language ends, from hashes alone and in parts: no task gets a language's texts or all its hashes
+    ends = rows.select("lang", "_h", F.pmod("_h", F.lit(SAMPLE_PARTS)).alias("_part"))
+    for by in (["lang", "_part"], ["lang"]):
+        ends = ends.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_h"))).filter(F.col("_r") <= settings.per_language)
+    ends = ends.groupBy("lang").agg(F.max("_h").alias("_end"))  # a row a language, of which the model holds all
+    chosen = rows.join(F.broadcast(ends), "lang").filter(F.col("_h") <= F.col("_end"))
     order = W.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(11)).alias("_h")).filter(F.rlike("text", F.lit(r"\p{L}")))
     chosen = chosen.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= settings.per_language)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

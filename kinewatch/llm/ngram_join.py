@@ -2,7 +2,8 @@
 
 Rows are classes of documents with equal n-gram sets. The product is first formed over the columns that a size bound
 says a pair must share, rarest columns first (hub rows before the rest, so that groups of near copies are joined without
-all of their pairs); then the overlaps of the pairs that are left are counted over all columns.
+all of their pairs). Sketches of the rows give each pair a bound on how far apart it is; the overlaps of the pairs that
+are left are counted over all columns.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from kinewatch.llm.components import components
 WORDS, SHARE = 5, (4, 5)
 #: Buckets for counting n-grams (a byte each when sent out), bits for filtering classes, parts of a frequent n-gram.
 BUCKETS, BITS, PARTS = 1 << 22, 1 << 26, 64
+#: Bits of a sketch for each n-gram, at least, and of any sketch.
+SKETCH, LEAST = 2, 64
 #: Levels are powers of two of a count; from this one on an n-gram is dealt out in parts.
 FREQUENT = 10
 #: Hub rounds before the rest of the product is formed, and at most; more than HUBS are made while the rest would be larger
 #: than REST entries for each entry of the matrix. The links found are the same.
-HUBS, ROUNDS, REST = 2, 12, 256
+HUBS, ROUNDS, REST = 1, 12, 256
 
 DOCUMENT, COUNT = 0, 1
 
@@ -59,21 +62,41 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """A set as bits: each n-gram turns one over. Of a power of two of bits, so that two halves laid over each other are the smaller sketch."""
+    bits = np.zeros(max(LEAST, 1 << (SKETCH * len(grams) - 1).bit_length()), np.uint8)
+    np.add.at(bits, (grams & np.uint64(len(bits) - 1)).astype(np.int64), 1)
+    return np.packbits(bits & 1).tobytes()
+
+
+def _apart(left: bytes, right: bytes) -> int:
+    """Bits in which two sketches differ: at least so many n-grams are in one of the two sets alone."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """kind DOCUMENT: doc_id, class, n. kind COUNT: a bucket (as class) and how many n-grams a task has seen in it (n), if it stands out."""
+    """kind DOCUMENT: doc_id, class, n, and sketch (of a class, its first time in a task). kind COUNT: a bucket (as class) and how many n-grams a task has seen in it (n), if it stands out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int32)
+        seen, had = np.zeros(BUCKETS, np.int32), set()
         for batch in rows_of(batches, "text"):
-            _, n, kind, grams = ngram_sets(batch.column("text"), width)
+            at, n, kind, grams = ngram_sets(batch.column("text"), width)
             np.add.at(seen, _bucket(grams), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(kind), pa.array(n)], names=names)
+            sketches: list[bytes | None] = [None] * len(n)
+            for i in _unseen(kind, np.flatnonzero(n), had).tolist():
+                sketches[i] = _sketch(grams[at[i] : at[i] + n[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(kind), pa.array(n), pa.array(sketches, pa.binary())], names=names)
         out = np.flatnonzero(seen >= 8 + 4 * int(seen.mean()))
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), np.int32)), pa.nulls(len(out), pa.int64()), pa.array(out), pa.array(seen[out].astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), np.int32)), pa.nulls(len(out), pa.int64()), pa.array(out), pa.array(seen[out].astype(np.int64)), pa.nulls(len(out), pa.binary())], names=names)
 
-    names = ["kind", "doc_id", "class", "n"]
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, class long, n long")
+    names = ["kind", "doc_id", "class", "n", "sketch"]
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, class long, n long, sketch binary")
 
 
 def _levels(found: DataFrame) -> np.ndarray:
@@ -95,7 +118,7 @@ def _unseen(kind: np.ndarray, some: np.ndarray, seen: set) -> np.ndarray:
 
 
 def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tuple[int, int]) -> DataFrame:
-    """gram, class, n, edge (the last of them in order): of each class the rarest n-grams, so many that a pair over the bound shares one; those of one class alone are left out.
+    """gram, class, n, place (from 0): of each class the rarest n-grams, so many that a pair over the bound shares one; those of one class alone are left out.
 
     With |x| n-grams, a partner shares share * |x| of them at least, so it misses no more than the others, and one of
     |x| - ceil(share * |x|) + 1 is common. The order (level, hash) is the same for all documents.
@@ -117,11 +140,8 @@ def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tupl
             gram, level = gram[pick], level[pick]
             lead = (n - -(-n * share[0] // share[1]) + 1)[row]
             keep = place < lead
-            order = (level.astype(np.int64) << 56) | (gram >> np.uint64(8)).astype(np.int64)
-            edge = order[place == lead - 1]
-            edge = np.repeat(edge, lead[keep & (place == 0)])
             gram, row, level, place = gram[keep].astype(np.int64), row[keep], level[keep], place[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kind[row]), pa.array(n[row].astype(np.int32)), pa.array(edge), pa.array(place.astype(np.int32)), pa.array(level >= FREQUENT)], names=["gram", "class", "n", "edge", "place", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(kind[row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(level >= FREQUENT)], names=["gram", "class", "n", "place", "frequent"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of n-gram and class: drops repeats, and n-grams of one class unless their other parts are elsewhere."""
@@ -140,13 +160,13 @@ def leading_columns(docs: DataFrame, levels: np.ndarray, width: int, share: tupl
             keep[-1] = False
             out = batch.filter(pa.array(keep))
             if out.num_rows:
-                yield out.select(["gram", "class", "n", "edge", "place"])
+                yield out.select(["gram", "class", "n", "place"])
         if held is not None and (had or held.column("frequent")[0].as_py()):
-            yield held.select(["gram", "class", "n", "edge", "place"])
+            yield held.select(["gram", "class", "n", "place"])
 
-    led = docs.select("text").mapInArrow(run, "gram long, class long, n int, edge long, place int, frequent boolean")
+    led = docs.select("text").mapInArrow(run, "gram long, class long, n int, place int, frequent boolean")
     part = F.when(F.col("frequent"), F.pmod(F.col("class"), F.lit(PARTS))).otherwise(0)
-    return led.withColumn("part", part).repartition("gram", "part").drop("part").sortWithinPartitions("gram", "class").mapInArrow(several, "gram long, class long, n int, edge long, place int")
+    return led.withColumn("part", part).repartition("gram", "part").drop("part").sortWithinPartitions("gram", "class").mapInArrow(several, "gram long, class long, n int, place int")
 
 
 def full_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -170,44 +190,48 @@ def full_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, grams binary")
 
 
-def count_common(pairs: DataFrame, rows: DataFrame, more: list[str]) -> DataFrame:
-    """a, b, more columns of the pairs, and common: how many n-grams the rows (class, grams) of a and b share; size_a and size_b."""
-    both = pairs.join(rows.select(F.col("class").alias("b"), F.col("grams").alias("right")), "b")
-    both = both.join(rows.select(F.col("class").alias("a"), F.col("grams").alias("left")), "a")
+def _with_both(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """The pairs with a value of a's and of b's row, as left and right."""
+    both = pairs.join(rows.select(F.col("class").alias("b"), F.col(value).alias("right")), "b")
+    return both.join(rows.select(F.col("class").alias("a"), F.col(value).alias("left")), "a")
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b, apart of the pairs (a, b, na, nb) that their sketches (class, sketch) let pass: all over the bound, and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((3, batch.num_rows), np.int64)
-            for i, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-                x, y = _hashes(left), _hashes(right)
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                out[:, i] = (z[1:] == z[:-1]).sum(), len(x), len(y)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", *more)], *map(pa.array, out)], names=["a", "b", *more, "common", "size_a", "size_b"])
+            both = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
+            apart = np.array([_apart(x, y) for x, y in both], np.int64)
+            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            need = -(-share[0] * total // sum(share))  # of a pair over the bound so many are common, and no more than the rest are not
+            near = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"])
+            yield near.filter(pa.array(apart <= total - 2 * need))
 
-    kinds = "".join(f", {c} {dict(pairs.dtypes)[c]}" for c in more)
-    return both.select("a", "b", *more, "left", "right").mapInArrow(run, f"a long, b long{kinds}, common long, size_a long, size_b long")
+    return _with_both(pairs, sketches, "sketch").select("a", "b", "na", "nb", "left", "right").mapInArrow(run, "a long, b long, apart long")
 
 
-def _hashes(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.int64) if pa.types.is_binary(value.type) else value.values.to_numpy()
+def overlap(pairs: DataFrame, rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b of the pairs whose counted overlap, of rows (class, grams), reaches the bound."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reach = np.zeros(batch.num_rows, bool)
+            for i, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (left, right))
+                z = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((z[1:] == z[:-1]).sum())
+                reach[i] = common * share[1] >= (len(z) - common) * share[0]
+            yield batch.select(["a", "b"]).filter(pa.array(reach))
 
-def overlap(pairs: DataFrame, rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """a, b of the pairs whose counted overlap reaches the bound."""
-    counted = count_common(pairs, rows, [])
-    return counted.filter(F.col("common") * share[1] >= (F.col("size_a") + F.col("size_b") - F.col("common")) * share[0]).select("a", "b")
+    return _with_both(pairs, rows, "grams").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def _may_reach(common: Column, share: tuple[int, int]) -> Column:
-    """Whether a pair with so many common leading n-grams can reach the bound.
-
-    All that both have up to the earlier of the two edges is counted; the rest of that row is the most that can follow.
-    """
+    """Whether a pair with so many common leading n-grams, at most, can reach the bound: what follows in a row is the most that can be added."""
     p, q = share
-    need = _need(share)
     after = lambda n: F.ceil(n * p / q) - 1
-    rest = F.when(F.col("ea") < F.col("eb"), after(F.col("na"))).when(F.col("eb") < F.col("ea"), after(F.col("nb"))).otherwise(F.greatest(after(F.col("na")), after(F.col("nb"))))
-    return common + rest >= need
+    return common + F.greatest(after(F.col("na")), after(F.col("nb"))) >= _need(share)
 
 
 def _need(share: tuple[int, int]) -> Column:
@@ -224,10 +248,10 @@ def _near_sizes(share: tuple[int, int]) -> Column:
 
 
 def _side(df: DataFrame, s: str, *more: str) -> DataFrame:
-    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "edge", "c", "m", "place")], *more)
+    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "c", "m", "place")], *more)
 
 
-PAIR, TURNED = ["a", "b", "na", "nb", "ea", "eb"], ["b", "a", "nb", "na", "eb", "ea"]
+PAIR, TURNED = ["a", "b", "na", "nb"], ["b", "a", "nb", "na"]
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -239,11 +263,12 @@ def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple
     """vertex and component of the classes that are linked with others."""
     entries = settle(leading_columns(docs, _levels(found), width, share))
     size = entries.count()
-    leading = settle(entries.groupBy("class").agg(F.collect_list("gram").alias("grams")))
+    sketched = found.filter(F.col("sketch").isNotNull()).select("class", "sketch").join(entries.select("class").distinct(), "class", "left_semi")
+    sketches = settle(sketched.dropDuplicates(["class"]))
     links, groups = None, None
     for turn in range(ROUNDS + 1):
         named = entries if groups is None else entries.join(groups.withColumnRenamed("vertex", "class"), "class", "left")
-        named = named.withColumn("c", F.col("class") if groups is None else F.coalesce("component", "class")).select("gram", "class", "n", "edge", "place", "c")
+        named = named.withColumn("c", F.col("class") if groups is None else F.coalesce("component", "class")).select("gram", "class", "n", "place", "c")
         mixed = named.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") < F.col("hi")).select("gram")
         open_ = named.join(mixed, "gram", "left_semi")
         # m: how many leading n-grams a row has in common with anyone else, the most that a pair can count
@@ -260,17 +285,16 @@ def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple
             left = _side(open_.join(tally, "gram").filter(F.col("c") != F.col("main")), "a", "main")
             pairs = left.join(_side(open_, "b"), "gram").filter(fits & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
         else:  # hubs of each n-gram: its smallest row, a random one, and a random one outside of its main component
-            row = F.struct("class", "n", "edge", "c", "m", "place")
+            row = F.struct("class", "n", "c", "m", "place")
             luck = lambda k: F.xxhash64("class", "gram", F.lit(2 * turn + k))  # noqa: E731, B023
             hubs = open_.join(tally, "gram").groupBy("gram").agg(F.array(
                 F.min_by(row, F.struct("n", luck(0))), F.min_by(row, luck(0)), F.min_by(row, F.when(F.col("c") != F.col("main"), luck(1)))).alias("hubs"))
             hubs = _side(hubs.select("gram", F.explode(F.array_distinct("hubs")).alias("hub")).filter(F.col("hub").isNotNull()).select("gram", "hub.*"), "a")
             pairs = hubs.join(_side(open_, "b"), "gram").filter(fits)
-        pairs = count_common(_in_order(pairs).distinct(), leading, PAIR[2:])
-        pairs = pairs.filter(_may_reach(F.col("common"), share)).select("a", "b", "common")
-        if not last:  # of a row's pairs with hubs the two that have most in common; what they leave apart, the last product joins
-            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "common"))
-            ranked = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("common"), "b"))).filter(F.col("r") <= 2)
+        pairs = near_pairs(_in_order(pairs).distinct(), sketches, share)
+        if not last:  # of a row's pairs with hubs the two that seem nearest; what they leave apart, the last product joins
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+            ranked = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))).filter(F.col("r") <= 2)
             pairs = ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = settle(pairs.select("a", "b"))
         rows = full_rows(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")), width)

@@ -228,6 +228,18 @@ def edited(rng, text, k):
     return " ".join(w)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_sketches_never_exceed_the_difference(seed):
+    rng = np.random.default_rng(seed)
+    n, m = (int(rng.integers(1, 1 << k)) for k in (seed % 12 + 1, (seed + seed // 20) % 12 + 1))
+    pool = rng.integers(0, 1 << 63, n + m, np.uint64)
+    a, b = set(pool[:n].tolist()), set(pool[int(rng.integers(0, n + 1)) :][:m].tolist())
+    sketch = lambda x: ngram_join._sketch(np.array(sorted(x), np.uint64))
+    apart = ngram_join._apart(sketch(a), sketch(b))
+    assert apart == ngram_join._apart(sketch(b), sketch(a)) <= len(a ^ b)
+    assert (apart - len(a ^ b)) % 2 == 0 and (apart > 0 or a == b or len(a ^ b) > 1)
+
+
 def test_ngram_join(spark, odd, monkeypatch):
     joined_right(ngram_join.join_documents(odd).collect(), [(r[0], r[1]) for r in ODD])
     rng = np.random.default_rng(5)

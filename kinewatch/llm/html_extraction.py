@@ -30,6 +30,12 @@ OTHER = set("""ad ads adsense advert advertisement advertising banner breadcrumb
  promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription
  teaser toolbar widget""".split())
 ARTICLE = set("article body content entry main post story text".split())
+#: Words that may follow one of OTHER in a name without another meaning, and elements that a name never drops.
+LAYOUT = set("""area bar block bottom box button buttons column container content form group holder icon icons inner item items left link links list
+ menu message outer panel row section slot text top unit wrap wrapper""".split())
+SPARED = {"body", "html", "main", "p", "pre", "blockquote"} | HEADINGS
+#: A named element goes if it has at most this share of the page's text, or more than this share of its own text in links.
+SMALL, LINKED = 1 / 3, 1 / 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
@@ -37,29 +43,45 @@ _DIGITS, _PIECES = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "drop", "score", "text", "link")
+    __slots__ = ("tag", "path", "parent", "drop", "mark", "score", "text", "link")
 
-    def __init__(self, tag: str, path: str, parent: "Node | None", drop: int):
+    def __init__(self, tag: str, path: str, parent: "Node | None", drop: int, mark: str = ""):
         self.tag, self.path, self.parent, self.drop = tag, path, parent, drop  # drop: 0 read, 1 headings alone, 2 nothing
+        self.mark = mark  # what its names say: "", "weak", "strong", "header" or "comment"
         self.score, self.text, self.link = 0.0, 0, 0
 
 
+def _mark(tag: str, names: list[str]) -> str:
+    """What class and id say of an element: names that are words of OTHER as a whole are strong, those that begin with one are weak."""
+    strong, weak, article = set(), False, tag == "article"
+    for name in names:
+        words = [w.lower() for w in _PIECES.findall(name)]
+        article = article or not ARTICLE.isdisjoint(words)
+        if not words or words[0] not in OTHER:
+            continue
+        if all(w in OTHER or w in LAYOUT for w in words):
+            strong.update(w for w in words if w in OTHER)
+            if len(words) == 1 and words[0] in ("comment", "comments"):
+                return "comment"
+        else:
+            weak = True
+    if article:
+        return ""
+    return "header" if strong == {"header"} else "strong" if strong else "weak" if weak else ""
+
+
 def _open(tag: str, attributes: str, parent: Node) -> Node:
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)} if attributes else {}
     classes = named.get("class", "").split()
-    words = {w.lower() for w in _PIECES.findall(named.get("class", "") + " " + named.get("id", ""))} if named else set()
-    drop = parent.drop
+    drop, mark = parent.drop, ""
     if tag in DROPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
         drop = 2
-    elif words & OTHER and tag not in ("body", "html", "main"):
-        if words & {"comment", "comments"} or not words & ARTICLE and tag != "article":
-            drop = 2
-        if drop == 2 and "header" in words and not words & (OTHER - {"header"}):
-            drop = max(parent.drop, 1 if _within_article(parent) else 2)
+    elif named and tag not in SPARED:
+        mark = _mark(tag, [*classes, *named.get("id", "").split()])
     if tag == "header" and drop < 2:
         drop = 1 if _within_article(parent) else 2
     label = ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})])
-    return Node(tag, f"{parent.path}/{label}", parent, drop)
+    return Node(tag, f"{parent.path}/{label}", parent, drop, mark)
 
 
 def _within_article(node: Node | None) -> bool:
@@ -70,10 +92,61 @@ def _within_article(node: Node | None) -> bool:
     return False
 
 
+def _drop_marked(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Marked elements that are small beside the page or mostly links go with all below them; names of comments always count."""
+    sizes = {n: [0, 0] for n in nodes if n.mark}
+    if not sizes:
+        return
+    total = 0
+    for node, text, link in blocks:
+        total += len(text)
+        while node is not None:
+            if node.mark:
+                sizes[node][0] += len(text)
+                sizes[node][1] += link
+            node = node.parent
+    for node in nodes:  # parents come first
+        drop = node.drop
+        if node.mark:
+            size, link = sizes[node]
+            if node.mark == "comment" or link > LINKED * size or node.mark != "weak" and size <= SMALL * total:
+                drop = max(drop, 1 if node.mark == "header" and _within_article(node.parent) else 2)
+        node.drop = max(drop, node.parent.drop)
+
+
 def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """The blocks of a page that may be read, with the element of each, and its containers with scores."""
+    """The blocks of a page that may be read, with the element of each, and its containers with scores.
+
+    Where classes and ids would leave no text, they drop nothing.
+    """
+    nodes, read, containers = _parse(html)
+    hard = [n.drop for n in nodes]
+    _drop_marked(nodes, read)
+    blocks = _readable(read)
+    if read and not blocks:
+        for node, drop in zip(nodes, hard, strict=True):
+            node.drop = drop
+        blocks = _readable(read)
+    for here, text, link in blocks:
+        worth = max(0, len(text) - 2 * link)
+        gain = (1 + min(worth / 100, 20) + text.count(",") / 4) if worth else 0.0
+        node, share = _container(here), 1.0
+        while node is not None and share >= 0.25:
+            node.score += gain * share
+            node.text += len(text)
+            node.link += link
+            node, share = _container(node.parent), share / 2
+    return [(node, text) for node, text, _ in blocks], containers
+
+
+def _readable(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    return [b for b in blocks if b[0].drop == 0 or b[0].drop == 1 and _headed(b[0])]
+
+
+def _parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]], list[Node]]:
+    """The elements of a page, its blocks (element, text, characters in links) outside of elements that aren't read, and its containers."""
     top = Node("", "", None, 0)
-    here, blocks, containers, parts = top, [], [top], []
+    here, nodes, blocks, containers, parts = top, [], [], [top], []
     link = 0  # characters of the open block inside links
     at, inside = 0, 0  # inside: open links
 
@@ -83,15 +156,7 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text and (here.drop == 0 or here.drop == 1 and _headed(here)):
-                blocks.append((here, text))
-                worth = max(0, len(text) - 2 * link)
-                gain = (1 + min(worth / 100, 20) + text.count(",") / 4) if worth else 0.0
-                node, share = _container(here), 1.0
-                while node is not None and share >= 0.25:
-                    node.score += gain * share
-                    node.text += len(text)
-                    node.link += link
-                    node, share = _container(node.parent), share / 2
+                blocks.append((here, text, link))
             parts, link = [], 0
 
     def add(text: str) -> None:
@@ -146,10 +211,11 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 if node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
                     here = node.parent
             here = _open(tag, m[3] or m[6] or "", here)
+            nodes.append(here)
             if tag in CONTAINER:
                 containers.append(here)
     flush()
-    return blocks, containers
+    return nodes, blocks, containers
 
 
 def _headed(node: Node) -> bool:

@@ -343,6 +343,20 @@ def test_pages(spark):
     assert html_extraction.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html", [
+    '<div class="wrap has-sidebar"><p>{0}</p><p>{1}</p></div>', '<div id="page" class="no-header"><p>{0}</p><p>{1}</p></div>',
+    '<article class="post no-comments"><p>{0}</p><p>{1}</p></article>', '<article><p>{0}</p><section id="related-work"><p>{1}</p></section></article>',
+    '<article><h2 id="notice">{0}</h2><p>{1}</p></article>', '<article><p>{0}</p><p class="share">{1}</p></article>',
+    '<div class="sidebar"><p>{0}</p><p>{1}</p></div>', '<div class="comments"><p>{0}</p><p>{1}</p></div>', '<div class="search-active"><p>{0}</p><p>{1}</p></div>'])
+def test_pages_named_by_layout(html):
+    """A word of a name alone doesn't delete an article or a part of it; the same names still drop what is beside it."""
+    first, second = "The first part of the text, which goes on for a while.", "A second part, and it is about as long as the first."
+    for page in (html, f'<body><div class="menu"><a href="/">Home</a></div>{html}<div id="footer-links"><a href="/x">more</a></div></body>'):
+        assert html_extraction.extract(page.format(first, second), None) == f"{first}\n{second}"
+    around = '<article><p>{0}</p><p>{0}</p><p>{0}</p><div class="share-buttons">Send it</div><ul class="related-posts"><li><a href="/y">Another one</a></ul><div class="sidebar">Aside</div></article>'
+    assert html_extraction.extract(around.format(first), None) == "\n".join([first] * 3)
+
+
 def test_pipeline(spark, docs, odd, monkeypatch):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:4]:

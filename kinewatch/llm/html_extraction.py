@@ -1,4 +1,4 @@
-"""HTML extraction by consensus of a host: pages vote on the path of their best container, then are read along it."""
+"""HTML extraction by consensus of a host: pages vote on the path of their best container, then the articles around it are read."""
 
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ OTHER = set("""ad ads adsense advert advertisement advertising banner breadcrumb
  promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription
  teaser toolbar widget""".split())
 ARTICLE = set("article body content entry main post story text".split())
+#: Names of one article as a whole.
+WHOLE = set("article entry post story".split())
 #: Words that may follow one of OTHER in a name without another meaning, and elements that a name never drops.
 LAYOUT = set("""area bar block bottom box button buttons column container content form group holder icon icons inner item items left link links list
  menu message outer panel row section slot text top unit wrap wrapper""".split())
@@ -248,26 +250,44 @@ def best_container(html: str | None) -> tuple[str, float] | None:
     return (best.path, _worth(best)) if best.score else None
 
 
+def _upwards(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _named_article(node: Node) -> bool:
+    """Whether one of the classes means one article as a whole, like post-12, and not a part of it, like post-title."""
+    names = [_PIECES.findall(c) for c in node.path.rpartition("/")[2].split(".")[1:]]
+    return any(words and all(w.lower() in WHOLE for w in words) for words in names)
+
+
+def _widened(hits: list[Node]) -> tuple[set[str], Node | None]:
+    """Paths of the nearest article or main around each hit (itself counts), else of the nearest element that names itself one.
+
+    Hits with neither are read from the lowest element that holds all of them, the second value.
+    """
+    paths, rest = set(), []
+    for hit in hits:
+        around = next((n for n in _upwards(hit) if n.tag in ("article", "main")), None) or next((n for n in _upwards(hit) if _named_article(n)), None)
+        paths.add(around.path) if around is not None else rest.append(hit)
+    common = list(_upwards(rest[0])) if rest else [None]
+    for hit in rest[1:]:
+        held = set(_upwards(hit))
+        common = [n for n in common if n in held]
+    return paths, common[0]
+
+
 def extract(html: str | None, path: str | None) -> str:
-    """The blocks in the page's containers of this path (those of some worth beside the best), or in its own best one."""
+    """All blocks of the articles around the page's containers of this path, or around its own best one."""
     if not html:
         return ""
     blocks, containers = read_page(html)
-    worths = {n: _worth(n) for n in containers if n.path == path} if path is not None else {}
-    if not worths or not max(worths.values()):
-        best = max(containers, key=_worth)
-        worths = {best: _worth(best)}
-    most = max(worths.values())
-    chosen = {n for n, w in worths.items() if w >= 0.2 * most}
-
-    def within(node: Node | None) -> bool:
-        while node is not None:
-            if node in chosen:
-                return True
-            node = node.parent
-        return False
-
-    return "\n".join(text for node, text in blocks if within(node))
+    hits = [n for n in containers if n.path == path and n.drop < 2] if path is not None else []
+    if not any(map(_worth, hits)):
+        hits = [max(containers, key=_worth)]
+    paths, common = _widened(hits)
+    return "\n".join(text for node, text in blocks if any(n is common or n.path in paths for n in _upwards(node)))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:

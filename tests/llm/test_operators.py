@@ -357,6 +357,22 @@ def test_pages_named_by_layout(html):
     assert html_extraction.extract(around.format(first), None) == "\n".join([first] * 3)
 
 
+def test_pages_in_nested_templates(spark):
+    """Title, lead and short sections stay, whichever container of the article wins the vote."""
+    many = "".join(f"<p>Paragraph {i} of the text, which goes on for a while, as they do.</p>" for i in range(8))
+    body = "\n".join(f"Paragraph {i} of the text, which goes on for a while, as they do." for i in range(8))
+    inner = f'<h1>T</h1><p>lead</p><div class="content">{many}</div>'
+    cases = {"a": (f"<body><p>out</p><article>{inner}</article></body>", f"T\nlead\n{body}"), "b": (f"<body><p>out</p><article><section>{many}</section><section><p>Short one.</p></section></article></body>", f"{body}\nShort one."),
+             "c": (f'<body><p>out</p><div class="post-5">{inner}</div></body>', f"T\nlead\n{body}"),
+             "d": (f'<body><p>out</p><div><div class="x">{many}</div><h2>Between</h2><div class="x"><p>Short one.</p></div></div></body>', f"{body}\nBetween\nShort one."),
+             "e": (f"<main><article>{inner}</article><article><p>Short one.</p></article></main>", f"T\nlead\n{body}\nShort one.")}
+    rows = [(i, f"http://{host}.org/{i}", cases[host][0]) for host in cases for i in range(3)]
+    got = html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == cases[r["url"][7]][1], r["url"]
+
+
 def test_pipeline(spark, docs, odd, monkeypatch):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:4]:

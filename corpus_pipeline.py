@@ -44,8 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences."""
-    return packing.pack(docs, tokenizer_file(), with_ids=False)
+    """Token ids of all documents' pieces, with their places in sequences."""
+    return packing.pack(docs, tokenizer_file())
 
 
 STAGES = [("language_id", keep_languages), ("line_dedup", drop_lines), ("ngram_jaccard_join", drop_near_copies), ("source_mixing", mix), ("best_fit_packing", pack)]

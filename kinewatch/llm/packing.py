@@ -266,3 +266,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     Other columns of docs aren't read.
     """
     return assign(settle(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+
+
+def digest(packed: DataFrame) -> DataFrame:
+    """Packed pieces with ids_crc32 taken from the ids that arrived, in place of the ids."""
+
+    @F.pandas_udf("long")
+    def crc32(ids: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.asarray(x, "<i4").tobytes()) for x in ids], dtype="int64")
+
+    return packed.withColumn("ids_crc32", crc32("ids")).drop("ids")

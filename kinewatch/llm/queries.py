@@ -21,7 +21,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

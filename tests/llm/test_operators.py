@@ -141,6 +141,19 @@ def test_packing(spark, odd, docs):
     assert packing.pack(odd.limit(0), queries.tokenizer_file()).count() == 0
 
 
+def test_packing_carries_ids(spark, docs, monkeypatch):
+    """The pipeline's last stage gives the tokens of each piece, and op2's digests are taken from them."""
+    rows = corpus_pipeline.pack(spark, docs, SF).collect()
+    packed_right(rows, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    asked, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: asked.append(b.get("with_ids", True)) or pack(*a, **b))
+    df = queries.op2_best_fit_packing(spark, SF)
+    assert asked == [True] and df.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert collections.Counter(df.select(kept).collect()) == collections.Counter(tuple(r[c] for c in kept) for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan(seed):
     rng = np.random.default_rng(seed)

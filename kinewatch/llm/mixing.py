@@ -119,14 +119,20 @@ def round_copies(parts: DataFrame, leaves: int, seed: int) -> DataFrame:
     return out.select("row_id", "part")
 
 
+def mark_of() -> Column:
+    """A hash of doc_id, text and source; hashes skip nulls, so it also takes which of them are null."""
+    names = ["doc_id", "text", "source"]
+    return F.xxhash64(*names, *[F.col(c).isNull() for c in names])
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
-    """A row for every row of docs: doc_id, source, size (words), mark (a hash of id and text), source_size, target, copies.
+    """A row for every row of docs: doc_id, source, size (words), mark (a hash of id, text and source), source_size, target, copies.
 
     Each document is due target / source_size copies; the whole part is sure, the rest is rounded. Null text: size 0 and
     no copy. Null source: a source of its own, the last. Repeated rows are documents of their own. Empty table: empty.
     Other columns of docs aren't read. Same rows, same result.
     """
-    slim = settle(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")))
+    slim = settle(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), mark_of().alias("mark")))
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     by_source = settle(targets(sources, weights, most))
     most_docs = by_source.agg(F.max("n")).first()[0] or 0
@@ -149,7 +155,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     copies = mixed.filter(F.col("copies") > 0).groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    keyed = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_mark", mark_of())
     # equal rows share their copies: all but one of them go before the repetition
     joined = keyed.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("mark")))
     once = joined.filter(F.col("rows") == 1).unionByName(joined.filter(F.col("rows") > 1).dropDuplicates(["doc_id", "_mark"]))

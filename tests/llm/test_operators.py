@@ -110,6 +110,19 @@ def test_mixing(spark, odd, docs, monkeypatch):
     assert mixing.mix_sources(odd.filter("doc_id < 3")).agg(F.sum("copies")).first()[0] == 0
 
 
+def test_mixing_of_one_text_in_two_sources(spark):
+    """Rows with equal doc_id and text but other sources are documents of their own, and so stay apart in the repetition."""
+    text = "some words of a text"
+    rows = [(1, text, "en", s, 20) for s in ("a", "b", "c", None)] + [(i, f"{text} {i}", "en", "abc"[i % 3], 22) for i in range(2, 40)] + [(None, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix_sources(docs).cache()
+    assert mixed.count() == len(rows)
+    copies = {r["source"]: r["copies"] for r in mixed.filter("doc_id = 1").collect()}
+    taken = collections.Counter(r["source"] for r in mixing.repeat_documents(docs, mixed).filter("doc_id = 1").collect())
+    assert len(copies) == 4 and taken == collections.Counter({s: n for s, n in copies.items() if n})
+    assert len(mixed.filter("doc_id = 1").select("mark").distinct().collect()) == 4
+
+
 def packed_right(rows, texts, capacity=packing.CAPACITY):
     from tokenizers import Tokenizer
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinewatch.llm import (embedding_dedup, html_extraction, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, top_k,
-                           url_rules)
+from kinewatch.llm import (embedding_dedup, html_extraction, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, ranked_search,
+                           secret_scan, top_k, url_rules, vector_codes)
 from kinewatch.llm.common import table
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", F.col("score").cast("double").alias("score"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_source_mixing, op4_embedding_dedup, op5_line_dedup,
-                                   op6_top_k_search, op7_ngram_join, op8_url_rules, op9_lm_scoring, op10_language_id)}
-ORACLES = {"op5_line_dedup": line_dedup.SQL, "op6_top_k_search": top_k.SQL, "op8_url_rules": url_rules.SQL}
+                                   op6_top_k_search, op7_ngram_join, op8_url_rules, op9_lm_scoring, op10_language_id,
+                                   op11_ranked_search, op12_secret_scan, op13_vector_codes)}
+ORACLES = {"op5_line_dedup": line_dedup.SQL, "op6_top_k_search": top_k.SQL, "op8_url_rules": url_rules.SQL,
+           "op11_ranked_search": ranked_search.SQL, "op13_vector_codes": vector_codes.SQL}

@@ -22,6 +22,8 @@ T = "timestamp_seconds"
 LOW_SCORE = 0.1
 NEW_TRACK_MARGIN = 0.1
 SECOND_STAGE_COST = 0.5
+# A pair at the cost limit is still worth this much more than none.
+MATCH_BONUS = 1e-4
 #: Track x box cells that are compared at once.
 CELLS = 1 << 20
 
@@ -96,8 +98,101 @@ def track_names(frame: int, place: np.ndarray) -> np.ndarray:
     return (spread(base + place.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
+def best_pairs(rows: np.ndarray, cols: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (row, column, gain above 0) the pairs of largest total gain that use no row and no column twice.
+
+    Edges that meet no other are taken at once. The rest falls into connected components, each solved by shortest
+    augmenting paths. Only edges are held, never a matrix. Equal totals: always the same pairs for the same order of rows.
+    """
+    order = np.lexsort((cols, rows))
+    rows, cols, gain = rows[order], cols[order], gain[order]
+    if not len(rows):
+        return rows, cols
+    r_names, r = np.unique(rows, return_inverse=True)
+    c_names, c = np.unique(cols, return_inverse=True)
+    alone = (np.bincount(r)[r] == 1) & (np.bincount(c)[c] == 1)
+    found_r, found_c = [r[alone]], [c[alone]]
+    r, c, gain = r[~alone], c[~alone], gain[~alone]
+    group = _components(r, c, len(r_names))
+    by_group = np.argsort(group, kind="stable")
+    for part in np.split(by_group, np.flatnonzero(np.diff(group[by_group])) + 1) if len(r) else []:
+        own_r, i = np.unique(r[part], return_inverse=True)
+        own_c, j = np.unique(c[part], return_inverse=True)
+        match = _augment(np.searchsorted(i, np.arange(len(own_r) + 1)), j, -gain[part], len(own_c))
+        some = np.flatnonzero(match >= 0)
+        found_r.append(own_r[some])
+        found_c.append(own_c[match[some]])
+    out_r, out_c = np.concatenate(found_r), np.concatenate(found_c)
+    order = np.argsort(out_r)
+    return r_names[out_r[order]], c_names[out_c[order]]
+
+
+def _components(r: np.ndarray, c: np.ndarray, n_rows: int) -> np.ndarray:
+    """Component of each edge: the smallest row reached, spread over shared rows and columns with doubling steps."""
+    label = np.arange(n_rows)
+    while len(r):
+        by_col = np.full(int(c.max()) + 1, n_rows)
+        np.minimum.at(by_col, c, label[r])
+        new = label.copy()
+        np.minimum.at(new, r, by_col[c])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label[r]
+
+
+def _augment(first: np.ndarray, cols: np.ndarray, cost: np.ndarray, n_cols: int) -> np.ndarray:
+    """Column of each row, or -1, at least total cost; a row may stay alone at cost 0.
+
+    Row after row is added along the cheapest path of changes, found by Dijkstra's method on reduced costs; the path may
+    end at a free column or by leaving one of its rows alone.
+    """
+    n = len(first) - 1
+    u, v = np.zeros(n), np.zeros(n_cols)
+    col_of, row_of = np.full(n, -1), np.full(n_cols, -1)
+    for start in range(n):
+        far, via = np.full(n_cols, np.inf), np.full(n_cols, -1)
+        open_ = np.ones(n_cols, bool)
+        row, way, seen_rows, seen_cols = start, 0.0, [start], []
+        alone, last = np.inf, -1
+        while True:
+            if way - u[row] < alone:
+                alone, last = way - u[row], row
+            js = cols[first[row]:first[row + 1]]
+            to = way + cost[first[row]:first[row + 1]] - u[row] - v[js]
+            better = open_[js] & (to < far[js])
+            far[js[better]], via[js[better]] = to[better], row
+            next_ = int(np.where(open_, far, np.inf).argmin())
+            if not open_[next_] or far[next_] >= alone:
+                way, end = alone, -1
+                break
+            way, open_[next_] = far[next_], False
+            if row_of[next_] < 0:
+                end = next_
+                break
+            seen_cols.append(next_)
+            row = row_of[next_]
+            seen_rows.append(row)
+        u[start] += way
+        for j, i in zip(seen_cols, seen_rows[1:]):
+            u[i] += way - far[j]
+            v[j] -= way - far[j]
+        if end < 0:  # the last row of the path gives its column up
+            if last == start:
+                continue
+            end, col_of[last] = col_of[last], -1
+        while True:
+            row = via[end]
+            row_of[end] = row
+            end, col_of[row] = col_of[row], end
+            if row == start:
+                break
+    return col_of
+
+
 class Associator:
-    """Two-stage IoU association over the frames of one scope, in order."""
+    """Two-stage IoU association over the frames of one scope, in order; each stage takes the pairs of least total cost."""
 
     def __init__(self, params: TrackingParams) -> None:
         self.p = params
@@ -134,18 +229,6 @@ class Associator:
             found.append((block[r], near[c], cost[r, c]))
         return tuple(np.concatenate(part) for part in zip(*found))
 
-    @staticmethod
-    def _pairs(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray) -> list[tuple[int, int]]:
-        order = np.lexsort((cols, rows, cost))
-        out, used_r, used_c = [], set(), set()
-        for k in order:
-            r, c = int(rows[k]), int(cols[k])
-            if r not in used_r and c not in used_c:
-                used_r.add(r)
-                used_c.add(c)
-                out.append((r, c))
-        return out
-
     def forget(self, frame: int) -> None:
         """Drops tracks lost for longer than the buffer."""
         live = frame - self.seen <= self.p.lost_track_buffer
@@ -171,7 +254,8 @@ class Associator:
             if not len(dets) or not len(tracks):
                 continue
             weight = scores[dets] if fuse else np.ones(len(dets))
-            for r, c in self._pairs(*self._near(tracks, boxes[dets], weight, limit)):
+            r, c, cost = self._near(tracks, boxes[dets], weight, limit)
+            for r, c in zip(*best_pairs(r, c, limit + MATCH_BONUS - cost)):
                 t, d = tracks[r], dets[c]
                 self.boxes[t], self.seen[t], taken[d] = boxes[d], frame, True
                 self.hits[t] = min(self.hits[t] + 1, self.p.minimum_consecutive_frames)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -115,3 +116,72 @@ def test_blocks_find_the_pairs_of_the_whole_matrix(monkeypatch):
         monkeypatch.setattr(TR, "CELLS", 200)
         got = one._near(np.arange(30), boxes[30:], weight, limit)
         assert sorted(zip(*got)) == sorted((r, c, cost[r, c]) for r, c in zip(*np.nonzero(cost <= limit)))
+
+
+def plain_best(gain: dict) -> float:
+    """Largest total over all ways to pair rows with columns or leave them alone."""
+    rows, cols = sorted({r for r, _ in gain}), sorted({c for _, c in gain})
+    return max(sum(gain.get((r, c), 0.0) for r, c in zip(rows, way))
+               for way in itertools.permutations([*cols, *[-1] * len(rows)], len(rows)))
+
+
+def test_pairs_are_the_best_in_total():
+    rng = random.Random(7)
+    for turn in range(150):
+        n, m = rng.randint(1, 4), rng.randint(1, 4)
+        edges = [(r, c) for r in range(n) for c in range(m) if rng.random() < 0.7] or [(0, 0)]
+        gain = {e: rng.choice([0.25, 0.5, 0.75, rng.random()]) for e in edges}
+        r, c = TR.best_pairs(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), np.array([gain[e] for e in edges]))
+        assert len(set(r)) == len(r) and len(set(c)) == len(c) and set(zip(r.tolist(), c.tolist())) <= set(edges)
+        assert sum(gain[e] for e in zip(r.tolist(), c.tolist())) == pytest.approx(plain_best(gain), abs=1e-9), turn
+
+
+def dual_bound(r, c, gain, n, m, rounds=3000):
+    """An upper bound of any total, from prices: sum of prices and of each row's best gain after its column's price."""
+    price, best = np.zeros(m), np.inf
+    for k in range(rounds):
+        left = np.zeros(n)
+        np.maximum.at(left, r, gain - price[c])
+        best = min(best, left.sum() + price.sum())
+        pick = np.array([i for i in np.flatnonzero(gain - price[c] == left[r]) if left[r[i]] > 0], int)
+        pick = pick[np.unique(r[pick], return_index=True)[1]]
+        over = np.bincount(c[pick], minlength=m) - 1.0
+        price = np.maximum(0, price + over * 0.5 / (k + 5))
+    return best
+
+
+def test_many_crossing_edges_reach_the_dual_bound():
+    rng = np.random.default_rng(4)
+    n = m = 60
+    r, c = np.nonzero(rng.random((n, m)) < 0.1)
+    gain = rng.random(len(r))
+    pr, pc = TR.best_pairs(r, c, gain)
+    at = {(a, b): g for a, b, g in zip(r.tolist(), c.tolist(), gain.tolist())}
+    total = sum(at[e] for e in zip(pr.tolist(), pc.tolist()))
+    bound = dual_bound(r, c, gain, n, m)
+    assert total <= bound + 1e-9 and bound - total < 0.02 * bound
+
+
+def test_a_frame_where_the_nearest_pair_first_would_lose_a_track(spark):
+    """Track a overlaps both new boxes, b only the one that a fits best: taking a's best first leaves b alone."""
+    rows = [det(0, "a0", (0, 0, 100, 100)), det(0, "b0", (52, 0, 152, 100)),
+            det(1, "x", (25, 0, 125, 100)), det(1, "y", (-30, 0, 70, 100))]
+    one = TR.Associator(TrackingParams())
+    boxes = lambda f: np.array([r[4:8] for r in rows if r[2] == f])
+    one.step(0, boxes(0), np.full(2, 0.9))
+    cost = 1 - one._iou(boxes(0), boxes(1)) * 0.9
+    assert cost[0, 0] == cost.min() and cost[1, 1] > 0.8 and cost[0, 1] <= 0.8
+    ids = {r.detection_id: r.track_id for r in TR.associate_tracks(spark.createDataFrame(rows, DET)).collect()}
+    assert ids["y"] == ids["a0"] and ids["x"] == ids["b0"]
+
+
+def test_a_crowd_of_overlapping_boxes():
+    """20,000 boxes that overlap their neighbours and move: a frame is one large component and still done."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    x, y = np.arange(n) % 200 * 10.0, np.arange(n) // 200 * 10.0
+    boxes = np.stack([x, y, x + 13, y + 13], axis=1)
+    one = TR.Associator(TrackingParams())
+    first = one.step(0, boxes, np.full(n, 0.9))
+    moved = boxes + rng.uniform(-1.5, 1.5, (n, 1))
+    assert (one.step(1, moved, np.full(n, 0.9)) == first).mean() > 0.99

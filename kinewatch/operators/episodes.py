@@ -12,7 +12,7 @@ from kinewatch.functions.scalars import strictly_after
 from kinewatch.operators.lifecycle import (
     LIFECYCLE_COLUMNS, LIFECYCLE_TYPES, Episodes, Mark,
 )
-from kinewatch.operators.slices import carry, nearest_frame, neighbor, with_ordinal
+from kinewatch.operators.slices import Width, carry, nearest_frame, neighbor, with_ordinal
 from kinewatch.params import SCOPE, TRACK, EventParams
 
 T = "timestamp_seconds"
@@ -25,7 +25,7 @@ def event_id(keys: list[str]) -> Column:
 
 
 def with_deadlines(transitions: DataFrame, frames: DataFrame, p: EventParams, keys: list[str],
-                   scope: list[str], width: float | None) -> DataFrame:
+                   scope: list[str], width: Width) -> DataFrame:
     """Adds the first frame past the event timeout and the first frame after the lying wait."""
     t = F.col(T).cast("double")
     tx = transitions.withColumn(T, t)
@@ -42,7 +42,7 @@ def with_deadlines(transitions: DataFrame, frames: DataFrame, p: EventParams, ke
 
 
 def with_episode_start(marked: DataFrame, p: EventParams, keys: list[str],
-                       width: float | None) -> DataFrame:
+                       width: Width) -> DataFrame:
     """Adds `episode`: the time of the first state change after a quiet gap.
 
     Across a quiet gap nothing can be pending, active, merged or suppressed, so episodes are
@@ -60,7 +60,7 @@ def with_episode_start(marked: DataFrame, p: EventParams, keys: list[str],
 
 
 def fall_events(transitions: DataFrame, frames: DataFrame, p: EventParams,
-                width: float | None = None, keys: list[str] = TRACK,
+                width: Width = None, keys: list[str] = TRACK,
                 scope: list[str] = SCOPE) -> DataFrame:
     """Event log of every track: `change` rows (one per snapshot) and `review` rows (one per event).
 
@@ -136,7 +136,7 @@ def active_events(events: DataFrame) -> DataFrame:
     return events.filter(F.col("end_time").isNull())
 
 
-def event_temporal_state(reviews: DataFrame, transitions: DataFrame, width: float | None = None,
+def event_temporal_state(reviews: DataFrame, transitions: DataFrame, width: Width = None,
                          keys: list[str] = TRACK) -> DataFrame:
     """State of the event's track at review time: latest change, upright before the first."""
     hit = nearest_frame(reviews, transitions, keys, F.col(T), "_s", ["next_state"], width,
@@ -146,7 +146,7 @@ def event_temporal_state(reviews: DataFrame, transitions: DataFrame, width: floa
 
 
 def recent_frames(frames: DataFrame, reviews: DataFrame, n: int,
-                  width: float | None = None, scope: list[str] = SCOPE) -> DataFrame:
+                  width: Width = None, scope: list[str] = SCOPE) -> DataFrame:
     """Last n frames up to each review frame: reviews join two blocks of n frame positions."""
     placed = with_ordinal(frames, scope, T, "ord", width)
     at = placed.select(*scope, "frame_id", F.col("ord").alias("review_ord"))
@@ -160,7 +160,7 @@ def recent_frames(frames: DataFrame, reviews: DataFrame, n: int,
 
 
 def select_keyframes(reviews: DataFrame, frames_motion: DataFrame, p: EventParams,
-                     width: float | None = None, scope: list[str] = SCOPE) -> DataFrame:
+                     width: Width = None, scope: list[str] = SCOPE) -> DataFrame:
     """before / during / after frame of each reviewed event, taken from its recent frames.
 
     A frame is used once and ties go to the earliest frame. A review sees at most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materializes to the checkpoint folder and goes on from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes a step to the checkpoint folder once and goes on from the files, of which later steps read the columns they need."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

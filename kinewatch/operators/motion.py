@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from kinewatch.functions.scalars import in_group, strictly_after, transition_reason
 from kinewatch.operators.geometry import with_bbox_geometry
-from kinewatch.operators.slices import nearest_frame, neighbor, slice_of, with_halo
+from kinewatch.operators.lineage import cut
+from kinewatch.operators.slices import Width, nearest_frame, neighbor, place, shortest, with_halo
 from kinewatch.params import (
     FALLING, LYING, RECOVERING, RESOLVED, SCOPE, STATES, SUSPECTED, TRACK, UPRIGHT,
     PostureGroups, Thresholds,
@@ -25,7 +26,7 @@ FIRST_ELAPSED = 1e-9
 T = "timestamp_seconds"
 
 
-def temporal_features(obs: DataFrame, width: float | None = None,
+def temporal_features(obs: DataFrame, width: Width = None,
                       keys: list[str] = TRACK) -> DataFrame:
     """Motion against the previous observation of the track; a first observation has none."""
     here = F.struct("timestamp_seconds", "center_x", "center_y", "height")
@@ -54,7 +55,7 @@ def temporal_features(obs: DataFrame, width: float | None = None,
     }).drop("_p", "width", "height", "center_x", "center_y")
 
 
-def smooth_features(features: DataFrame, window: int | Column, width: float | None = None,
+def smooth_features(features: DataFrame, window: int | Column, width: Width = None,
                     keys: list[str] = TRACK, sizes: tuple[int, ...] | None = None) -> DataFrame:
     """Mean of the last `window` moving rows; the first observation stays raw and is not averaged.
 
@@ -67,7 +68,7 @@ def smooth_features(features: DataFrame, window: int | Column, width: float | No
     if width is not None:
         n = max(sizes) - 1
         features = with_halo(features, keys, T, n, width) if n else (
-            features.withColumns({"_slice": slice_of(F.col(T), width), "_halo": F.lit(False)}))
+            place(features.withColumn("_halo", F.lit(False)), F.col(T), width))
         part = [*keys, "_slice"]
 
     def mean(c: str) -> Column:
@@ -83,7 +84,7 @@ def smooth_features(features: DataFrame, window: int | Column, width: float | No
     return smoothed if width is None else smoothed.filter("not _halo").drop("_halo", "_slice")
 
 
-def monotonicity_violations(df: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+def monotonicity_violations(df: DataFrame, keys: list[str], width: Width = None) -> DataFrame:
     """Rows, in frame order, whose time does not exceed the previous row's."""
     out = neighbor(df, keys, "frame_id", {"previous_timestamp": F.col(T)}, width)
     return out.filter(F.col(T) <= F.col("previous_timestamp"))
@@ -107,7 +108,7 @@ def with_signals(features: DataFrame, groups: PostureGroups, th: Thresholds) ->
 
 
 def track_expiry(obs: DataFrame, frames: DataFrame, timeout: float | Column,
-                 width: float | None = None, keys: list[str] = TRACK) -> DataFrame:
+                 width: Width = None, keys: list[str] = TRACK) -> DataFrame:
     """First frame beyond each gap longer than the timeout, if the track is not back by then."""
     ends = neighbor(obs.select(*keys, F.col(T).cast("double").alias("last_seen")), keys,
                     "last_seen", {"_next": F.col("last_seen")}, width, following=True)
@@ -191,12 +192,12 @@ def _timeline(signals: DataFrame, expiry: DataFrame | None, keys: list[str]) ->
 
 
 def motion_states(signals: DataFrame, th: Thresholds, expiry: DataFrame | None = None,
-                  width: float | None = None, keys: list[str] = TRACK) -> DataFrame:
+                  width: Width = None, keys: list[str] = TRACK) -> DataFrame:
     """State changes per track, from rows with signals and optional expiry rows.
 
     In a sweep the durations are columns, and `keys` then includes them.
 
-    width=None folds each track's sorted array. With a width, tracks are cut into time slices: every
+    width=None folds each track's sorted array. Otherwise tracks are cut into time slices: every
     slice is folded in parallel from each state it could start in, one small row per slice is chained
     per track, and the slices are folded once more from their known start.
     """
@@ -208,14 +209,14 @@ def motion_states(signals: DataFrame, th: Thresholds, expiry: DataFrame | None =
         return _changes(done, keys)
 
     longest = th.longest + 1e-6
-    if width <= longest:
+    if shortest(width) <= longest:
         raise ValueError("a slice must be longer than the longest state duration")
     part = [*keys, "_slice"]
-    sliced = rows.withColumn("_slice", slice_of(F.col("t"), width))
+    sliced = cut(place(rows, F.col("t"), width))  # read three times below
     groups = sliced.groupBy(*part).agg(packed)
     # times just before a slice: the only entry times whose duration guard may still be open in it
     recent = (
-        sliced.filter(slice_of(F.col("t") + longest, width) > F.col("_slice"))
+        place(sliced, F.col("t") + longest, width, "_ahead").filter(F.col("_ahead") > F.col("_slice"))
         .withColumn("_slice", F.col("_slice") + 1)
         .groupBy(*part).agg(F.collect_set("t").alias("recent")))
     never = F.lit(float("-inf"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kinewatch.operators import episodes as E
 from kinewatch.operators import motion as M
 from kinewatch.operators.protocol import clip_metrics
-from kinewatch.operators.slices import SHORTEST_SECONDS, slice_width, small
+from kinewatch.operators.slices import SHORTEST_SECONDS, Width, plan_slices, small
 from kinewatch.operators.tracking import associate_tracks, association_width
 from kinewatch.operators.geometry import restore_posture
 from kinewatch.params import SCOPE, TRACK, CascadeParams, EventParams, PostureGroups, TrackingParams
@@ -33,13 +33,13 @@ class CascadeResult(NamedTuple):
 
 
 def motion_signals(obs: DataFrame, p: CascadeParams = CascadeParams(),
-                   width: float | None = None) -> DataFrame:
+                   width: Width = None) -> DataFrame:
     smooth = M.smooth_features(M.temporal_features(obs, width), p.thresholds.smoothing_window, width)
     return M.with_signals(smooth, p.groups, p.thresholds)
 
 
 def transitions_of(obs: DataFrame, frames: DataFrame, p: CascadeParams = CascadeParams(),
-                   width: float | None = None) -> DataFrame:
+                   width: Width = None) -> DataFrame:
     expiry = M.track_expiry(obs, frames, p.thresholds.track_timeout, width)
     return M.motion_states(motion_signals(obs, p, width), p.thresholds, expiry, width)
 
@@ -52,7 +52,7 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
     if level == "detector_only":
         return CascadeResult(detections=detections)
     # a slice must be longer than any duration the states wait for
-    width = slice_width(detections, SCOPE, at_least=max(SHORTEST_SECONDS, 1.25 * p.thresholds.longest))
+    width = plan_slices([detections, frames], SCOPE, at_least=max(SHORTEST_SECONDS, 1.25 * p.thresholds.longest))
     if "track_id" in detections.columns:
         obs = detections
     else:
@@ -73,7 +73,7 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
 
 def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
                      groups: PostureGroups = PostureGroups(), events: EventParams = EventParams(),
-                     width: float | None = None) -> DataFrame:
+                     width: Width = None) -> DataFrame:
     """Final events of every candidate; the grid is broadcast once its count shows it to be short."""
     grid = candidates.select(
         "candidate_id", "confidence_threshold", "smoothing_window", "aspect_ratio_fall_min",
@@ -102,7 +102,7 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
 
 
 def evaluate_candidates(obs: DataFrame, frames: DataFrame, clips: DataFrame, candidates: DataFrame,
-                        width: float | None = None) -> tuple[DataFrame, DataFrame]:
+                        width: Width = None) -> tuple[DataFrame, DataFrame]:
     """(clip rows, metrics) of every candidate; a clip is one scope with its expected label."""
     found = candidate_events(obs, frames, candidates, width=width)
     per_clip = found.groupBy("candidate_id", *SCOPE).agg(

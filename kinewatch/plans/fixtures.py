@@ -43,6 +43,15 @@ from events
 # Every seventh detection is dropped while its frame stays, which leaves frames without a person.
 SPARSE = "select * from (" + TRACKED + ") where detection_id % 7 <> 3"
 
+# One camera, a track for each user: an idle quarter of an hour, then all the rest of its rows within 20 s.
+_BURST_TIME = """case when {US} < cast(86400000000 as bigint) then {US} / cast(96000000 as double)
+            else 900 + ({US} - 86400000000) / cast(86400000000 as double) * 20 / 29 end"""
+BURST = ("select * from (" + TRACKED.replace(_SCOPE, "'cam0' as source_id, 's0' as session_id").replace(
+    "cast(user_id % 3 as int) as track_id", "cast(user_id as int) as track_id").replace(
+    "{US} / cast(86400000000 as double)", _BURST_TIME) + ") where detection_id % 7 <> 3")
+BURST_FRAMES = FRAMES.replace(_SCOPE, "'cam0' as source_id, 's0' as session_id").replace(
+    "{US} / cast(86400000000 as double)", _BURST_TIME)
+
 RAW_BOXES = """
 select ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as detection_id, l_linenumber as frame_id,
        'cam' || cast(l_orderkey % 4 as string) as source_id, 's' || cast(l_orderkey % 100 as string) as session_id,

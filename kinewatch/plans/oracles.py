@@ -14,7 +14,7 @@ def ctes(*parts: tuple[str, str]) -> str:
     return "with recursive " + ",\n".join(f"{name} as ({body})" for name, body in parts)
 
 
-def features(obs: str = X.TRACKED, th: Thresholds = Thresholds()) -> list[tuple[str, str]]:
+def features(obs: str = X.TRACKED, th: Thresholds = Thresholds(), frames: str = X.FRAMES) -> list[tuple[str, str]]:
     win = f"(partition by {K} order by timestamp_seconds)"
     ends = f"rows between {th.smoothing_window - 1} preceding and current row)"
     names = {
@@ -28,7 +28,7 @@ def features(obs: str = X.TRACKED, th: Thresholds = Thresholds()) -> list[tuple[
     raw = ", ".join(f"{s} as {n}" for s, n in names.items())
     return [
         ("obs", duck(obs)),
-        ("frames", duck(X.FRAMES)),
+        ("frames", duck(frames)),
         ("lagged", f"""select *, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, y2 - y1 as ht,
             lag(timestamp_seconds) over {win} as pt, lag((x1 + x2) / 2) over {win} as pcx,
             lag((y1 + y2) / 2) over {win} as pcy, lag(y2 - y1) over {win} as ph from obs"""),
@@ -52,12 +52,12 @@ def features(obs: str = X.TRACKED, th: Thresholds = Thresholds()) -> list[tuple[
     ]
 
 
-def motion(obs: str = X.SPARSE, expire: bool = True,
-           th: Thresholds = Thresholds()) -> list[tuple[str, str]]:
+def motion(obs: str = X.SPARSE, expire: bool = True, th: Thresholds = Thresholds(),
+           frames: str = X.FRAMES) -> list[tuple[str, str]]:
     names = "['upright', 'suspected', 'falling', 'lying', 'recovering', 'resolved']"
     gone = f"""union all select {K}, timestamp_seconds, frame_id, true, gap, false, false, false, false,
             false, false from expiry""" if expire else ""
-    return features(obs, th) + [
+    return features(obs, th, frames) + [
         ("nexts", f"""select {K}, timestamp_seconds as last_seen, lead(timestamp_seconds) over
             (partition by {K} order by timestamp_seconds) as nt from obs"""),
         ("expiry", f"""select n.source_id, n.session_id, n.track_id, n.last_seen,

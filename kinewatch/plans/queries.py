@@ -66,10 +66,11 @@ def r6(*names: str) -> str:
     return ", ".join(f"round({n}, {FINE.get(n, 6)}) as {n}" for n in names)
 
 
-def cam(spark: SparkSession, sf: str, sparse: bool = True) -> tuple[DataFrame, DataFrame, float | None]:
-    """Observations, frames and the slice width that their largest scope asks for."""
+def cam(spark: SparkSession, sf: str, sparse: bool = True) -> tuple[DataFrame, DataFrame, SL.Slices | None]:
+    """Observations, frames and the slices that their large scopes ask for."""
     obs = X.load(spark, sf, X.SPARSE if sparse else X.TRACKED)
-    return obs, X.load(spark, sf, X.FRAMES), SL.slice_width(obs, SCOPE)
+    frames = X.load(spark, sf, X.FRAMES)
+    return obs, frames, SL.plan_slices([obs, frames], SCOPE)
 
 
 # --- detections ----------------------------------------------------------------------------------
@@ -221,7 +222,7 @@ def _(spark, sf):
 def _(spark, sf):
     obs, _, _ = cam(spark, sf, sparse=False)
     late = F.when(F.col("detection_id") % 11 == 0, F.col(T) - 0.5).otherwise(F.col(T))
-    width = SL.slice_width(obs, TRACK, "frame_id", 1.0)
+    width = SL.plan_slices([obs], TRACK, "frame_id", 1.0)
     return rounded(M.monotonicity_violations(obs.withColumn(T, late), TRACK, width).select(
         "detection_id", T, "previous_timestamp"))
 
@@ -246,6 +247,29 @@ def _(spark, sf):
     return C.transitions_of(obs, frames, P, w).drop(T)
 
 
+BURST_LIMIT = 300  # rows of a slice, small enough for the burst to be cut at every scale
+
+
+def burst(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, SL.Slices]:
+    """A camera whose rows nearly all lie within 20 s, on slices."""
+    obs, frames = X.load(spark, sf, X.BURST), X.load(spark, sf, X.BURST_FRAMES)
+    return obs, frames, SL.plan_slices([obs, frames], SCOPE, limit=BURST_LIMIT)
+
+
+@query("burst_transitions", f"""{O.ctes(*O.motion(X.BURST, frames=X.BURST_FRAMES))}
+  select {O.K}, frame_id, previous_state, next_state, reason from moves""")
+def _(spark, sf):
+    obs, frames, w = burst(spark, sf)
+    return C.transitions_of(obs, frames, P, w).drop(T)
+
+
+@query("burst_features", f"""{O.ctes(*O.features(X.BURST, frames=X.BURST_FRAMES))}
+  select detection_id, {', '.join(SIGNALS)} from sig""")
+def _(spark, sf):
+    obs, _, w = burst(spark, sf)
+    return C.motion_signals(obs, P, w).select("detection_id", *SIGNALS)
+
+
 @query("transition_counts", f"""{O.ctes(*O.motion())}
   select previous_state, next_state, count(*) as transitions from moves group by 1, 2""")
 def transition_counts(spark, sf):
@@ -286,7 +310,7 @@ CLOCK = f"""select source_id, session_id, frame_id, timestamp_seconds from ({X.F
   select source_id, session_id, n as frame_id, round(v, 6) as timestamp_seconds from run where v is not null""")
 def _(spark, sf):
     frames = X.load(spark, sf, X.FRAMES)
-    w = SL.slice_width(frames, SCOPE, "frame_id", 1.0)
+    w = SL.plan_slices([frames], SCOPE, "frame_id", 1.0)
     n = SL.with_ordinal(frames, SCOPE, "frame_id", "n", w)
     bad = (F.when(F.col("frame_id") % 9 == 0, F.lit(0.0))
            .when(F.col("frame_id") % 7 == 0, F.col(T) - 0.4).otherwise(F.col(T)))
@@ -635,14 +659,14 @@ def match_events(spark, sf):
     round((p - tp) / 12.5, 6) as false_alarms_per_hour, round(d, 6) as mean_detection_delay_seconds from n""")
 def _(spark, sf):
     truth, pred, win = intervals(spark, sf)
-    out = MT.event_metrics(truth, pred, MatchProtocol(), 12.5, win, SL.slice_width(pred, SCOPE, "start_time"))
+    out = MT.event_metrics(truth, pred, MatchProtocol(), 12.5, win, SL.plan_slices([pred, win], SCOPE, "start_time"))
     return rounded(out.drop("specificity_unavailable_reason", "false_alarms_per_hour_unavailable_reason"))
 
 
 @query("negative_window_hits", f"with win as ({X.duck(X.WINDOWS)}), pr as ({X.duck(X.PREDICTIONS)}) select event_id from ({HITS})")
 def _(spark, sf):
     _, pred, win = intervals(spark, sf)
-    return MT.negative_window_hits(win, pred, SL.slice_width(pred, SCOPE, "start_time")).select("event_id")
+    return MT.negative_window_hits(win, pred, SL.plan_slices([pred, win], SCOPE, "start_time")).select("event_id")
 
 
 @query("window_specificity", f"""with win as ({X.duck(X.WINDOWS)}), pr as ({X.duck(X.PREDICTIONS)})
@@ -650,7 +674,7 @@ def _(spark, sf):
     cast(null as varchar) as specificity_unavailable_reason""")
 def _(spark, sf):
     _, pred, win = intervals(spark, sf)
-    return rounded(MT.window_specificity(win, pred, SL.slice_width(pred, SCOPE, "start_time")))
+    return rounded(MT.window_specificity(win, pred, SL.plan_slices([pred, win], SCOPE, "start_time")))
 
 
 @query("validate_intervals", f"""select event_id, concat_ws(',', case when s < 0 then 'negative_start' end,

@@ -71,14 +71,23 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
     return CascadeResult(detections, obs, signals, transitions, log, events, reviews, keyframes)
 
 
+#: What a candidate sets in the cascade.
+SWEPT = ["confidence_threshold", "smoothing_window", "aspect_ratio_fall_min", "vertical_speed_min", "suspect_duration",
+         "lying_duration", "upright_aspect_ratio_max", "track_timeout"]
+
+
 def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
                      groups: PostureGroups = PostureGroups(), events: EventParams = EventParams(),
                      width: Width = None) -> DataFrame:
-    """Final events of every candidate; the grid is broadcast once its count shows it to be short."""
-    grid = candidates.select(
-        "candidate_id", "confidence_threshold", "smoothing_window", "aspect_ratio_fall_min",
-        "vertical_speed_min", "suspect_duration", "lying_duration", "upright_aspect_ratio_max",
-        "track_timeout")
+    """Final events of every candidate; the grid is broadcast once its count shows it to be short.
+
+    Observations that carry a `variant` meet the candidates of their variant alone. Candidates that agree in all
+    else are followed once, under the smallest of their ids, and get its events in the end.
+    """
+    own = [c for c in ("variant",) if c in obs.columns]
+    every = candidates.select("candidate_id", *own, *SWEPT)
+    grid = every.groupBy(*own, *SWEPT).agg(F.min("candidate_id").alias("candidate_id"))
+    same = every.join(grid.withColumnRenamed("candidate_id", "_first"), [*own, *SWEPT]).select("candidate_id", "_first")
     spec = grid.agg(F.sort_array(F.collect_set("smoothing_window")).alias("sizes"), F.max(
         F.greatest("suspect_duration", "lying_duration")).alias("longest")).first()
     th = SimpleNamespace(
@@ -88,7 +97,12 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
         suspect_duration=F.col("suspect_duration"), lying_duration=F.col("lying_duration"),
         longest=spec.longest)
     keys = ["candidate_id", "suspect_duration", "lying_duration", "track_timeout", *TRACK]
-    each = obs.join(small(grid), obs["confidence"] >= grid["confidence_threshold"])
+    fits = obs["confidence"] >= grid["confidence_threshold"]
+    for c in own:
+        fits = fits & (obs[c] == grid[c])
+    each = obs.join(small(grid), fits)
+    for c in own:
+        each = each.drop(grid[c])
     features = M.temporal_features(each, width, keys)
     smooth = M.smooth_features(features, F.col("smoothing_window"), width, keys,
                                tuple(spec.sizes))
@@ -98,7 +112,10 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
     track = ["candidate_id", *TRACK]
     log = E.fall_events(moves.select(*track, "frame_id", M.T, "previous_state", "next_state",
                                      "reason"), frames, events, width, track)
-    return E.latest_event_state(E.event_changes(log))
+    found = E.latest_event_state(E.event_changes(log)).withColumnRenamed("candidate_id", "_first")
+    named = found.join(small(same), "_first").drop("_first")
+    # an id holds the candidate, as it does when every candidate is followed on its own
+    return named.withColumn("event_id", E.event_id(track)).select("candidate_id", *[c for c in found.columns if c != "_first"])
 
 
 def evaluate_candidates(obs: DataFrame, frames: DataFrame, clips: DataFrame, candidates: DataFrame,

@@ -881,9 +881,9 @@ def _(spark, sf):
 
 @query("protocol_subjects", f"""select candidate_id as report_id, rule, detail from (
   select distinct candidate_id, 'subject_outside_partition' as rule, cast(subject_id as varchar) as detail from ({ROWS_SQL})
-  where partition <> '{VALIDATION}' and variant = 'nano')""")
+  where partition <> '{VALIDATION}')""")
 def _(spark, sf):
-    rows = clip_rows(spark, sf).filter("variant = 'nano'").withColumn("cycle_id", F.lit("clean"))
+    rows = clip_rows(spark, sf).withColumn("cycle_id", F.lit("clean"))
     return PR.protocol_subjects(rows, protocol_table(spark), VALIDATION).select("report_id", "rule", "detail")
 
 
@@ -906,13 +906,13 @@ def _(spark, sf):
 
 
 def candidate_sql() -> str:
-    """The whole cascade once per candidate, each as its own subquery."""
+    """The whole cascade once per preset, each as its own subquery."""
     parts = []
     for name, v in PR.preset_values("both").items():
         th = Thresholds(*v[2:])
         obs = f"""select * from (select * replace (0.1 + (detection_id * 7 % 90) / 100.0::double as confidence) from ({X.SPARSE})) where confidence >= {v[0]}"""
         moves = O.motion(obs, True, th)
-        parts.append(f"""select 'small-{name}' as candidate_id, {v[0]}::double as confidence_threshold, c.* from (
+        parts.append(f"""select '{name}' as preset, {v[0]}::double as confidence_threshold, c.* from (
           {O.ctes(*O.lifecycle(moves))}, hit as (select distinct source_id, session_id from events_out),
           cl as (select distinct source_id, session_id from frames)
           select cl.session_id, hit.session_id is not null as predicted_fall from cl left join hit using (source_id, session_id)) c""")
@@ -920,8 +920,9 @@ def candidate_sql() -> str:
 
 
 # the label of a clip is a digit of its session id
-EVALUATED = f"""select candidate_id, 'small' as variant, confidence_threshold, {O.METRICS} from (
-  select *, cast(substr(session_id, 2) as bigint) % 2 = 0 as expected_fall from ({candidate_sql()})) group by 1, 2, 3"""
+EVALUATED = f"""select variant || '-' || preset as candidate_id, variant, confidence_threshold, {O.METRICS} from (
+  select *, cast(substr(session_id, 2) as bigint) % 2 = 0 as expected_fall from ({candidate_sql()}))
+  cross join (values ('nano'), ('small')) as v(variant) group by 1, 2, 3"""
 
 
 @query("evaluate_candidates", f"""select candidate_id, variant, confidence_threshold, clips, true_positive_clips, false_positive_clips,
@@ -932,7 +933,7 @@ def evaluate_candidates(spark, sf):
     obs = obs.withColumn("confidence", 0.1 + (F.col("detection_id") * 7 % 90) / 100.0)
     clips = frames.select(*SCOPE).distinct().withColumn(
         "expected_fall", F.substring("session_id", 2, 18).cast("long") % 2 == 0)
-    _, metrics = C.evaluate_candidates(obs, frames, clips, PR.candidate_grid(spark, ("small",), "both"), w)
+    _, metrics = C.evaluate_candidates(obs, frames, clips, PR.candidate_grid(spark, ("nano", "small"), "both"), w)
     return rounded(metrics)
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinewatch.functions.scalars import f1, safe_ratio, temporal_iou
 from kinewatch.operators.lineage import cut
-from kinewatch.operators.slices import carry
+from kinewatch.operators.slices import Width, carry, plan_slices, small
 from kinewatch.params import SCOPE, MatchProtocol
 
 
@@ -35,7 +38,16 @@ def _track_keys(track: Column, truth: bool, same_track: bool) -> Column:
 
 
 def event_match_candidates(truth: DataFrame, pred: DataFrame, protocol: MatchProtocol) -> DataFrame:
-    """Eligible pairs within a scope.
+    """Eligible pairs within a scope."""
+    return _pairs(truth, pred, protocol).select(*SCOPE, *PAIR)
+
+
+#: What is known of a pair.
+PAIR = ["ground_truth_id", "predicted_id", "temporal_iou", "start_delay_seconds", "g_ord", "p_ord"]
+
+
+def _pairs(truth: DataFrame, pred: DataFrame, protocol: MatchProtocol) -> DataFrame:
+    """Eligible pairs with their tracks and the time that both intervals span.
 
     Pairs are found by equi joins on time buckets: by start within the tolerance, and by overlap with
     buckets sized to the interval length (an IoU of m bounds the ratio of the lengths), so a scope
@@ -93,34 +105,49 @@ def event_match_candidates(truth: DataFrame, pred: DataFrame, protocol: MatchPro
     return pairs.select(
         *SCOPE, F.col("g_id").alias("ground_truth_id"), F.col("p_id").alias("predicted_id"),
         iou.alias("temporal_iou"), (F.col("p_start") - F.col("g_start")).alias("start_delay_seconds"),
-        "g_ord", "p_ord")
+        "g_ord", "p_ord", "g_track", "p_track", F.least("g_start", "p_start").alias("_from"),
+        F.greatest("g_end", "p_end", "g_start", "p_start").alias("_to"))
 
 
 def match_events(truth: DataFrame, pred: DataFrame, protocol: MatchProtocol) -> DataFrame:
     """Greedy one-to-one matches: best IoU, then smallest start error, then input order.
 
-    Each round keeps the pairs that are the best of both their ends and drops what they block; under
-    a strict order this is the global greedy result. Bests are aggregations, which combine before
-    the shuffle, so a busy end does not load one task.
+    Pairs that share an interval overlap in time, so a scope (or track, where all its pairs name one) falls apart
+    wherever no pair spans. Each such island is independent: its pairs stream through in order of rank, and a pair wins if
+    neither of its ends is taken. A task holds the ids taken in one island. The number of passes doesn't depend on the data.
     """
-    ids = ["ground_truth_id", "predicted_id"]
-    rank = F.struct(-F.col("temporal_iou"), F.abs("start_delay_seconds"), "g_ord", "p_ord")
-    left = cut(event_match_candidates(truth, pred, protocol).withColumn("_rank", rank))
-    found = None
-    while not left.isEmpty():
-        def best(end: str) -> DataFrame:
-            return left.groupBy(end).agg(F.min_by(F.struct(*ids), "_rank").alias("b")).select("b.*")
-
-        pairs = best("ground_truth_id").join(best("predicted_id"), ids)
-        won = cut(left.join(pairs, ids, "left_semi"))
-        found = won if found is None else found.unionByName(won)
-        left = cut(left.join(won.select("ground_truth_id"), "ground_truth_id", "left_anti")
-                   .join(won.select("predicted_id"), "predicted_id", "left_anti"))
-    out = left if found is None else found
-    return out.drop("_rank", "g_ord", "p_ord")
-
-
-def negative_window_hits(windows: DataFrame, pred: DataFrame, width: float | None = None) -> DataFrame:
+    pairs = cut(_pairs(truth, pred, protocol))
+    same = F.coalesce(F.col("g_track") == F.col("p_track"), F.lit(False))
+    mixed = pairs.groupBy(*SCOPE).agg(F.max(~same).alias("_mixed"))
+    named = F.when(F.col("_mixed"), F.lit("*")).otherwise(F.concat(F.lit("t"), F.col("g_track").cast("string")))
+    edges = cut(pairs.join(small(mixed), SCOPE).withColumn("_key", named).drop("_mixed", "g_track", "p_track"))
+    keys = [*SCOPE, "_key"]
+    order = dict(order="_from", width=plan_slices([edges], keys, "_from", 1e-3), tie=["g_ord", "p_ord"])
+    far = carry(edges, keys, values={"_reach": ("max", F.col("_to"))}, inclusive=False, **order)
+    fresh = F.col("_reach").isNull() | (F.col("_from") > F.col("_reach"))
+    islands = carry(far, keys, values={"_island": ("last", F.when(fresh, F.col("_from")))}, **order)
+    group = [*keys, "_island"]
+    rank = [F.desc("temporal_iou"), F.abs("start_delay_seconds"), "g_ord", "p_ord"]
+    ordered = islands.repartition(*group).sortWithinPartitions(*group, *rank)
+    out = [*SCOPE, *PAIR[:4]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, taken_g, taken_p = None, set(), set()
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            for i, (g, p, *here) in enumerate(zip(pdf["ground_truth_id"], pdf["predicted_id"], *[pdf[c] for c in group])):
+                if here != island:
+                    island, taken_g, taken_p = here, set(), set()
+                if g not in taken_g and p not in taken_p:
+                    taken_g.add(g)
+                    taken_p.add(p)
+                    keep[i] = True
+            yield pdf.loc[keep, out]
+
+    return ordered.select(*out, "_key", "_island").mapInPandas(run, edges.select(*out).schema)
+
+
+def negative_window_hits(windows: DataFrame, pred: DataFrame, width: Width = None) -> DataFrame:
     """Negative windows that overlap any prediction of their scope; tracks do not matter.
 
     A window is hit when the latest end among predictions starting before its end exceeds its start:
@@ -138,7 +165,7 @@ def negative_window_hits(windows: DataFrame, pred: DataFrame, width: float | Non
 
 
 def window_specificity(windows: DataFrame | None, pred: DataFrame,
-                       width: float | None = None) -> DataFrame:
+                       width: Width = None) -> DataFrame:
     """Share of negative windows without a prediction; null with a reason when none are defined."""
     if windows is None:
         return pred.sparkSession.range(1).select(
@@ -153,7 +180,7 @@ def window_specificity(windows: DataFrame | None, pred: DataFrame,
 
 def event_metrics(truth: DataFrame, pred: DataFrame, protocol: MatchProtocol,
                   monitored_hours: float | None = None, windows: DataFrame | None = None,
-                  width: float | None = None) -> DataFrame:
+                  width: Width = None) -> DataFrame:
     """One row of event counts, ratios, false alarms per hour, delay and window specificity."""
     if monitored_hours is not None and monitored_hours <= 0:
         raise ValueError("monitored hours must be positive")

@@ -107,3 +107,45 @@ def test_window_hits_equal_all_pairs(spark, width):
             if any(w[0] == q[0] and q[2] < w[3] and w[2] < q[3] for q in pred)}
     got = MT.negative_window_hits(table(spark, win, "w"), table(spark, pred, "p"), width)
     assert {r.event_id for r in got.collect()} == want
+
+
+def jobs_of(spark, name, work):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    out = work()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(name)), out
+
+
+def test_a_chain_of_better_and_better_pairs_takes_no_more_jobs(spark):
+    """Each pair blocks the one before it, so rounds of mutual best pairs would need one round for each link."""
+    def chain(n):
+        at, truth, pred = 0.0, [], []
+        for i in range(n):  # lengths grow, so every interval fits the next one better than the last
+            size = 10.0 + i * 0.5
+            (truth if i % 2 == 0 else pred).append(("s", 0, at, at + size))
+            at += 3.0
+        return truth, pred
+
+    counts = []
+    for n in (4, 90):
+        truth, pred = chain(n)
+        want, pairs = greedy(truth, pred, MatchProtocol(0.3, None))
+        assert len(pairs) >= n - 1
+        count, got = jobs_of(spark, f"chain{n}", lambda: MT.match_events(  # noqa: B023
+            table(spark, truth, "g"), table(spark, pred, "p"), MatchProtocol(0.3, None)).collect())  # noqa: B023
+        counts.append(count)
+        assert {(r.ground_truth_id, r.predicted_id) for r in got} == want
+    assert abs(counts[0] - counts[1]) <= 1  # a broadcast more or less
+
+
+def test_islands_on_slices(spark, monkeypatch):
+    from kinewatch.operators import slices
+
+    rng = random.Random(4)
+    rows = lambda n: [("s", rng.choice([0, 1]), t, t + rng.choice([0.5, 2.0, 4.0])) for t in (rng.uniform(0, 300) for _ in range(n))]
+    truth, pred = rows(150), rows(150)
+    monkeypatch.setattr(slices, "MAX_GROUP_ROWS", 25)
+    want, _ = greedy(truth, pred, MatchProtocol())
+    got = MT.match_events(table(spark, truth, "g"), table(spark, pred, "p"), MatchProtocol()).collect()
+    assert {(r.ground_truth_id, r.predicted_id) for r in got} == want

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinewatch.functions.scalars import in_group, strictly_after, transition_reason
+from kinewatch.operators.automaton import evidence_of, next_state
 from kinewatch.operators.geometry import with_bbox_geometry
 from kinewatch.operators.lineage import cut
 from kinewatch.operators.slices import Width, nearest_frame, neighbor, place, shortest, with_halo
 from kinewatch.params import (
-    FALLING, LYING, RECOVERING, RESOLVED, SCOPE, STATES, SUSPECTED, TRACK, UPRIGHT,
-    PostureGroups, Thresholds,
+    FALLING, RECOVERING, SCOPE, STATES, SUSPECTED, TRACK, UPRIGHT, PostureGroups, Thresholds,
 )
 
 SMOOTHED = [
@@ -129,23 +129,6 @@ _OUT = ("array<struct<frame_id:bigint,t:double,before:int,after:int,elapsed:doub
         "speed:boolean,falling:boolean,lying:boolean,expired:boolean,gap:double>>")
 
 
-def _next_state(s: Column, r: Column, elapsed: Column, th: Thresholds) -> Column:
-    live = s.isin(SUSPECTED, FALLING, LYING, RECOVERING)
-    suspect = elapsed + 1e-9 >= th.suspect_duration
-    return (
-        F.when(r["expired"], F.when(live, F.lit(RESOLVED)).otherwise(s))
-        .when((s == UPRIGHT) & r["trigger"], F.lit(SUSPECTED))
-        .when((s == SUSPECTED) & r["upright"] & ~r["fall"], F.lit(UPRIGHT))
-        .when((s == SUSPECTED) & suspect, F.lit(FALLING))
-        .when((s == FALLING) & (r["lying"] | (elapsed + 1e-9 >= th.lying_duration)), F.lit(LYING))
-        .when((s == LYING) & r["upright"], F.lit(RECOVERING))
-        .when((s == RECOVERING) & r["fall"], F.lit(FALLING))
-        .when((s == RECOVERING) & suspect & r["upright"], F.lit(RESOLVED))
-        .when((s == RESOLVED) & r["fall"], F.lit(SUSPECTED))
-        .otherwise(s)
-    )
-
-
 def _fold(rows: Column, state: Column, entered: Column, th: Thresholds, keep: bool) -> Column:
     """Runs the automaton over one sorted array; keep=True also collects the state changes."""
 
@@ -164,7 +147,8 @@ def _fold(rows: Column, state: Column, entered: Column, th: Thresholds, keep: bo
             return F.when(n == acc["s"], acc).otherwise(F.struct(*parts))
 
         # a one-element array binds the next state once
-        once = F.array(_next_state(acc["s"], r, elapsed, th))
+        signals = {n: r[n] for n in ("expired", "trigger", "fall", "upright", "lying")}
+        once = F.array(next_state(acc["s"], evidence_of(signals, elapsed, th)))
         return F.element_at(F.transform(once, moved), 1)
 
     start = [state.cast("int").alias("s"), entered.cast("double").alias("e")]

@@ -1415,6 +1415,67 @@ def stream_cascade(spark, sf):
     return out.select(*SCOPE, track, "frame_id", "previous_state", "next_state", "reason")
 
 
+LATE = "frame_id % 11 = 4"
+
+
+def routed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Rows of one kind from a stream in time order whose last files repeat some old frames.
+
+    Each step of time is written in one go with a scope in one file, and a trigger takes the files of about a step.
+    """
+    from kinewatch.streaming.cascade import frame_rows, read_kind, route, stream_cascade as run
+
+    at, files = shared_folder(spark), 4
+    rows = frame_rows(X.load(spark, sf, X.FRAMES), X.load(spark, sf, X.SPARSE))
+    for step in range(3):
+        part = rows.filter((F.col(T) >= 10.0 * step) & (F.col(T) < 10.0 * (step + 1)))
+        part.repartition(files, *SCOPE).write.mode("append").parquet(f"{at}/in")
+    rows.filter(LATE).repartition(files, *SCOPE).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = run(source, P)
+    route(out, f"{at}/out", f"{at}/state").awaitTermination()
+    return read_kind(spark, f"{at}/out", kind, out.schema).withColumn("track_id", F.col("track_id").cast("int"))
+
+
+@query("stream_late_rows", f"""select source_id, session_id, frame_id, round(timestamp_seconds, 6) as timestamp_seconds
+  from ({X.duck(X.FRAMES)}) where {LATE}""")
+def _(spark, sf):
+    return rounded(routed(spark, sf, "late").select(*SCOPE, "frame_id", T))
+
+
+@query("stream_events", f"{LIFE} select {EVENT_SQL} from events_out")
+def _(spark, sf):
+    return rounded(E.latest_event_state(routed(spark, sf, "change")).select(*TRACK, *EVENT_COLS))
+
+
+@query("stream_reviews", f"""{LIFE} select {O.K}, start_frame, review_frame as frame_id,
+  round(review_time, 6) as timestamp_seconds from events_out where review_frame is not null""")
+def _(spark, sf):
+    return rounded(routed(spark, sf, "review").select(*TRACK, "start_frame", "frame_id", T))
+
+
+@query("ablation_levels", f"""{LIFE}, per as (select 'detections' as stage, 0 as since, (select count(*) from obs) as n
+    union all select 'tracked', 1, (select count(*) from obs) union all select 'transitions', 2, (select count(*) from moves)
+    union all select 'events', 2, (select count(*) from events_out)
+    union all select 'reviews', 3, (select count(*) from events_out where review_frame is not null))
+  select l.level, per.stage, per.n as rows from (values ('detector_only', 0), ('detector_tracking', 1), ('temporal', 2), ('full', 3)) as l(level, depth)
+  join per on per.since <= l.depth""")
+def _(spark, sf):
+    """Which tables each level of the cascade gives, and how many rows they hold."""
+    obs, frames, _ = cam(spark, sf)
+    out = None
+    for level in C.LEVELS:
+        run = C.run_cascade(frames, obs, P, level)
+        for stage in ("detections", "tracked", "transitions", "events", "reviews"):
+            table = getattr(run, stage)
+            if table is not None:
+                part = table.agg(F.count("*").alias("rows")).select(F.lit(level).alias("level"), F.lit(stage).alias("stage"), "rows")
+                out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("events_round_trip", f"""{LIFE} select {EVENT_SQL} from events_out""")
 def _(spark, sf):
     """Event change log appended as JSON, read back, and reduced to the final state of each event."""

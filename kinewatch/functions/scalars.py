@@ -1,9 +1,13 @@
-"""Column helpers. Every function takes columns and returns one native column."""
+"""Column helpers. Every function takes columns and returns one column, native but for `canonical_text`."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def temporal_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -29,6 +33,24 @@ def canonical_sha256(**fields: Column) -> Column:
     return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
 
 
+@F.pandas_udf(StringType())
+def canonical_text(text: pd.Series) -> pd.Series:
+    """Any JSON text with the keys of all its objects sorted, without blanks and escapes; null where it isn't JSON."""
+
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return text.map(one)
+
+
+def canonical_text_sha256(text: Column) -> Column:
+    """Digest of any JSON value, equal for equal values whatever the order of their keys."""
+    return F.sha2(canonical_text(text), 256)
+
+
 def file_digest(content: Column, algorithm: str = "sha256") -> Column:
     if algorithm == "md5":
         return F.md5(content)

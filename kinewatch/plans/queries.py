@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -1476,6 +1477,164 @@ def _(spark, sf):
     return out
 
 
+# --- files, written and read back ----------------------------------------------------------------
+
+def detection_files(spark: SparkSession, obs: DataFrame, tracked: bool) -> DataFrame:
+    """Detections written as JSON lines and read back."""
+    from kinewatch.sources.readers import read_detections
+
+    at = f"{shared_folder(spark)}/detections"
+    rows = obs.withColumn("bbox_xyxy", F.array("x1", "y1", "x2", "y2")).withColumn(
+        "detection_id", F.col("detection_id").cast("string")).drop("x1", "y1", "x2", "y2")
+    rows.select(F.to_json(F.struct(*rows.columns))).write.text(at)
+    return read_detections(spark, at, tracked)[0]
+
+
+@query("detection_files", f"""select cast(detection_id as varchar) as detection_id, source_id, session_id, frame_id, class_name,
+  {r6('x1', 'y1', 'x2', 'y2', 'confidence')} from {BOXES}""")
+def _(spark, sf):
+    return rounded(detection_files(spark, boxes(spark, sf), False).select(
+        "detection_id", *SCOPE, "frame_id", "class_name", "x1", "y1", "x2", "y2", "confidence"))
+
+
+@query("tracked_files", f"""select cast(detection_id as varchar) as detection_id, track_id, frame_id, {r6('timestamp_seconds', 'x1', 'y2')}
+  from ({X.duck(X.TRACKED)})""")
+def _(spark, sf):
+    return rounded(detection_files(spark, X.load(spark, sf, X.TRACKED), True).select(
+        "detection_id", "track_id", "frame_id", T, "x1", "y2"))
+
+
+@query("sample_lines", """select case when event_id % 13 = 5 then 'rejected' else 'sample' end as kind, number,
+    case when event_id % 13 = 5 then '{broken ' || event_id else cast(event_id as varchar) end as text
+  from (select event_id, row_number() over (partition by user_id % 7 order by event_id) as number from events)
+  where event_id % 17 <> 3 or event_id % 13 = 5""")
+def _(spark, sf):
+    """Training samples in a few files; lines are numbered in their file, blank ones counted and skipped, broken ones returned."""
+    from kinewatch.sources.readers import read_semantic_samples
+
+    at, e = f"{shared_folder(spark)}/samples", F.col("event_id")
+    sample = F.struct(e.cast("string").alias("sample_id"), F.lit("a").alias("source_id"), F.lit("b").alias("session_id"),
+                      F.lit("c").alias("event_id"), F.lit("t").alias("text_context"), F.lit("g").alias("split_group"))
+    line = F.when(e % 13 == 5, F.concat(F.lit("{broken "), e.cast("string"))).when(e % 17 == 3, F.lit("")).otherwise(F.to_json(sample))
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(e, (F.col("user_id") % 7).alias("part"), line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(at)
+    good, bad = read_semantic_samples(spark, at)
+    lines = bad.select(F.lit("rejected").alias("kind"), "number", F.col("line").alias("text"))
+    every = spark.read.parquet(f"{sf}/events.parquet").select(e, (F.col("user_id") % 7).alias("part"))
+    place = every.select(e.cast("string").alias("text"), F.row_number().over(W.partitionBy("part").orderBy("event_id")).cast("long").alias("number"))
+    return lines.unionByName(good.select(F.col("sample_id").alias("text")).join(place, "text").select(F.lit("sample").alias("kind"), "number", "text"))
+
+
+def write_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, at: str, each: int = 50_000) -> dict[str, str]:
+    """Annotation documents of about `each` annotations, one file each; gives their paths by name."""
+    spark = images.sparkSession
+    parts = max(1, -(-annotations.count() // each))
+    doc = lambda c: F.concat(F.col("split"), F.lit("-"), F.pmod(F.col(c), F.lit(parts)).cast("string"))
+    box = F.array("x", "y", "w", "h").alias("bbox")
+    some = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    lists = [
+        images.select(doc("image_id").alias("doc"), F.lit(1).alias("ord"), F.col("image_id").alias("id"),
+                      F.to_json(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")).alias("value")),
+        annotations.select(doc("image_id").alias("doc"), F.lit(3).alias("ord"), F.col("annotation_id").alias("id"),
+                           F.to_json(F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", box)).alias("value")),
+        categories.withColumn("part", some).select(F.concat_ws("-", "split", "part").alias("doc"), F.lit(5).alias("ord"), F.col("category_id").alias("id"),
+                                                   F.to_json(F.struct(F.col("category_id").alias("id"), "name", "supercategory")).alias("value"))]
+    rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    first = F.row_number().over(W.partitionBy("doc", "ord").orderBy("id")) == 1  # a document's own rows
+    rows = rows.withColumn("value", F.when(first, F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    marks = spark.createDataFrame([(0, '{"info": {"note": "a [ in a string"}, "images": ['), (2, '], "annotations": ['), (4, '], "categories": ['), (6, "]}")], "ord int, value string")
+    heads = rows.select("doc").distinct().join(F.broadcast(marks)).select("doc", "ord", F.lit(0).cast("long").alias("id"), "value")  # four lines a document
+    every = rows.unionByName(heads).repartition("doc").sortWithinPartitions("doc", "ord", "id")
+    every.select("doc", "value").write.partitionBy("doc").text(at)
+    found = spark.read.text(at).select("doc", F.col("_metadata.file_path").alias("path")).distinct()
+    return {r["doc"]: r["path"] for r in found.collect()}  # a row for each document
+
+
+@query("coco_documents", f"""select a.split, annotation_id, i.file_name, c.name, {r6('x', 'y', 'w', 'h')}
+  from ({X.ANNOTATIONS}) a join ({X.IMAGES}) i on i.split = a.split and i.image_id = a.image_id
+  join ({X.CATEGORIES}) c on c.split = a.split and c.category_id = a.category_id""")
+def _(spark, sf):
+    """Annotation documents that are read in byte ranges, so that one document is many tasks."""
+    from kinewatch.sources.readers import read_coco_files
+
+    paths = write_documents(*coco(spark, sf), f"{shared_folder(spark)}/coco")
+    got = read_coco_files(spark, paths, 1 << 18)
+    rows = got.annotations.join(got.images.select("split", "image_id", "file_name"), ["split", "image_id"]).join(
+        got.categories.select("split", "category_id", "name"), ["split", "category_id"])
+    return rounded(rows.select(F.substring_index("split", "-", 1).alias("split"), "annotation_id", "file_name", "name", "x", "y", "w", "h"))
+
+
+@query("normalized_round_trip", ORACLES["normalize_dataset"])
+def _(spark, sf):
+    from kinewatch.sources.readers import read_normalized_coco
+    from kinewatch.sources.writers import write_normalized_coco
+
+    at, out = f"{shared_folder(spark)}/normalized", D.normalize_dataset(*coco(spark, sf))
+    write_normalized_coco(out.images, out.annotations, out.categories, at)
+    back = read_normalized_coco(spark, at, {n: getattr(out, n).schema for n in ("images", "annotations", "categories")})
+    return back.annotations.groupBy("split", "category_id").agg(
+        F.count("*").alias("annotations"), F.round(F.sum("w"), 4).alias("total_width"))
+
+
+@query("manifest_order", f"""select row_number() over (order by encode(video_id)) - 1 as position, video_id, subject_id from ({O.KEPT})""")
+def _(spark, sf):
+    """The written manifest holds its clips in the order of their ids, file after file."""
+    from kinewatch.sources.writers import ordered_lines, write_manifest
+
+    at, clips = shared_folder(spark), MN.build_clip_manifest(X.load(spark, sf, X.CLIPS)).clips
+    write_manifest(clips, at)
+    got = ordered_lines(spark, f"{at}/manifest_json").select("position", F.from_json("value", "video_id string, subject_id int").alias("r"))
+    return got.select("position", "r.video_id", "r.subject_id")
+
+
+@query("clip_manifest_documents", f"""select video_id, subject_id, label, bytes, {r6('fps')} from ({O.KEPT})""")
+def _(spark, sf):
+    """Manifest documents with a list of records each, read back."""
+    from kinewatch.sources.readers import read_clip_manifest
+
+    at, clips = f"{shared_folder(spark)}/manifest", MN.build_clip_manifest(X.load(spark, sf, X.CLIPS)).clips
+    parts = max(1, clips.count() // 1000)
+    row = F.struct("video_id", "subject_id", "label", "bytes", "fps")
+    docs = clips.groupBy(F.pmod(F.xxhash64("video_id"), F.lit(parts)).alias("part")).agg(F.collect_list(row).alias("records"))  # about 1000 each
+    docs.select(F.to_json(F.struct("records"))).write.option("maxRecordsPerFile", 1).text(at)
+    return rounded(read_clip_manifest(spark, at).select("video_id", "subject_id", "label", "bytes", "fps"))
+
+
+@query("clip_file_scan", """select (case when s_suppkey % 2 = 0 then 'Fall' else 'ADL' end) || '/SBJ_' || s_suppkey || '.mp4' as relative_path,
+    length(s_name) as bytes, sha256(s_name) as sha256 from supplier where s_suppkey % 5 <> 2""")
+def _(spark, sf):
+    """Clip files with the names of suppliers as content, and other files beside them, found with size and digest."""
+    from kinewatch.sources.json_ranges import file_at
+    from kinewatch.sources.readers import scan_clip_files
+
+    at = f"{shared_folder(spark)}/clips"
+    key = F.col("s_suppkey")
+    name = F.when(key % 5 == 2, F.concat(F.lit("other/x"), key.cast("string"), F.lit(".mp4"))).otherwise(F.concat(
+        F.when(key % 2 == 0, F.lit("Fall")).otherwise(F.lit("ADL")), F.lit("\\SBJ_"), key.cast("string"), F.lit(".mp4")))
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(FN.portable_path(name).alias("name"), F.col("s_name").alias("content"))
+
+    def write(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["name"], pdf["content"]):
+                fs, place = file_at(f"{at}/{path}")
+                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(place) as f:
+                    f.write(content.encode())
+            yield pdf[["name"]]
+
+    rows.mapInPandas(write, "name string").count()
+    return scan_clip_files(spark, at).select("relative_path", "bytes", "sha256")
+
+
+@query("canonical_digests", """select o_orderkey, sha256('{"id":' || o_orderkey || ',"k":[1.5,{"x":true,"y":null}],"z":{"a":"ä ' || o_orderpriority
+    || '","b":' || o_custkey || '}}') as digest, md5(o_orderpriority) as content_md5 from orders""")
+def _(spark, sf):
+    """Digests of nested JSON with keys in any order."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    text = F.format_string('{"z": {"b": %d, "a": "\\u00e4 %s"}, "k": [1.5, {"y": null, "x": true}], "id": %d}', "o_custkey", "o_orderpriority", "o_orderkey")
+    return o.select("o_orderkey", FN.canonical_text_sha256(text).alias("digest"), FN.file_digest(F.col("o_orderpriority").cast("binary"), "md5").alias("content_md5"))
+
+
 @query("events_round_trip", f"""{LIFE} select {EVENT_SQL} from events_out""")
 def _(spark, sf):
     """Event change log appended as JSON, read back, and reduced to the final state of each event."""

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyarrow.fs import FileSystem, LocalFileSystem
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from kinewatch.operators.protocol import canonical_json
+from kinewatch.operators.slices import small
 from kinewatch.sources import schemas as S
+from kinewatch.sources.json_ranges import RANGE, read_records
 
 # Logical split -> directory of a three-split export.
 SPLITS = {"train": "train", "validation": "valid", "test": "test"}
@@ -41,14 +40,28 @@ def _strict_lines(lines: DataFrame, ddl: str) -> tuple[DataFrame, DataFrame]:
              .when(F.size(extra) > 0, F.concat(F.lit("unknown keys: "), F.array_join(extra, ","))))
     parsed = parsed.withColumn("_error", error)
     good = parsed.filter("_error is null").select(*[F.col(f"_r.{f}").alias(f) for f in fields])
-    bad = parsed.filter("_error is not null").select("file", F.col("value").alias("line"),
+    number = ["number"] if "number" in lines.columns else []
+    bad = parsed.filter("_error is not null").select("file", *number, F.col("value").alias("line"),
                                                      F.col("_error").alias("error"))
     return good, bad
 
 
 def _lines(spark: SparkSession, path: str, stream: bool) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """Lines with their file, and their number (from 1) unless they come from a stream.
+
+    A large file is read as splits. A first pass counts the lines of each split, sums over the splits before
+    it give where its own numbering starts; rows of a split are read in order by one task.
+    """
+    if stream:
+        return spark.readStream.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = lines.join(small(splits), ["file", "_start"])
+    return numbered.select("value", "file", (F.col("_id") + F.col("_shift") + 1).alias("number"))
 
 
 def read_detections(spark: SparkSession, path: str, tracked: bool = False,
@@ -70,37 +83,22 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return _strict_lines(_lines(spark, path, False), S.FRAME)
 
 
-def _documents(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(name, value) with the whole text of each path, read where the tasks run.
+def read_coco(spark: SparkSession, root: str, splits: dict[str, str] = SPLITS, size: int = RANGE) -> Coco:
+    """Annotation files of all splits; see `read_coco_files`."""
+    return read_coco_files(spark, {split: f"{root}/{folder}/_annotations.coco.json" for split, folder in splits.items()}, size)
+
 
-    Spark's own readers skip file names that start with an underscore, as these annotation files do.
+def read_coco_files(spark: SparkSession, paths: dict[str, str], size: int = RANGE) -> Coco:
+    """Annotation documents by split, each read by as many tasks as it has byte ranges of `size`.
+
+    A file without one of the three lists stops with its split's name, as does a record of the wrong shape.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for path in pdf["path"]:
-                fs, at = (FileSystem.from_uri(path) if "://" in path
-                          else (LocalFileSystem(), path.removeprefix("file:")))
-                with fs.open_input_stream(at) as stream:
-                    texts.append(stream.read().decode("utf-8"))
-            yield pd.DataFrame({"name": pdf["name"], "value": texts})
-
-    table = spark.createDataFrame(list(paths.items()), "name string, path string")
-    return table.repartition(len(paths), "path").mapInPandas(run, "name string, value string")
-
-
-def read_coco(spark: SparkSession, root: str, splits: dict[str, str] = SPLITS) -> Coco:
-    """Annotation files of all splits; a file without one of the three lists stops the job."""
-    paths = {split: f"{root}/{folder}/_annotations.coco.json" for split, folder in splits.items()}
-    docs = _documents(spark, paths).select(
-        F.col("name").alias("split"), F.from_json("value", S.COCO, {"mode": "FAILFAST"}).alias("d"))
-    docs = docs.select("split", *[
-        F.coalesce(F.col(f"d.{n}"), F.raise_error(F.concat(
-            F.col("split"), F.lit(f": '{n}' is missing or not a list"))).cast(t)).alias(n)
-        for n, t in [(f.name, f.dataType) for f in _type(S.COCO).fields]])
+    kinds = {f.name: f.dataType.elementType for f in _type(S.COCO).fields}
+    records = read_records(spark, paths, list(kinds), size)
 
     def each(name: str) -> DataFrame:
-        return docs.select("split", F.explode(name).alias("x"))
+        rows = records.filter(F.col("key") == name)
+        return rows.select(F.col("name").alias("split"), F.from_json("value", kinds[name], {"mode": "FAILFAST"}).alias("x"))
 
     images = each("images").select("split", F.col("x.id").alias("image_id"), "x.file_name",
                                    "x.width", "x.height")
@@ -126,7 +124,7 @@ def read_clip_manifest(spark: SparkSession, path: str) -> DataFrame:
 def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
            .option("recursiveFileLookup", True).load(root))
-    base = root.rstrip("/") + "/"
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"  # however many slashes follow a scheme
     relative: Column = F.substring_index(F.col("path"), base, -1)
     # content is dropped right after hashing
     return raw.select("path", relative.alias("relative_path"), F.col("length").alias("bytes"),
@@ -143,7 +141,7 @@ def scan_image_files(spark: SparkSession, root: str, glob: str = "*.{png,jpg,jpe
 
 
 def read_semantic_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Strict JSON lines; blank lines are skipped, broken ones come back with file and text."""
+    """Strict JSON lines; blank lines are skipped, broken ones come back with file, line number and text."""
     return _strict_lines(_lines(spark, path, False), S.SAMPLE)
 
 
@@ -185,3 +183,9 @@ def read_reports(spark: SparkSession, path: str, cycle_id: str = "cycle"
                                F.explode(F.from_json("_s", "array<int>")).alias("subject_id"))
     # reports of one cycle repeat their protocol
     return headers, rows, selected, protocol.distinct()
+
+
+def read_normalized_coco(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> Coco:
+    """Tables that `write_normalized_coco` has published; without its marker there is nothing to read."""
+    folder = spark.read.text(f"{path}/published").first()[0]
+    return Coco(**{name: spark.read.schema(schemas[name]).json(f"{path}/{folder}/{name}") for name in Coco._fields})

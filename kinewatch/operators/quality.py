@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinewatch.functions.scalars import hamming_distance
 from kinewatch.operators.geometry import split_valid
 from kinewatch.operators.lineage import cut
+from kinewatch.operators.slices import small
 
 # Expected class names, the clip allowance in pixels, and the slack of a box check.
 EXPECTED_CLASSES = ("fallen", "lying", "sitting", "standing")
@@ -256,7 +257,8 @@ def near_duplicate_hashes(hashes: DataFrame, distance: int = 4, bucket_limit: in
     Two hashes within d agree on at least one of d+1 bit bands, so only hashes equal on a band are
     compared. A band value shared by too many hashes is split again: its members agree there, so
     they must also agree on one of d+1 bands of their other bits. One small count decides whether
-    a further level is needed. Copies were collapsed beforehand, and every pair is found once.
+    a further level is needed. What the last level leaves too large is dealt into blocks that meet
+    two by two. Copies were collapsed beforehand, and every pair is found once.
     """
     k = distance + 1
     rows = cut(hashes.select("dhash").distinct()).withColumns(
@@ -281,8 +283,13 @@ def near_duplicate_hashes(hashes: DataFrame, distance: int = 4, bucket_limit: in
             big = cut(size.select("_node", "_key"))
             last = big.isEmpty()
         if last:
-            return _compare(keyed, checks, distance, found)
-        found = _compare(keyed.join(big, ["_node", "_key"], "left_anti"), checks, distance, found)
+            sizes = None
+            if big is None:  # no band is left to split by
+                sizes = cut(keyed.groupBy("_node", "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > bucket_limit))
+                sizes = None if sizes.isEmpty() else sizes
+            return _compare(_in_blocks(keyed, sizes, bucket_limit), checks, distance, found)
+        fits = keyed.join(big, ["_node", "_key"], "left_anti")
+        found = _compare(_in_blocks(fits, None, bucket_limit), checks, distance, found)
         rows = cut(keyed.join(big, ["_node", "_key"], "left_semi"))
         nodes = [[*fixed, band] for fixed, per in zip(nodes, bands) for band in per]
     return found
@@ -317,20 +324,36 @@ def _mask(band: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def _in_blocks(keyed: DataFrame, sizes: DataFrame | None, limit: int) -> DataFrame:
+    """Adds `_own`, the block of a hash in its bucket, and `_blocks`, their number: one of at most `limit` where sizes has none."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    if sizes is None:
+        return keyed.withColumns({"_blocks": one, "_own": none})
+    dealt = keyed.join(small(sizes), ["_node", "_key"], "left")
+    count = F.coalesce(F.ceil(F.col("_n") / F.lit(limit / 2)).cast("long"), one)  # half of the limit on average
+    return dealt.withColumn("_blocks", count).withColumn("_own", F.pmod(F.xxhash64("dhash"), F.col("_blocks"))).drop("_n")
+
+
 def _compare(keyed: DataFrame, checks: list[list[int]], distance: int,
              found: DataFrame | None) -> DataFrame:
-    """Compares hashes within a bucket and keeps a pair only in its first common bucket."""
-    on = ["_node", "_key"]
-    a = keyed.select(*on, F.col("dhash").alias("a_hash"))
-    b = keyed.select(*on, F.col("dhash").alias("b_hash"))
-    diff = F.col("a_hash").bitwiseXOR(F.col("b_hash"))
-    gap = hamming_distance(F.col("a_hash"), F.col("b_hash"))
+    """Compares hashes within a bucket and keeps a pair only in its first common bucket.
+
+    Blocks i <= j of a bucket meet in one group: a hash goes to the left of all groups (own, j) and to the right of all (i, own).
+    """
+    on = ["_node", "_key", "_i", "_j"]
+    later = F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))
+    earlier = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_own")))
+    x = keyed.select("_node", "_key", F.col("_own").alias("_i"), later.alias("_j"), F.col("dhash").alias("_x"))
+    y = keyed.select("_node", "_key", F.col("_own").alias("_j"), earlier.alias("_i"), F.col("dhash").alias("_y"))
+    diff = F.col("_x").bitwiseXOR(F.col("_y"))
+    gap = hamming_distance(F.col("_x"), F.col("_y"))
     none = F.array().cast("array<bigint>")
     table = F.array(*[F.array(*[F.lit(m).cast("long") for m in c]) if c else none for c in checks])
     first = F.forall(F.element_at(table, F.col("_node") + 1), lambda m: diff.bitwiseAND(m) != 0)
+    once = (F.col("_i") < F.col("_j")) | (F.col("_x") <= F.col("_y"))
     # the cheap distance test comes first; few pairs reach the second
-    pairs = a.join(b, on).filter((F.col("a_hash") <= F.col("b_hash")) & (gap <= distance)).filter(
-        first).select("a_hash", "b_hash", gap.alias("distance"))
+    pairs = x.join(y, on).filter(once & (gap <= distance)).filter(first).select(
+        F.least("_x", "_y").alias("a_hash"), F.greatest("_x", "_y").alias("b_hash"), gap.alias("distance"))
     return pairs if found is None else found.unionByName(pairs)
 
 
@@ -345,12 +368,14 @@ def near_duplicate_groups(files: DataFrame, distance: int = 4, order: tuple = SP
     files: image_id, split, dhash, sha256. Files of equal content do not count. A group of copies
     stays one row, so the number of pairs is exact without listing them.
     """
+    files = cut(files.select("split", "dhash", "sha256"))  # read three times below
     counts = files.groupBy("split", "dhash").agg(F.count("*").alias("n"))
     same = files.groupBy("dhash", "sha256", "split").agg(F.count("*").alias("n"))
     near = near_duplicate_hashes(files, distance, bucket_limit)
     # both orientations, the equal pair once
-    both = near.unionByName(near.filter("a_hash <> b_hash").select(
-        F.col("b_hash").alias("a_hash"), F.col("a_hash").alias("b_hash"), "distance"))
+    there, back = F.struct("a_hash", "b_hash"), F.struct(F.col("b_hash").alias("a_hash"), F.col("a_hash").alias("b_hash"))
+    ways = F.when(F.col("a_hash") == F.col("b_hash"), F.array(there)).otherwise(F.array(there, back))
+    both = near.select("distance", F.explode(ways).alias("way")).select("way.a_hash", "way.b_hash", "distance")
     left = counts.select(F.col("dhash").alias("a_hash"), F.col("split").alias("first_split"),
                          F.col("n").alias("n1"))
     right = counts.select(F.col("dhash").alias("b_hash"), F.col("split").alias("second_split"),

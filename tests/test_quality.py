@@ -120,3 +120,23 @@ def test_file_drift_and_gate(spark):
                      "file_changed", "file_missing"}
     fine = spark.createDataFrame([(0, "x"), (1, "y")], "class_id int, name string")
     assert D.training_gate(none, fine, {0: "x", 1: "y"}, old, old).count() == 0
+
+
+@pytest.mark.parametrize("levels, limit", [(1, 6), (1, 1000), (2, 4)])
+def test_a_bucket_that_no_band_splits_is_dealt_into_blocks(spark, monkeypatch, levels, limit):
+    """All hashes share most bits, so the last level keeps large buckets: blocks of them give every pair once."""
+    rng = random.Random(levels * 100 + limit)
+    monkeypatch.setattr(Q, "LEVELS", levels)
+    hashes = sorted({(1 << 62) | sum(1 << rng.randrange(20) for _ in range(3)) for _ in range(90)})
+    got = Q.near_duplicate_hashes(spark.createDataFrame([(h,) for h in hashes], "dhash long"), 2, limit)
+    want = sorted((a, b, (a ^ b).bit_count()) for i, a in enumerate(hashes) for b in hashes[i:] if (a ^ b).bit_count() <= 2)
+    assert sorted((r["a_hash"], r["b_hash"], r["distance"]) for r in got.collect()) == want
+
+
+def test_blocks_bound_what_a_group_compares(spark):
+
+
+    keyed = spark.range(20_000).select(F.col("id").alias("dhash"), F.lit(0).alias("_node"), F.array(F.lit(1).cast("long")).alias("_key"))
+    sizes = keyed.groupBy("_node", "_key").agg(F.count("*").alias("_n"))
+    blocks = Q._in_blocks(keyed, sizes, 1000).groupBy("_own").count().collect()
+    assert len(blocks) == 40 and max(r["count"] for r in blocks) <= 1000

@@ -21,8 +21,8 @@ from kinewatch.llm.common import rows_of, settle
 CAPACITY, END_ID = 1024, 2
 #: Numbers of groups that are tried; pieces under this share of a sequence are small.
 GROUPS, SMALL = (16, 64, 256, 1024), 1 / 8
-#: Parts that the pieces of one length are numbered in.
-PARTS = 64
+#: Pieces of one length that are numbered together, about.
+NUMBERED = 1 << 13
 
 _encoders: dict[str, object] = {}
 
@@ -220,27 +220,28 @@ def best_plan(lengths: dict[int, int], capacity: int = CAPACITY) -> tuple[int, l
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to settled pieces of 1 to `capacity` tokens; equal rows may change places.
+    """Adds sequence_id and offset, and drops row, of settled pieces of 1 to `capacity` tokens that are told apart by row.
 
-    Pieces of a length are numbered in PARTS parts, so that a common length isn't one group.
+    A piece that fills a sequence is one, wherever it lies: no shuffle. The others of a length are numbered in parts of
+    about NUMBERED, so a common length isn't one group; the driver gets a count for each length.
     """
     spark = cut.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(PARTS)).cast("int")
-    numbered = cut.withColumn("part", part)
+    kept = [c for c in cut.columns if c != "row"]
+    short = cut.filter(F.col("length") < capacity)
+    lengths = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}  # under `capacity` rows
+    sequences, places = best_plan(lengths, capacity) if lengths else (0, [])
+    full = cut.filter(F.col("length") == capacity).select(*kept, (F.col("row") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not lengths:
+        return full
+    parts = -(-max(lengths.values()) // NUMBERED)
+    numbered = short.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     counts = numbered.groupBy("length", "part").agg(F.count("*").alias("n"))
-    by_part = {(r["length"], r["part"]): r["n"] for r in counts.collect()}  # at most capacity * PARTS rows
-    lengths: dict[int, int] = {}
-    shifts = []
-    for (length, p), n in sorted(by_part.items()):
-        shifts.append((length, p, lengths.get(length, 0)))
-        lengths[length] = lengths.get(length, 0) + n
-    _, places = best_plan(lengths, capacity)
-    before = spark.createDataFrame(shifts, "length long, part int, before long")
-    order = W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = numbered.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "part"])
+    earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = numbered.withColumn("rank", F.row_number().over(W.partitionBy("length", "part").orderBy("row")) - 1).join(before, ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     starts: dict[int, list[tuple[int, int, int]]] = {}
-    for length, first, n, sequence, offset in places:
+    for length, first, _, sequence, offset in places:
         starts.setdefault(length, []).append((first, sequence, offset))
     table = {length: tuple(np.array(c, np.int64) for c in zip(*sorted(p), strict=True)) for length, p in starts.items()}
     shared = spark.sparkContext.broadcast(table)
@@ -256,7 +257,8 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence[here], offset[here] = to[i] + ranks[here] - first[i], at[i]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return ranked.withColumn("_p", place("length", "rank")).select(*cut.columns, "_p.sequence_id", "_p.offset")
+    placed = ranked.withColumn("_p", place("length", "rank")).select(*kept, "_p.sequence_id", "_p.offset")
+    return placed.unionByName(full)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -265,7 +267,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     Null and empty text: one piece, the end. Repeated rows: pieces of their own. Null doc_id: kept. Empty table: empty.
     Other columns of docs aren't read.
     """
-    return assign(settle(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+    cut = pieces(docs, tokenizer, capacity, end_id, with_ids)
+    return assign(settle(cut.withColumn("row", F.monotonically_increasing_id())), capacity)
 
 
 def digest(packed: DataFrame) -> DataFrame:

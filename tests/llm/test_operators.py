@@ -62,6 +62,8 @@ def test_url_rules(spark):
     assert got[3] == ("example.org", "/es/1", "example.org/es/", "block") and got[4] == ("a.example.org", "/en/17", "example.org/en/1", "block")
     assert got[5][2:] == ("com/de/", "block") and got[6][2:] == ("com/fr/", "allow") and got[7][2:] == ("org/", "allow")
     assert got[8] == ("example.org", "", None, "allow") and got[9][1:] == ("", None, "allow") and got[10] == ("example.org:80", "/es/", None, "allow")
+    bare = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(df, rules=[("block", "/e"), ("allow", "org/es/1")]).collect()}
+    assert bare[3] == ("org/es/1", "allow") and bare[4] == bare[7] == bare[10] == ("/e", "block") and bare[5] == bare[2] == bare[9] == (None, "allow")
     assert url_rules.judge(df, rules=[]).filter("verdict = 'allow' and rule is null").count() == len(urls)
     assert url_rules.judge(df.limit(0)).count() == 0
 
@@ -154,6 +156,18 @@ def test_packing(spark, odd, docs):
     assert packing.pack(odd.limit(0), queries.tokenizer_file()).count() == 0
 
 
+def test_packing_of_one_length_and_full_pieces(spark, monkeypatch):
+    """Rows that are equal in all they hold, many of one length and many that fill a sequence, are numbered in parts."""
+    monkeypatch.setattr(packing, "NUMBERED", 16)
+    texts = ["a b c"] * 300 + ["one two three " * 900] * 20 + [None] * 40
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs, queries.tokenizer_file()).collect()
+    n, least = packed_right(rows, [(None, t) for t in texts])
+    assert sum(r["length"] == packing.CAPACITY for r in rows) >= 40 and n <= 1.1 * least + 2
+    whole = packing.assign(spark.createDataFrame([(7, 4), (9, 4)], "row long, length long"), 4).collect()
+    assert len({r["sequence_id"] for r in whole}) == 2 and all(r["offset"] == 0 for r in whole)
+
+
 def test_packing_carries_ids(spark, docs, monkeypatch):
     """The pipeline's last stage gives the tokens of each piece, and op2's digests are taken from them."""
     rows = corpus_pipeline.pack(spark, docs, SF).collect()

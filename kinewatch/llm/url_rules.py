@@ -11,6 +11,8 @@ from kinewatch.llm.common import lower_ascii
 
 #: The rules of the query, as (verdict, pattern).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: The token of rules without a literal; no token of a URL holds a slash.
+ANY = "/"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -28,12 +30,18 @@ def _literals(pattern: str) -> list[str]:
     return sorted({t for t in [*host.split("."), *path.split("/")[:-1]] if t})
 
 
+def _expression(pattern: str) -> str:
+    """The pattern on host and path: without a host any host fits."""
+    host, _, path = pattern.partition("/")
+    return rf"(?s)^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}" if host else rf"(?s)^[^/]*/{re.escape(path)}"
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row of pages.
 
     A rule `host/path` fits its host and subdomains where the URL's path starts with the rule's; the longest rule wins
     (ties: block first, then the smaller pattern); without a rule, `default`. Null URL or none with ://: empty host and
-    path, no rule. Repeated rows are judged alike; columns named as the added ones are replaced; an empty table or rule
+    path, no rule. A rule without a whole literal token meets every URL. Repeated rows are judged alike; columns named as the added ones are replaced; an empty table or rule
     list is fine. The rule list is code, not data: it must fit the driver.
     """
     spark = pages.sparkSession
@@ -41,15 +49,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str =
     sites = work.select("host", "path").filter(F.col("host") != "").distinct()
     tokens = sites.withColumn("token", F.explode(F.array_distinct(F.concat(F.split("host", r"\."), F.split("path", "/"))))).filter(F.col("token") != "")
     literal = [(r, t) for _, r in rules for t in _literals(r)]
-    if not literal:
+    if not rules:
         return work.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    wanted = spark.createDataFrame(sorted({(t,) for _, t in literal}), "token string")
-    often = {r[0]: r[1] for r in tokens.join(F.broadcast(wanted), "token").groupBy("token").count().collect()}  # a row for each literal of the rules
+    often: dict[str, int] = {}
+    if literal:
+        wanted = spark.createDataFrame(sorted({(t,) for _, t in literal}), "token string")
+        often = {r[0]: r[1] for r in tokens.join(F.broadcast(wanted), "token").groupBy("token").count().collect()}  # a row for each literal of the rules
     index = []
     for verdict, rule in rules:
-        if own := [t for r, t in literal if r == rule]:
-            host, _, path = rule.partition("/")
-            index.append((min(own, key=lambda t: (often.get(t, 0), t)), rule, verdict, rf"(?s)^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}"))
+        own = [t for r, t in literal if r == rule]
+        index.append((min(own, key=lambda t: (often.get(t, 0), t)) if own else ANY, rule, verdict, _expression(rule)))
+    if any(token == ANY for token, *_ in index):  # some rules hold no whole token: each URL fetches them by a token of its own
+        tokens = tokens.unionByName(sites.withColumn("token", F.lit(ANY)))
     by_token = spark.createDataFrame(index, "token string, rule string, verdict string, expression string")
     fits = tokens.join(by_token, "token").filter(F.regexp_like(F.concat("host", "path"), F.col("expression")))
     rank = F.struct(F.char_length("rule").alias("long"), (F.col("verdict") == "block").alias("block"), F.col("rule"), F.col("verdict"))

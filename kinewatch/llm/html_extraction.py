@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -15,23 +16,32 @@ from kinewatch.llm.url_rules import url_host
 
 #: Kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = set("script style textarea title noscript iframe noembed noframes xmp template".split())
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
- h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead
+ h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead
  tr ul""".split())
 CONTAINER = set("article body div main section td".split())
-DROPPED = set("aside button canvas datalist dialog footer form head menu nav object search select".split())
+DROPPED = set("annotation annotation-xml aside button canvas datalist dialog footer form head menu nav object search select svg".split())
+#: Elements that end an open drawing or formula, and those that hold other elements of a page inside of one.
+FOREIGN = {"svg", "math"}
+BREAKOUT = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s
+ small span strike strong sub sup table tt u ul var""".split())
+HOLDS_HTML = set("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words in a class or an id that mark other things than the article, and those that mark it.
-OTHER = set("""ad ads adsense advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright
+OTHER = set("""ad ads adsbygoogle adsense advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright
  disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo
  promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription
  teaser toolbar widget""".split())
 ARTICLE = set("article body content entry main post story text".split())
 #: Names of one article as a whole.
 WHOLE = set("article entry post story".split())
+#: Words of OTHER that name what readers wrote.
+READERS = set("comment comments disqus replies reply respond".split())
+#: What OTHER may come in numbers of (related posts), without another meaning.
+MANY = set("articles entries posts stories".split())
 #: Words that may follow one of OTHER in a name without another meaning, and elements that a name never drops.
 LAYOUT = set("""area bar block bottom box button buttons column container content form group holder icon icons inner item items left link links list
  menu message outer panel row section slot text top unit wrap wrapper""".split())
@@ -39,255 +49,331 @@ SPARED = {"body", "html", "main", "p", "pre", "blockquote"} | HEADINGS
 #: A named element goes if it has at most this share of the page's text, or more than this share of its own text in links.
 SMALL, LINKED = 1 / 3, 1 / 2
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_HEAD = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
 _DIGITS, _PIECES = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "drop", "mark", "score", "text", "link")
-
-    def __init__(self, tag: str, path: str, parent: "Node | None", drop: int, mark: str = ""):
-        self.tag, self.path, self.parent, self.drop = tag, path, parent, drop  # drop: 0 read, 1 headings alone, 2 nothing
-        self.mark = mark  # what its names say: "", "weak", "strong", "header" or "comment"
-        self.score, self.text, self.link = 0.0, 0, 0
-
+    """An element. What is asked of the elements around it is kept on it, so nothing walks to the root."""
+
+    __slots__ = ("tag", "label", "path", "parent", "drop", "hard", "mark", "block", "container", "headed", "article", "named", "foreign", "size", "link_size", "score", "text", "link", "hits", "inside")
+
+    def __init__(self, tag: str, label: str, path: int, parent: "Node | None", drop: int, mark: str = ""):
+        self.tag, self.label, self.path, self.parent = tag, label, path, parent  # path: its number on this page
+        self.drop = self.hard = drop  # 0 read, 1 headings alone, 2 nothing; hard: by kind and role alone
+        self.mark = mark  # what its names say: "", "weak", "strong", "title", "header" or "comment"
+        self.size = self.link_size = self.text = self.link = self.hits = 0
+        self.score, self.inside = 0.0, False
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.container = self if parent is None or tag in CONTAINER else parent.container
+        self.headed = tag in HEADINGS or parent is not None and parent.headed
+        self.article: Node | None = self if tag in ("article", "main") else parent.article if parent is not None else None
+        self.named: Node | None = self if _named_article(label) else parent.named if parent is not None else None
+        self.foreign: Node | None = self if tag in FOREIGN else None if parent is None or tag in HOLDS_HTML else parent.foreign
+
+
+class Page:
+    """The elements of a page in order (the first is the page), its blocks (element, text, characters in links), and paths by number."""
+
+    def __init__(self) -> None:
+        self.top = Node("", "", 0, None, 0)
+        self.nodes, self.containers = [self.top], [self.top]
+        self.blocks: list[tuple[Node, str, int]] = []
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def number(self, parent: int, label: str) -> int:
+        return self.paths.setdefault((parent, label), len(self.paths) + 1)
+
+    def find(self, path: str) -> int | None:
+        """The number of a written path, if the page has it."""
+        at: int | None = 0
+        for label in path.split("/")[1:]:
+            at = self.paths.get((at, label))
+            if at is None:
+                break
+        return at
 
-def _mark(tag: str, names: list[str]) -> str:
-    """What class and id say of an element: names that are words of OTHER as a whole are strong, those that begin with one are weak."""
-    strong, weak, article = set(), False, tag == "article"
+    def written(self, node: Node) -> str:
+        labels = []
+        while node.parent is not None:
+            labels.append(node.label)
+            node = node.parent
+        return "".join(f"/{x}" for x in reversed(labels))
+
+
+def _names_other(words: list[str]) -> str:
+    """What one name says: "strong" or "comment" if the word that the others describe is of OTHER, "weak" if its first is, "article" if it means that."""
+    other = [w for w in words if w in OTHER]
+    core = list(words)
+    while len(core) > 1 and (core[-1] in LAYOUT or core[-1] in MANY):
+        core.pop()
+    if other and all(w in OTHER or w in LAYOUT or w in ARTICLE or w in MANY for w in words):
+        if core[-1] in OTHER:  # post-comments, article-sidebar, related-posts
+            return "comment" if core[-1] in READERS and READERS.issuperset(other) else "strong"
+        return "article" if core[-1] in ARTICLE else "weak"
+    if words[0] in OTHER:
+        return "weak"
+    return "article" if not ARTICLE.isdisjoint(words) else ""
+
+
+@lru_cache(1 << 12)
+def _mark(tag: str, names: tuple[str, ...]) -> str:
+    """What class and id say of an element. Its being one article as a whole outweighs all other names, an article word in another name only weak ones."""
+    if tag == "article":
+        return ""
+    said: set[str] = set()
+    header = titled = True  # all strong names are headers; one is that of an article
     for name in names:
         words = [w.lower() for w in _PIECES.findall(name)]
-        article = article or not ARTICLE.isdisjoint(words)
-        if not words or words[0] not in OTHER:
+        if not words:
             continue
-        if all(w in OTHER or w in LAYOUT for w in words):
-            strong.update(w for w in words if w in OTHER)
-            if len(words) == 1 and words[0] in ("comment", "comments"):
-                return "comment"
-        else:
-            weak = True
-    if article:
-        return ""
-    return "header" if strong == {"header"} else "strong" if strong else "weak" if weak else ""
-
-
-def _open(tag: str, attributes: str, parent: Node) -> Node:
+        if all(w in WHOLE for w in words):
+            return ""
+        says = _names_other(words)
+        said.add(says)
+        if says == "strong":
+            header = header and {w for w in words if w in OTHER} == {"header"}
+            titled = titled and not WHOLE.isdisjoint(words)
+    if "comment" in said:
+        return "comment"
+    if "strong" in said:
+        return "strong" if not header else "title" if titled else "header"
+    return "weak" if "weak" in said and "article" not in said else ""
+
+
+def _hidden(named: dict[str, str]) -> bool:
+    return (named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
+            or "display:none" in named.get("style", "").replace(" ", "").lower())
+
+
+def _open(page: Page, tag: str, attributes: str, parent: Node) -> Node:
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)} if attributes else {}
-    classes = named.get("class", "").split()
-    drop, mark = parent.drop, ""
-    if tag in DROPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
+    classes = named["class"].split() if "class" in named else []
+    drop, mark = parent.hard, ""
+    if tag in DROPPED or named and _hidden(named):
         drop = 2
     elif named and tag not in SPARED:
-        mark = _mark(tag, [*classes, *named.get("id", "").split()])
+        mark = _mark(tag, (*classes, *named.get("id", "").split()))
     if tag == "header" and drop < 2:
-        drop = 1 if _within_article(parent) else 2
-    label = ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})])
-    return Node(tag, f"{parent.path}/{label}", parent, drop, mark)
-
-
-def _within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+        drop = 1 if parent.article is not None else 2
+    label = ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})]).replace("/", "|") if classes else tag
+    return Node(tag, label, page.number(parent.path, label), parent, drop, mark)
 
 
-def _drop_marked(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+def _drop_marked(page: Page) -> None:
     """Marked elements that are small beside the page or mostly links go with all below them; names of comments always count."""
-    sizes = {n: [0, 0] for n in nodes if n.mark}
-    if not sizes:
-        return
-    total = 0
-    for node, text, link in blocks:
-        total += len(text)
-        while node is not None:
-            if node.mark:
-                sizes[node][0] += len(text)
-                sizes[node][1] += link
-            node = node.parent
-    for node in nodes:  # parents come first
+    for node, text, link in page.blocks:
+        node.size += len(text)
+        node.link_size += link
+    for node in reversed(page.nodes):  # parents come first, so sums go up from the end
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.link_size += node.link_size
+    total = page.top.size
+    for node in page.nodes[1:]:
         drop = node.drop
-        if node.mark:
-            size, link = sizes[node]
-            if node.mark == "comment" or link > LINKED * size or node.mark != "weak" and size <= SMALL * total:
-                drop = max(drop, 1 if node.mark == "header" and _within_article(node.parent) else 2)
+        if node.mark and (node.mark == "comment" or node.link_size > LINKED * node.size or node.mark != "weak" and node.size <= SMALL * total):
+            drop = max(drop, 1 if node.mark == "title" or node.mark == "header" and node.parent.article is not None else 2)
         node.drop = max(drop, node.parent.drop)
 
 
-def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """The blocks of a page that may be read, with the element of each, and its containers with scores.
+def read_page(html: str) -> tuple[list[tuple[Node, str]], Page]:
+    """The blocks of a page that may be read, with the element of each, and the page, whose containers have scores.
 
-    Where classes and ids would leave no text, they drop nothing.
+    Where classes and ids would leave no text, they drop nothing. Time and memory grow with the page's length.
     """
-    nodes, read, containers = _parse(html)
-    hard = [n.drop for n in nodes]
-    _drop_marked(nodes, read)
-    blocks = _readable(read)
-    if read and not blocks:
-        for node, drop in zip(nodes, hard, strict=True):
-            node.drop = drop
-        blocks = _readable(read)
+    page = _parse(html)
+    _drop_marked(page)
+    blocks = _readable(page.blocks)
+    if page.blocks and not blocks:
+        for node in page.nodes:
+            node.drop = node.hard
+        blocks = _readable(page.blocks)
     for here, text, link in blocks:
         worth = max(0, len(text) - 2 * link)
         gain = (1 + min(worth / 100, 20) + text.count(",") / 4) if worth else 0.0
-        node, share = _container(here), 1.0
+        node, share = here.container, 1.0
         while node is not None and share >= 0.25:
             node.score += gain * share
             node.text += len(text)
             node.link += link
-            node, share = _container(node.parent), share / 2
-    return [(node, text) for node, text, _ in blocks], containers
+            node, share = node.parent.container if node.parent is not None else None, share / 2
+    return [(node, text) for node, text, _ in blocks], page
 
 
 def _readable(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    return [b for b in blocks if b[0].drop == 0 or b[0].drop == 1 and _headed(b[0])]
+    return [b for b in blocks if b[0].drop == 0 or b[0].drop == 1 and b[0].headed]
 
 
-def _parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]], list[Node]]:
-    """The elements of a page, its blocks (element, text, characters in links) outside of elements that aren't read, and its containers."""
-    top = Node("", "", None, 0)
-    here, nodes, blocks, containers, parts = top, [], [], [top], []
-    link = 0  # characters of the open block inside links
-    at, inside = 0, 0  # inside: open links
+class _Reader:
+    """Follows the tags of a page: the open element, the text of the open block, and which elements are open by tag."""
 
-    def flush() -> None:
-        nonlocal parts, link
-        if parts:
-            raw = "".join(parts)
-            text = " ".join((unescape(raw) if "&" in raw else raw).split())
-            if text and (here.drop == 0 or here.drop == 1 and _headed(here)):
-                blocks.append((here, text, link))
-            parts, link = [], 0
+    def __init__(self) -> None:
+        self.page = Page()
+        self.here = self.page.top
+        self.open: dict[str, list[Node]] = {}
+        self.parts: list[str] = []
+        self.link, self.links = 0, 0  # characters of the open block inside links; open links
 
-    def add(text: str) -> None:
-        nonlocal link
-        parts.append(text)
-        link += len(text) if inside else 0
+    def add(self, text: str) -> None:
+        if self.here.hard < 2:  # phrases that aren't read (buttons, drawings) leave no words in their block
+            self.parts.append(text)
+            self.link += len(text) if self.links else 0
 
-    size = len(html)
+    def flush(self) -> None:
+        if self.parts:
+            raw = "".join(self.parts)
+            text = " ".join((unescape(raw) if "&" in raw else raw).split())
+            where = self.here if self.here.hard < 2 else self.here.block
+            if text and (where.hard == 0 or where.hard == 1 and where.headed):
+                self.page.blocks.append((where, text, self.link))
+            self.parts, self.link = [], 0
+
+    def leave(self, node: Node) -> None:
+        """Closes the open elements up to and with this one."""
+        stop = node.parent
+        while self.here is not stop:
+            self.open[self.here.tag].pop()
+            self.here = self.here.parent
+
+    def closing(self, tag: str) -> None:
+        if not (own := self.open.get(tag)):
+            return
+        node = own[-1]
+        if tag in BLOCK or tag in DROPPED or tag in FOREIGN or node.block is self.here.block:  # a phrase ends only inside its own block
+            self.leave(node)
+
+    def opening(self, tag: str, attributes: str) -> None:
+        while self.here.tag in CLOSED_BY and tag in CLOSED_BY[self.here.tag]:
+            self.leave(self.here)
+        if tag in BLOCK:  # open phrases end with their paragraph
+            node = self.here.block
+            if node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
+                self.leave(node)
+        node = self.here = _open(self.page, tag, attributes, self.here)
+        self.open.setdefault(tag, []).append(node)
+        self.page.nodes.append(node)
+        if tag in CONTAINER:
+            self.page.containers.append(node)
+
+
+def _parse(html: str) -> Page:
+    """One pass over the text. A quote that never closes: from there on a tag ends at its first >."""
+    r = _Reader()
+    at, size, last, quotes = 0, len(html), html.rfind(">"), True
     while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            add(html[at:])
+        m = html.find("<", at)
+        if m < 0 or m > last and not html.startswith("<!", m):
+            r.add(html[at:])
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m > at:
+            r.add(html[at:m])
+        if html.startswith("<!--", m):
+            end = html.find("-->", m + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        closing = bool(m[1] or m[4])
+        if html.startswith(("<!", "<?"), m):
+            at = (html.find(">", m) + 1) or size
+            continue
+        head = _HEAD.match(html, m)
+        if head is None:
+            r.add("<")
+            at = m + 1
+            continue
+        rest = _ATTRIBUTES.match(html, head.end()) if quotes else None
+        quotes = rest is not None
+        at = rest.end() if rest is not None else html.find(">", head.end()) + 1
+        if not at:
+            r.add(html[m:])
+            break
+        attributes = html[head.end() : at - 1]
+        tag, closing = head[2].lower(), bool(head[1])
+        if (foreign := r.here.foreign) is not None and tag in BREAKOUT and not closing:
+            r.leave(foreign)
         if not closing and tag in RAW:
-            if (m[3] or m[6] or "").endswith("/"):
+            if attributes.endswith("/"):
                 continue
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             if end is None:
                 break
             at = (html.find(">", end.end() - 1) + 1) or size
             continue
-        if tag == "br" or tag in ("wbr", "img"):
-            parts.append(" " if tag == "br" else "")
+        if tag in ("br", "wbr", "img"):
+            if tag == "br":
+                r.add(" ")
             continue
-        block = tag in BLOCK
-        if block:
-            flush()
+        if tag in BLOCK:
+            r.flush()
         if tag == "a":
-            inside = 0 if closing else 1
+            r.links = 0 if closing else 1
         if tag in VOID:
             continue
         if closing:
-            node = here
-            while node is not top and node.tag != tag:
-                node = node.parent if block or node.tag not in BLOCK else top
-            if node is not top:
-                here = node.parent
-        else:
-            while here.tag in CLOSED_BY and tag in CLOSED_BY[here.tag]:
-                here = here.parent
-            if block:
-                node = here
-                while node.tag not in BLOCK and node is not top:  # open phrases end with their paragraph
-                    node = node.parent
-                if node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
-                    here = node.parent
-            here = _open(tag, m[3] or m[6] or "", here)
-            nodes.append(here)
-            if tag in CONTAINER:
-                containers.append(here)
-    flush()
-    return nodes, blocks, containers
-
-
-def _headed(node: Node) -> bool:
-    while node is not None:
-        if node.tag in HEADINGS:
-            return True
-        node = node.parent
-    return False
-
-
-def _container(node: Node | None) -> Node | None:
-    while node is not None and node.tag not in CONTAINER and node.tag:
-        node = node.parent
-    return node
+            r.closing(tag)
+        elif not (r.here.foreign is not None or tag in FOREIGN) or not attributes.endswith("/"):
+            r.opening(tag, attributes)
+    r.flush()
+    return r.page
 
 
 def _worth(node: Node) -> float:
     """Score of a container: paragraphs below it, less what is in links, more if it calls itself the article."""
     if not node.text or node.drop:
         return 0.0
-    last = node.path.rpartition("/")[2]
-    bonus = 1.5 if last.partition(".")[0] in ("article", "main") or ARTICLE & {w.lower() for w in _PIECES.findall(last)} - {"body"} else 1.0
+    bonus = 1.5 if node.tag in ("article", "main") or ARTICLE & {w.lower() for w in _PIECES.findall(node.label)} - {"body"} else 1.0
     return node.score * (1 - node.link / node.text) * bonus
 
 
 def best_container(html: str | None) -> tuple[str, float] | None:
     if not html:
         return None
-    best = max(read_page(html)[1], key=_worth)
-    return (best.path, _worth(best)) if best.score else None
-
-
-def _upwards(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+    page = read_page(html)[1]
+    best = max(page.containers, key=_worth)
+    return (page.written(best), _worth(best)) if best.score else None
 
 
-def _named_article(node: Node) -> bool:
+@lru_cache(1 << 12)
+def _named_article(label: str) -> bool:
     """Whether one of the classes means one article as a whole, like post-12, and not a part of it, like post-title."""
-    names = [_PIECES.findall(c) for c in node.path.rpartition("/")[2].split(".")[1:]]
+    if "." not in label:
+        return False
+    names = [_PIECES.findall(c) for c in label.split(".")[1:]]
     return any(words and all(w.lower() in WHOLE for w in words) for words in names)
 
 
-def _widened(hits: list[Node]) -> tuple[set[str], Node | None]:
-    """Paths of the nearest article or main around each hit (itself counts), else of the nearest element that names itself one.
-
-    Hits with neither are read from the lowest element that holds all of them, the second value.
+def _choose(page: Page, hits: list[Node]) -> None:
+    """Marks as inside what is below the nearest article or main around each hit (itself counts), and all of the same path; else below
+    the nearest element that names itself one. Hits with neither are read from the lowest element that holds all of them.
     """
-    paths, rest = set(), []
+    paths, rest = set(), 0
     for hit in hits:
-        around = next((n for n in _upwards(hit) if n.tag in ("article", "main")), None) or next((n for n in _upwards(hit) if _named_article(n)), None)
-        paths.add(around.path) if around is not None else rest.append(hit)
-    common = list(_upwards(rest[0])) if rest else [None]
-    for hit in rest[1:]:
-        held = set(_upwards(hit))
-        common = [n for n in common if n in held]
-    return paths, common[0]
+        around = hit.article or hit.named
+        if around is not None:
+            paths.add(around.path)
+        else:
+            hit.hits, rest = 1, rest + 1
+    common = None
+    if rest:
+        for node in reversed(page.nodes[1:]):
+            node.parent.hits += node.hits
+        common = next(n for n in reversed(page.nodes) if n.hits == rest)  # of those that hold all, one below another comes later
+    for node in page.nodes:
+        node.inside = node is common or node.path in paths and node.parent is not None or node.parent is not None and node.parent.inside
 
 
 def extract(html: str | None, path: str | None) -> str:
     """All blocks of the articles around the page's containers of this path, or around its own best one."""
     if not html:
         return ""
-    blocks, containers = read_page(html)
-    hits = [n for n in containers if n.path == path and n.drop < 2] if path is not None else []
+    blocks, page = read_page(html)
+    number = page.find(path) if path is not None else None
+    hits = [n for n in page.containers if n.path == number and n.drop < 2] if number is not None else []
     if not any(map(_worth, hits)):
-        hits = [max(containers, key=_worth)]
-    paths, common = _widened(hits)
-    return "\n".join(text for node, text in blocks if any(n is common or n.path in paths for n in _upwards(node)))
+        hits = [max(page.containers, key=_worth)]
+    _choose(page, hits)
+    return "\n".join(text for node, text in blocks if node.inside)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -300,14 +386,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     cast = pages.select(url_host(F.col("url")).alias("host"), "html").mapInPandas(votes, "host string, path string, score double")
     tally = cast.groupBy("host", "path").agg(F.count("*").alias("pages"), F.round(F.sum("score"), 3).alias("score"))
-    return settle(tally.groupBy("host").agg(F.max_by("path", F.struct("pages", "score", F.xxhash64("path"))).alias("path")))
+    return settle(tally.groupBy("host").agg(F.min_by("path", F.struct(-F.col("pages"), -F.col("score"), "path")).alias("path")))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages.
 
     Null or empty html, and pages without text: empty. A null url or one without a host: such pages vote as one host.
-    Repeated rows are pages of their own. Markup that isn't closed ends with the page. Empty table: empty. Other columns
+    Repeated rows are pages of their own. Very long and deeply nested pages take time and memory in proportion. Markup that isn't closed ends with the page. Empty table: empty. Other columns
     aren't read.
     """
     paths = host_paths(pages)

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -397,6 +399,54 @@ def test_pages_named_by_layout(html):
     assert html_extraction.extract(around.format(first), None) == "\n".join([first] * 3)
 
 
+SENTENCE = "A sentence of the article that goes on for quite a while, as they do."
+
+
+@pytest.mark.parametrize("name", "post-comments article-sidebar main-navigation entry-related content-ad text-ad story-promo entry-footer post-share article-ads related-posts adsbygoogle".split())
+def test_pages_without_what_an_article_word_names(name):
+    """The last word of a name says what it is: comments of a post aren't the post."""
+    html = f'<body><article>{f"<p>{SENTENCE}</p>" * 4}<div class="{name}"><p>Something else</p></div></article></body>'
+    assert html_extraction.extract(html, None) == "\n".join([SENTENCE] * 4)
+    for part in ("post-content", "article-body", "content-with-sidebar", "no-comments", "content-area"):
+        assert html_extraction.extract(html.replace(name, part), None).endswith("Something else")
+
+
+def test_pages_with_drawings_and_formulas():
+    read = lambda html: html_extraction.extract(html, None)
+    assert read("<article><p>one</p><svg><path/><p>two</p></article>") == "one\ntwo"
+    assert read("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><math><p>then</article>") == "so x=2 holds\nthen"
+    assert read("<p>a <svg><title>t</title><text>no</text></svg>b <button>Buy</button>c <select><option>1</select>d") == "a b c d"
+    assert read('<p>a<b title="x>y">b</b> c<i title="z>d</i></p><p>e') == "ab cd\ne"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pages_of_planted_blocks(spark, seed):
+    """Pages of one template with known articles: exactly their blocks come back."""
+    rng = random.Random(seed)
+    around = ['<nav><a href="/">Home</a> and more</nav>', '<div class="sidebar">Popular <p>Other news of the day</p></div>', "<script>var x = '<p>no</p>';</script>", "<style>p {}</style>",
+              '<div class="cookie-notice">We use cookies</div>', "<form>Mail <input> please</form>", '<div id="comments"><p>I think so too</p></div>', "<footer>&copy; 2020</footer>", "<!-- <p>gone</p> -->"]
+    rows, want = [], {}
+    for i in range(30):
+        said = [f"{SENTENCE} {rng.random()} &amp; more,  {'<b>bold</b> ' * rng.randrange(2)}<!-- x -->end" for _ in range(rng.randrange(3, 9))]
+        inside = [f"<p>{t}</p>" if rng.random() < 0.7 else f"<div><h2>Part</h2>\n<p>{t}" + "</div>" for t in said]
+        blocks = [b for t, html in zip(said, inside, strict=True) for b in (["Part"] if "<h2>" in html else []) + [" ".join(t.replace("&amp;", "&").replace("<b>", "").replace("</b>", "").replace("<!-- x -->", "").split())]]
+        middle = [x for p in inside for x in ([p, rng.choice(around)] if rng.random() < 0.2 else [p])]
+        html = f"<html><head><title>T</title></head><body>{rng.choice(around)}<div class='post-{i}'>{''.join(middle)}</div>{''.join(rng.sample(around, 4))}</body></html>"
+        rows.append((i, f"http://h{i % 2}.org/{i}", html))
+        want[i] = "\n".join(blocks)
+    got = html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100000, "<div>w" * 60000, "<a x=\"'" * 60000, "<a x=\"'>" * 60000, "<b>" * 60000 + "</i>" * 60000, "<i><div>" + "<b>" * 60000 + "</i>" * 60000,
+                                  "<div>" * 60000 + "</section>" * 60000, "<a" * 300000, "<!--" * 200000, "<div>" * 2000 + "<div><p>a</p></div>" * 30000, "<p class" + " " * 100000 + ">x", f"<div><p>{SENTENCE}</p></div>" * 60000])
+def test_pages_of_hostile_markup_in_linear_time(html):
+    started = time.process_time()
+    html_extraction.best_container(html)
+    html_extraction.extract(html, None)
+    assert time.process_time() - started < 15
+
+
 def test_pages_in_nested_templates(spark):
     """Title, lead and short sections stay, whichever container of the article wins the vote."""
     many = "".join(f"<p>Paragraph {i} of the text, which goes on for a while, as they do.</p>" for i in range(8))

@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a sparse product of the document by n-gram incidence matrix, in blocks.
+"""N-gram Jaccard join by prefix filter and sketches, in place of a blocked sparse product (README says why).
 
-Rows are classes of documents with equal n-gram sets. The product is first formed over the columns that a size bound
-says a pair must share, rarest columns first (hub rows before the rest, so that groups of near copies are joined without
-all of their pairs). Sketches of the rows give each pair a bound on how far apart it is; the overlaps of the pairs that
-are left are counted over all columns.
+Rows are classes of documents with equal n-gram sets. Pairs are found by the leading n-grams that a size bound says they
+must share, rarest first (hub rows before the rest, so that groups of near copies are joined without all of their pairs).
+Sketches of the rows give each pair a bound on how far apart it is; only the pairs that are left have their overlaps
+counted, over whole rows.
 """
 
 from __future__ import annotations

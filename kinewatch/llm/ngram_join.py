@@ -1,9 +1,11 @@
-"""N-gram Jaccard join by prefix filter and sketches, in place of a blocked sparse product (README says why).
-
-Rows are classes of documents with equal n-gram sets. Pairs are found by the leading n-grams that a size bound says they
-must share, rarest first (hub rows before the rest, so that groups of near copies are joined without all of their pairs).
-Sketches of the rows give each pair a bound on how far apart it is; only the pairs that are left have their overlaps
-counted, over whole rows.
+"""N-gram Jaccard join as a blocked sparse product of the document by n-gram matrix with its transpose.
+
+Rows are classes of documents with equal n-gram sets. Its columns are first the leading n-grams that a size bound says a
+pair must share, rarest first. Hub rows go before the rest, so that groups of near copies become components without all
+of their pairs. Then the rows that are still apart are multiplied: columns whose smallest row is the same make a
+column block, its rows are dealt into blocks of bounded size, and a task multiplies two of them. A product's overlap
+counts are added up by pair over all column blocks, and pairs whose sizes ask for more are discarded (sketches of the
+rows let most of them go where they arise). What is left has its overlap counted over whole rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ FREQUENT = 10
 #: Hub rounds before the rest of the product is formed, and at most; more than HUBS are made while the rest would be larger
 #: than REST entries for each entry of the matrix. The links found are the same.
 HUBS, ROUNDS, REST = 1, 12, 256
+#: Rows of a block, and numbers of a dense piece of one.
+BLOCK, PIECE = 256, 1 << 22
 
 DOCUMENT, COUNT = 0, 1
 
@@ -247,8 +251,113 @@ def _near_sizes(share: tuple[int, int]) -> Column:
     return F.least("na", "nb") * share[1] >= F.greatest("na", "nb") * share[0]
 
 
-def _side(df: DataFrame, s: str, *more: str) -> DataFrame:
-    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "c", "m", "place")], *more)
+def _side(df: DataFrame, s: str) -> DataFrame:
+    return df.select("gram", F.col("class").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "c", "m", "place")])
+
+
+def _cells(entries: DataFrame, tally: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of row blocks, a cell (lo, i, j): class, n, c, m, grams and sketch of their rows.
+
+    A column block holds the n-grams whose smallest row is lo. Up to BLOCK rows make one cell, all against all (side 3). More
+    rows are dealt into blocks: those outside of the block's main component (side 1) meet all rows (side 2).
+    """
+    rows = entries.join(tally.select("gram", "lo"), "gram").groupBy("lo", "class").agg(
+        F.first("n").alias("n"), F.first("c").alias("c"), F.first("m").alias("m"), F.collect_list("gram").alias("grams"))
+    rows = settle(rows.join(sketches, "class"))
+    by_group = rows.groupBy("lo", "c").agg(F.count("*").alias("k"))
+    large = by_group.groupBy("lo").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top")).filter(F.col("k") > BLOCK)
+    parts = lambda k: F.ceil(k / BLOCK).cast("int")
+    large = large.select("lo", F.col("top.c").alias("main"), parts(F.col("k")).alias("right"), F.greatest(F.lit(1), parts(F.col("k") - F.col("top.k"))).alias("left"))
+    dealt = rows.join(large, "lo", "left")
+    spot = lambda of: F.pmod(F.xxhash64("class"), F.col(of)).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    as_right = F.transform(every("left"), lambda i: cell(i, spot("right"), 2))
+    as_left = F.transform(every("right"), lambda j: cell(spot("left"), j, 1))
+    cells = F.when(F.col("main").isNull(), F.array(cell(F.lit(0), F.lit(0), 3))).when(F.col("c") == F.col("main"), as_right).otherwise(F.concat(as_left, as_right))
+    return dealt.withColumn("cell", F.explode(cells)).select("lo", "cell.*", "class", "n", "c", "m", F.coalesce("main", F.lit(-1)).alias("main"), "grams", "sketch")
+
+
+def _near_sketches(sketches: list[bytes], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) of places differ in at most so many bits; sketches of other length are folded first."""
+    near = np.zeros(len(a), bool)
+    lengths = np.array([len(x) for x in sketches])
+    size = np.minimum(lengths[a], lengths[b])
+    for width in np.unique(size).tolist():
+        some = np.flatnonzero(size == width)
+        sides = []
+        for at in (a[some], b[some]):
+            used, back = np.unique(at, return_inverse=True)
+            folded = [np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint8).reshape(-1, width), axis=0) for i in used.tolist()]
+            sides.append((np.stack(folded).view(np.uint64), back))
+        (x, i), (y, j) = sides
+        for at in range(0, len(some), 1 << 14):
+            step = slice(at, at + (1 << 14))
+            near[some[step]] = np.bitwise_count(x[i[step]] ^ y[j[step]]).sum(axis=1, dtype=np.int64) <= most[some[step]]
+    return near
+
+
+def _multiply(rows: pa.RecordBatch, share: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Of a cell's pairs that sizes and sketches let pass: a, b (a < b), na, nb, and how many of the cell's n-grams they share."""
+    p, q = share
+    kind, n, c, m, side, main = (rows.column(x).to_numpy().astype(np.int64) for x in ("class", "n", "c", "m", "side", "main"))
+    none = (np.zeros(0, np.int64),) * 5
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    if not len(left) or not len(right) or (c == c[0]).all():
+        return none
+    lists = rows.column("grams")
+    row = np.repeat(np.arange(len(kind)), np.diff(lists.offsets.to_numpy()))
+    columns, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    wide = max(1, PIECE // len(kind))
+    for at in range(0, len(columns), wide):
+        first, last = np.searchsorted(code, [at, at + wide])
+        piece = np.zeros((len(kind), min(wide, len(columns) - at)), np.float32)
+        piece[row[first:last], code[first:last] - at] = 1
+        common += piece[left] @ piece[right].T
+    a, b = np.nonzero(common)
+    count = common[a, b].astype(np.int64)
+    x, y = left[a], right[b]
+    total = n[x] + n[y]
+    need = -(-p * total // (p + q))
+    after = -(-np.maximum(n[x], n[y]) * p // q) - 1
+    open_ = (c[x] != c[y]) & ((kind[x] < kind[y]) | (c[y] == main[y])) & (np.minimum(m[x], m[y]) + after >= need)
+    open_ &= np.minimum(n[x], n[y]) * q >= np.maximum(n[x], n[y]) * p
+    x, y, count, most = x[open_], y[open_], count[open_], (total - 2 * need)[open_]
+    if len(x):
+        near = _near_sketches(rows.column("sketch").to_pylist(), x, y, most)
+        x, y, count = x[near], y[near], count[near]
+    turned = kind[x] > kind[y]
+    x, y = np.where(turned, y, x), np.where(turned, x, y)
+    return kind[x], kind[y], n[x], n[y], count
+
+
+def product(entries: DataFrame, tally: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b of the rows in different components (c) whose overlap in leading n-grams, added up over all column blocks, can reach the bound."""
+    names = ["a", "b", "na", "nb", "common"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last cell so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = [batch.column(x).to_numpy() for x in ("lo", "i", "j")]
+            starts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1])
+            made = [_multiply(batch.slice(at, stop - at), share) for at, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            held = batch.slice(int(starts[-1]))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _multiply(held, share)], names=names)
+
+    cell = ["lo", "i", "j"]
+    cells = _cells(entries, tally, sketches).repartition(*cell).sortWithinPartitions(*cell)
+    counts = cells.mapInArrow(run, "a long, b long, na long, nb long, common long").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return counts.filter(_may_reach(F.col("common"), share)).select("a", "b")
 
 
 PAIR, TURNED = ["a", "b", "na", "nb"], ["b", "a", "nb", "na"]
@@ -273,26 +382,25 @@ def class_components(docs: DataFrame, found: DataFrame, width: int, share: tuple
         open_ = named.join(mixed, "gram", "left_semi")
         # m: how many leading n-grams a row has in common with anyone else, the most that a pair can count
         open_ = settle(open_.join(open_.groupBy("class").agg(F.count("*").alias("m")), "class"))
-        by_group = open_.groupBy("gram", "c").agg(F.count("*").alias("k"))
-        tally = by_group.groupBy("gram").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"))
-        tally = settle(tally.select("gram", F.col("k").alias("all"), F.col("top.c").alias("main"), (F.col("k") - F.col("top.k")).alias("others")))
+        by_group = open_.groupBy("gram", "c").agg(F.count("*").alias("k"), F.min("class").alias("lo"))
+        tally = by_group.groupBy("gram").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"), F.min("lo").alias("lo"))
+        tally = settle(tally.select("gram", "lo", F.col("k").alias("all"), F.col("top.c").alias("main"), (F.col("k") - F.col("top.k")).alias("others")))
         rest = tally.agg(F.sum(F.col("all") * F.col("others"))).first()[0] or 0
         if not rest:
             break
         last = turn >= HUBS and (turn == ROUNDS or rest <= REST * size)
-        fits = (F.col("ca") != F.col("cb")) & _near_sizes(share) & _early(share) & _may_reach(F.least("ma", "mb"), share)
-        if last:  # all that differ in component: rows outside of an n-gram's main component against all others
-            left = _side(open_.join(tally, "gram").filter(F.col("c") != F.col("main")), "a", "main")
-            pairs = left.join(_side(open_, "b"), "gram").filter(fits & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
+        if last:  # all that differ in component
+            pairs = product(open_, tally, sketches, share)
         else:  # hubs of each n-gram: its smallest row, a random one, and a random one outside of its main component
+            fits = (F.col("ca") != F.col("cb")) & _near_sizes(share) & _early(share) & _may_reach(F.least("ma", "mb"), share)
             row = F.struct("class", "n", "c", "m", "place")
             luck = lambda k: F.xxhash64("class", "gram", F.lit(2 * turn + k))  # noqa: E731, B023
             hubs = open_.join(tally, "gram").groupBy("gram").agg(F.array(
                 F.min_by(row, F.struct("n", luck(0))), F.min_by(row, luck(0)), F.min_by(row, F.when(F.col("c") != F.col("main"), luck(1)))).alias("hubs"))
             hubs = _side(hubs.select("gram", F.explode(F.array_distinct("hubs")).alias("hub")).filter(F.col("hub").isNotNull()).select("gram", "hub.*"), "a")
             pairs = hubs.join(_side(open_, "b"), "gram").filter(fits)
-        pairs = near_pairs(_in_order(pairs).distinct(), sketches, share)
-        if not last:  # of a row's pairs with hubs the two that seem nearest; what they leave apart, the last product joins
+            pairs = near_pairs(_in_order(pairs).distinct(), sketches, share)
+            # of a row's pairs the two that seem nearest; what they leave apart, the product joins
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
             ranked = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))).filter(F.col("r") <= 2)
             pairs = ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

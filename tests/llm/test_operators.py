@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,24 @@ def test_sketches_never_exceed_the_difference(seed):
     assert (apart - len(a ^ b)) % 2 == 0 and (apart > 0 or a == b or len(a ^ b) > 1)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_a_cell_counts_as_sets_do(seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(1, 1 << 62, 60)
+    drawn = [sorted(set(pool[:50].tolist()) ^ set(rng.choice(pool, int(rng.integers(0, 9))).tolist())) for _ in range(30)]
+    kind, group = rng.permutation(30), rng.integers(0, 6, 30)
+    side, main = (np.full(30, 3), -1) if seed % 2 else (np.where(group == 2, 2, rng.integers(1, 4, 30)), 2)
+    cell = pa.RecordBatch.from_pydict({"class": kind, "n": [len(x) for x in drawn], "c": group, "m": [len(x) for x in drawn], "side": side, "main": np.full(30, main),
+                                       "grams": pa.array(drawn, pa.list_(pa.int64())), "sketch": [ngram_join._sketch(np.array(x, np.uint64)) for x in drawn]})
+    a, b, na, nb, common = ngram_join._multiply(cell, (4, 5))
+    got = collections.Counter(zip(a.tolist(), b.tolist(), common.tolist(), strict=True))
+    at = {int(k): i for i, k in enumerate(kind)}
+    assert all(x < y and len(set(drawn[at[x]]) & set(drawn[at[y]])) == n for x, y, n in got) and set(got.values()) <= {1}
+    want = {(min(kind[i], kind[j]), max(kind[i], kind[j])) for i in range(30) for j in range(30) if side[i] & 1 and side[j] & 2 and group[i] != group[j]
+            and (group[j] == main or kind[i] < kind[j]) and 5 * len(set(drawn[i]) & set(drawn[j])) >= 4 * len(set(drawn[i]) | set(drawn[j]))}
+    assert want <= {(x, y) for x, y, _ in got} and want
+
+
 def test_ngram_join(spark, odd, monkeypatch):
     joined_right(ngram_join.join_documents(odd).collect(), [(r[0], r[1]) for r in ODD])
     rng = np.random.default_rng(5)
@@ -289,7 +308,8 @@ def test_ngram_join(spark, odd, monkeypatch):
     passage = bases[3]
     texts = [edited(rng, bases[b], k) for b in range(5) for k in rng.integers(0, 7, 25)] + [passage + " " + " ".join(f"u{x}" for x in rng.integers(0, 999, n)) for n in rng.integers(0, 60, 40)] + bases * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for frequent, hubs, rest in ((10, 2, 256), (1, 0, 10**9), (1, 3, 0)):
+    for frequent, hubs, rest, block in ((10, 2, 256, 256), (1, 0, 10**9, 4), (1, 3, 0, 1), (10, 1, 10**9, 8)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
         monkeypatch.setattr(ngram_join, "HUBS", hubs)
         monkeypatch.setattr(ngram_join, "REST", rest)

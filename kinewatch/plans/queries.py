@@ -1540,14 +1540,14 @@ def write_documents(images: DataFrame, annotations: DataFrame, categories: DataF
         categories.withColumn("part", some).select(F.concat_ws("-", "split", "part").alias("doc"), F.lit(5).alias("ord"), F.col("category_id").alias("id"),
                                                    F.to_json(F.struct(F.col("category_id").alias("id"), "name", "supercategory")).alias("value"))]
     rows = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    first = F.row_number().over(W.partitionBy("doc", "ord").orderBy("id")) == 1  # a document's own rows
-    rows = rows.withColumn("value", F.when(first, F.col("value")).otherwise(F.concat(F.lit(","), "value")))
     marks = spark.createDataFrame([(0, '{"info": {"note": "a [ in a string"}, "images": ['), (2, '], "annotations": ['), (4, '], "categories": ['), (6, "]}")], "ord int, value string")
     heads = rows.select("doc").distinct().join(F.broadcast(marks)).select("doc", "ord", F.lit(0).cast("long").alias("id"), "value")  # four lines a document
-    every = rows.unionByName(heads).repartition("doc").sortWithinPartitions("doc", "ord", "id")
-    every.select("doc", "value").write.partitionBy("doc").text(at)
-    found = spark.read.text(at).select("doc", F.col("_metadata.file_path").alias("path")).distinct()
-    return {r["doc"]: r["path"] for r in found.collect()}  # a row for each document
+    every = rows.unionByName(heads).repartition("doc")
+    before = F.lag("ord").over(W.partitionBy("doc").orderBy("ord", "id"))  # in a document's own rows, as they lie
+    text = F.when(before == F.col("ord"), F.concat(F.lit(","), "value")).otherwise(F.col("value"))
+    every.select("doc", text.alias("value"), "ord", "id").sortWithinPartitions("doc", "ord", "id").select("doc", "value").write.partitionBy("doc").text(at)
+    paths = spark.read.text(at).inputFiles()  # one for each document
+    return {path.rsplit("/", 2)[1].removeprefix("doc="): path for path in paths}
 
 
 @query("coco_documents", f"""select a.split, annotation_id, i.file_name, c.name, {r6('x', 'y', 'w', 'h')}

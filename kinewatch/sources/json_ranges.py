@@ -18,6 +18,8 @@ from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinewatch.operators.lineage import cut
+
 #: Bytes of a range, and of one more read for a record that goes on behind it.
 RANGE, MORE = 32 << 20, 1 << 20
 QUOTE, BACKSLASH, COMMA = ord('"'), ord("\\"), ord(",")
@@ -73,15 +75,24 @@ def _before(path: str, start: int) -> bytes:
 
 
 def ranges(spark: SparkSession, paths: dict[str, str], size: int = RANGE) -> DataFrame:
-    """name, path, start, stop: a row for each byte range, spread over the tasks."""
-    rows = []
+    """name, path, start, stop: a row for each byte range, spread over tasks of about `RANGE` bytes, so that small ranges share one."""
+    files = []
     for name, path in paths.items():
         fs, at = file_at(path)
         total = fs.get_file_info(at).size
         if total is None:
             raise FileNotFoundError(path)
-        rows += [(name, path, a, min(a + size, total)) for a in range(0, max(total, 1), size)]
-    return spark.createDataFrame(rows, "name string, path string, start long, stop long").repartition(len(rows), "name", "start")
+        files.append((name, path, max(total, 1)))
+    every = spark.createDataFrame(files, "name string, path string, total long").select(
+        "name", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(size).cast("long"))).alias("start"), "total")
+    return every.select("name", "path", "start", F.least(F.col("start") + size, "total").alias("stop")).repartition(
+        _tasks(spark, [total for _, _, total in files], size), "name", "start")
+
+
+def _tasks(spark: SparkSession, totals: list[int], size: int) -> int:
+    """At least a few tasks for every core while there are as many ranges, and no more than one for `RANGE` bytes beyond that."""
+    pieces = sum(-(-total // size) for total in totals)
+    return max(1, min(pieces, max(4 * spark.sparkContext.defaultParallelism, -(-sum(totals) // RANGE))))
 
 
 def _with_starts(parts: DataFrame) -> DataFrame:
@@ -153,7 +164,20 @@ def read_records(spark: SparkSession, paths: dict[str, str], keys: list[str], si
 
     A document without one of the lists stops with its name. Records are objects; other entries of a list are left out.
     """
-    parts = _with_starts(ranges(spark, paths, size))
+    return _read_lists(*_located(spark, paths, keys, size), keys)
+
+
+def read_record_lists(spark: SparkSession, paths: dict[str, str], keys: list[str], size: int = RANGE) -> dict[str, DataFrame]:
+    """The same as a table for each key. The lists are located once, and a table reads only the ranges that its list touches."""
+    parts, found = _located(spark, paths, keys, size)
+    return {key: _read_lists(parts, found, [key]) for key in keys}
+
+
+def _located(spark: SparkSession, paths: dict[str, str], keys: list[str], size: int) -> tuple[DataFrame, dict[str, list]]:
+    """The ranges with their starts, written once because each table reads them, and key, begin and end of each document's lists."""
+    spread = ranges(spark, paths, size)
+    tasks = spread.rdd.getNumPartitions()
+    parts = cut(_with_starts(spread)).repartition(tasks, "name", "start")
     found = {name: [] for name in paths}
     for r in _lists(parts).orderBy("name", "place").collect():  # two rows for each top-level list
         if r["key"] is not None:
@@ -164,7 +188,10 @@ def read_records(spark: SparkSession, paths: dict[str, str], keys: list[str], si
         for key in keys:
             if key not in {x[0] for x in lists}:
                 raise ValueError(f"{name}: '{key}' is missing or not a list")
+    return parts, found
+
 
+def _read_lists(parts: DataFrame, found: dict[str, list], keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from kinewatch.operators.protocol import canonical_json
 from kinewatch.operators.slices import small
 from kinewatch.sources import schemas as S
-from kinewatch.sources.json_ranges import RANGE, read_records
+from kinewatch.sources.json_ranges import RANGE, read_record_lists
 
 # Logical split -> directory of a three-split export.
 SPLITS = {"train": "train", "validation": "valid", "test": "test"}
@@ -94,11 +94,10 @@ def read_coco_files(spark: SparkSession, paths: dict[str, str], size: int = RANG
     A file without one of the three lists stops with its split's name, as does a record of the wrong shape.
     """
     kinds = {f.name: f.dataType.elementType for f in _type(S.COCO).fields}
-    records = read_records(spark, paths, list(kinds), size)
+    records = read_record_lists(spark, paths, list(kinds), size)
 
     def each(name: str) -> DataFrame:
-        rows = records.filter(F.col("key") == name)
-        return rows.select(F.col("name").alias("split"), F.from_json("value", kinds[name], {"mode": "FAILFAST"}).alias("x"))
+        return records[name].select(F.col("name").alias("split"), F.from_json("value", kinds[name], {"mode": "FAILFAST"}).alias("x"))
 
     images = each("images").select("split", F.col("x.id").alias("image_id"), "x.file_name",
                                    "x.width", "x.height")

@@ -43,6 +43,19 @@ def test_one_document_is_many_tasks(spark, tmp_path):
     assert JR.read_records(spark, {"d": str(tmp_path / "d.json")}, ["images"], 1 << 14).count() == 2000
 
 
+def test_small_ranges_share_tasks_and_tables_read_their_own_lists(spark, tmp_path):
+    """More ranges don't mean more tasks, and a list's table holds no record of another list."""
+    doc = {"images": [{"id": i, "file_name": "f" * 50} for i in range(500)], "annotations": [{"id": i} for i in range(20)]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    paths = {"d": str(tmp_path / "d.json")}
+    parts = JR.ranges(spark, paths, 64)
+    assert parts.count() > 400 and parts.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert JR._tasks(spark, [JR.RANGE] * 100, 1 << 18) == 100
+    tables = JR.read_record_lists(spark, paths, ["images", "annotations"], 64)
+    for key, table in tables.items():
+        assert [json.loads(r["value"]) for r in table.orderBy("place").collect()] == doc[key]
+
+
 def test_line_numbers_in_a_file_of_many_splits(spark, tmp_path):
     """The number of a bad line is the one a plain loop finds, though the file is read in pieces."""
     rng, lines = random.Random(2), []

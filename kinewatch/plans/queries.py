@@ -1423,11 +1423,13 @@ def routed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Rows of one kind from a stream in time order whose last files repeat some old frames.
 
     Each step of time is written in one go with a scope in one file, and a trigger takes the files of about a step.
+    There are two files for every core, so that no file grows with the input alone.
     """
+    from kinewatch.operators.lineage import cut
     from kinewatch.streaming.cascade import frame_rows, read_kind, route, stream_cascade as run
 
-    at, files = shared_folder(spark), 4
-    rows = frame_rows(X.load(spark, sf, X.FRAMES), X.load(spark, sf, X.SPARSE))
+    at, files = shared_folder(spark), max(4, 2 * spark.sparkContext.defaultParallelism)
+    rows = cut(frame_rows(X.load(spark, sf, X.FRAMES), X.load(spark, sf, X.SPARSE)))  # read by every step
     for step in range(3):
         part = rows.filter((F.col(T) >= 10.0 * step) & (F.col(T) < 10.0 * (step + 1)))
         part.repartition(files, *SCOPE).write.mode("append").parquet(f"{at}/in")

@@ -25,6 +25,7 @@ RETENTION = 3600.0
 
 OUTPUT = ("source_id string, session_id string, track_id long, out_seq long, " + LIFECYCLE_TYPES
           + ", previous_state string, next_state string, reason string")
+FRAME_COLUMNS = ["timestamp_seconds", "frame_id", "frame_height", "obs"]
 OUT_COLUMNS = [*TRACK, "out_seq", *LIFECYCLE_COLUMNS, "previous_state", "next_state", "reason"]
 
 
@@ -36,6 +37,11 @@ def frame_rows(frames: DataFrame, obs: DataFrame) -> DataFrame:
         packed, [*SCOPE, "frame_id"], "left").withColumn("obs", F.coalesce("obs", F.lit("[]")))
 
 
+def in_time(frame: tuple) -> tuple:
+    """Sorts frames by time and number, those without a time last."""
+    return (frame[0] != frame[0], *frame[:2])
+
+
 class TrackState:
     """Last observation, short feature history, automaton state and events of one track."""
 
@@ -124,12 +130,13 @@ class Cascade(StatefulProcessor):
         last, seq = saved.get("last"), saved.get("seq", 0)
         live = dict.fromkeys(saved.get("live", []))  # tracks in view or with an open event
         idle = {int(i): t for i, t in saved.get("idle", {}).items()}  # the others, by the time they left, oldest first
+        stored = {*live, *idle}  # the tracks that have a row; asking for each costs a round trip
         loaded: dict[int, TrackState] = {}
         out: list[tuple] = []
 
         def track(i: int) -> TrackState:
             if i not in loaded:
-                old = self.tracks.getValue((i,)) if self.tracks.containsKey((i,)) else None
+                old = self.tracks.getValue((i,)) if i in stored else None
                 loaded[i] = TrackState(self.params, json.loads(old[0]) if old else None)
             return loaded[i]
 
@@ -145,18 +152,18 @@ class Cascade(StatefulProcessor):
             put(i, ["transition", None, frame["id"], frame["t"], *blank, *change])
             track(i).episodes.transition(Mark(frame["id"], frame["t"], change[2]), change[1])
 
-        table = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["timestamp_seconds", "frame_id"], kind="stable")
-        for r in table.itertuples(index=False):
-            frame = {"id": int(r.frame_id), "t": float(r.timestamp_seconds),
-                     "height": float(r.frame_height)}
+        # plain lists: with many scopes of a few frames each, tables of their own would cost more than the frames
+        parts = [pdf for pdf in rows if len(pdf)]
+        table = sorted(((t, n, h, obs) for pdf in parts for t, n, h, obs in zip(*[pdf[c].tolist() for c in FRAME_COLUMNS])), key=in_time)
+        for t, n, height, seen in table:
+            frame = {"id": int(n), "t": float(t), "height": float(height)}
             if last is not None and frame["t"] <= last:
                 put(None, ["late", None, frame["id"], frame["t"]]
                     + [None] * (len(OUT_COLUMNS) - 8))
                 continue
             last = frame["t"]
             present = set()
-            for o in json.loads(r.obs):
+            for o in json.loads(seen):
                 i = int(o["track_id"])
                 present.add(i)
                 live[i] = None
@@ -180,19 +187,19 @@ class Cascade(StatefulProcessor):
                 break  # those after it left later
             if track(i).done(last):
                 del idle[i], loaded[i]
-                if self.tracks.containsKey((i,)):
+                if i in stored:
                     self.tracks.removeKey((i,))
         for i, one in loaded.items():
             self.tracks.updateValue((i,), (one.dump(),))
         self.clock.update((json.dumps({"last": last, "seq": seq, "live": list(live), "idle": idle}),))
-        self.handle_timer(table, timer)
+        self.handle_timer(parts)
         yield self.output(out)
 
-    def handle_timer(self, table: pd.DataFrame, timer: Any) -> None:
+    def handle_timer(self, parts: list[pd.DataFrame]) -> None:
         """One timer for each scope: the retention time after its newest frame."""
         if not self.event_time:
             return
-        at = int(table[self.event_time].max().timestamp() * 1000 + self.retention * 1000)
+        at = int(max(pdf[self.event_time].max() for pdf in parts).timestamp() * 1000 + self.retention * 1000)
         pending = list(self.handle.listTimers())
         if pending and max(pending) >= at:
             return
@@ -208,13 +215,8 @@ class Cascade(StatefulProcessor):
 
     @staticmethod
     def output(rows: list[tuple]) -> pd.DataFrame:
-        frame_out = pd.DataFrame(rows, columns=OUT_COLUMNS)
-        for c in ("track_id", "seq", "start_frame", "end_frame", "frame_id"):
-            frame_out[c] = frame_out[c].astype("Int64")
-        for c in ("start_time", "end_time", "lying_started_at_seconds",
-                  "cooldown_suppressed_candidate_at"):
-            frame_out[c] = frame_out[c].astype("Float64")
-        return frame_out
+        # objects as they are: whole numbers stay whole beside nulls, and Arrow gives every column its type
+        return pd.DataFrame(rows, columns=OUT_COLUMNS, dtype=object)
 
 
 def stream_cascade(rows: DataFrame, params: CascadeParams = CascadeParams(), retention: float = RETENTION,

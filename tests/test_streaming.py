@@ -117,6 +117,22 @@ def test_state_stays_flat_over_new_tracks():
     assert len(kept[1].map) == 100  # within the retention time all stay
 
 
+def test_a_track_costs_one_read_and_one_write(monkeypatch):
+    """A micro-batch of a scope reads and writes each track's row once, and asks for nothing else."""
+    calls, (one, held) = [], (Cascade(P), Held())
+    for name in ("getValue", "updateValue", "containsKey"):
+        plain = getattr(Held, name)
+        monkeypatch.setattr(Held, name, lambda self, *a, plain=plain, name=name: (calls.append(name), plain(self, *a))[1])
+    one.init(held)
+    list(one.handleInputRows(("a", "s"), iter([batch(0, range(3))]), None))
+    assert sorted(calls) == ["updateValue"] * 3
+    calls.clear()
+    halves = batch(1, range(3))
+    out = list(one.handleInputRows(("a", "s"), iter([halves[2:], halves[:2]]), None))  # pieces in any order
+    assert sorted(calls) == ["getValue"] * 3 + ["updateValue"] * 3
+    assert not any((x["kind"] == "late").any() for x in out)
+
+
 def test_an_open_event_is_not_forgotten():
     one, held = Cascade(P, retention=5.0), Held()
     one.init(held)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinewatch.functions.scalars import f1, is_commit, is_sha256, safe_ratio
+from kinewatch.operators.lineage import cut
+from kinewatch.operators.slices import small
 from kinewatch.params import DEVELOPMENT, LOCKED, VALIDATION, Gate
 
 KEY = ["cycle_id", "report_id"]
@@ -175,6 +177,28 @@ def header_rules(partition: str) -> dict[str, Column]:
     }
 
 
+def unsorted_ids(selected: DataFrame) -> DataFrame:
+    """Listed ids (`detail`) that are above the id at the next position, once for each such neighbor.
+
+    Every id goes to its own position and to the one before, where one aggregate compares them. The places
+    found are written; only where a position is listed twice are the ids themselves joined.
+    """
+    place = [*KEY, "position"]
+    known = selected.select(*place, "video_id").dropna(subset=place)
+    none = F.lit(None).cast(dict(selected.dtypes)["video_id"])
+    own = known.select(*place, F.col("video_id").alias("own"), none.alias("next"))
+    ahead = known.select(*KEY, (F.col("position") - 1).alias("position"), none.alias("own"), F.col("video_id").alias("next"))
+    found = cut(own.unionByName(ahead).groupBy(*place).agg(
+        F.max("own").alias("own"), F.min("next").alias("next"), F.count("own").alias("a"), F.count("next").alias("b")).filter("next < own"))
+    out = found.filter("a = 1 and b = 1").select(*KEY, F.col("own").alias("detail"))
+    twice = found.filter("a > 1 or b > 1").select(*place)
+    if twice.isEmpty():
+        return out
+    lower = known.join(small(twice), place)
+    upper = known.withColumn("position", F.col("position") - 1).join(small(twice), place).withColumnRenamed("video_id", "next")
+    return out.unionByName(lower.join(upper, place).filter("next < video_id").select(*KEY, F.col("video_id").alias("detail")))
+
+
 def report_violations(headers: DataFrame, rows: DataFrame, selected: DataFrame,
                       protocol: DataFrame, partition: str) -> DataFrame:
     """All broken rules of all reports as (cycle_id, report_id, rule, detail)."""
@@ -206,17 +230,19 @@ def report_violations(headers: DataFrame, rows: DataFrame, selected: DataFrame,
         .when(~same, F.struct(F.lit("metrics_differ").alias("rule"), none.alias("detail")))))
     out.append(both.select(*KEY, F.explode(found).alias("x")).select(*KEY, "x.rule", "x.detail"))
 
-    ids = rows.groupBy(*KEY, "video_id").agg(F.count("*").alias("n"))
-    listed = selected.groupBy(*KEY, "video_id").agg(F.count("*").alias("m"))
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    wrong = F.array_compact(F.array(F.when(n > 1, F.lit("duplicate_video_id")),
-                                    F.when(n != m, F.lit("selected_ids_differ"))))
-    out.append(ids.join(listed, [*KEY, "video_id"], "full").select(
-        *KEY, F.explode(wrong).alias("rule"), F.col("video_id").alias("detail")))
-    after = selected.select(*KEY, (F.col("position") - 1).alias("position"),
-                            F.col("video_id").alias("_next"))
-    out.append(selected.join(after, [*KEY, "position"]).filter("_next < video_id").select(
-        *KEY, F.lit("selected_ids_unsorted").alias("rule"), F.col("video_id").alias("detail")))
+    # rows and listed ids meet in one aggregate, without sorts; a null key equals nothing, not even its like
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both_ids = rows.select(*KEY, "video_id", one.alias("n"), no.alias("m")).unionByName(
+        selected.select(*KEY, "video_id", no.alias("n"), one.alias("m")))
+    counts = both_ids.groupBy(*KEY, "video_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    n, m = F.col("n"), F.col("m")
+    unknown = F.col(KEY[0]).isNull() | F.col(KEY[1]).isNull() | F.col("video_id").isNull()
+    wrong = F.array_compact(F.array(
+        F.when(n > 1, F.lit("duplicate_video_id")),
+        F.when(F.when(unknown, n > 0).otherwise(n != m), F.lit("selected_ids_differ")),
+        F.when(unknown & (m > 0), F.lit("selected_ids_differ"))))
+    out.append(counts.select(*KEY, F.explode(wrong).alias("rule"), F.col("video_id").alias("detail")))
+    out.append(unsorted_ids(selected).select(*KEY, F.lit("selected_ids_unsorted").alias("rule"), "detail"))
 
     out.append(protocol_subjects(rows, protocol, partition))
     leak = partition_overlap(protocol).select("cycle_id", F.col("subject_id").cast("string").alias("detail"))
@@ -248,8 +274,8 @@ def report_comparability(headers: DataFrame, rows: DataFrame) -> DataFrame:
     out = out.unionByName(dup.select(
         "cycle_id", F.lit("duplicate_candidate").alias("rule"), F.col("candidate_id").alias("detail")))
     # every clip must be in all reports of its cycle
-    clips = rows.select(*KEY, "video_id").distinct().groupBy("cycle_id", "video_id").agg(
-        F.count("*").alias("k"))
+    clips = rows.select(*KEY, "video_id").repartition("cycle_id", "video_id").distinct().groupBy(  # one shuffle serves both
+        "cycle_id", "video_id").agg(F.count("*").alias("k"))
     uneven = clips.join(g.select("cycle_id", "reports"), "cycle_id").filter("k <> reports")
     return out.unionByName(uneven.select(
         "cycle_id", F.lit("clip_not_in_all_reports").alias("rule"), F.col("video_id").alias("detail")))
@@ -313,7 +339,7 @@ def select_candidate(headers: DataFrame, rows: DataFrame, selected: DataFrame, p
 def reused_clips(development: DataFrame, validation: DataFrame) -> DataFrame:
     """Validation clips already used for development in the same cycle."""
     return validation.select("cycle_id", "video_id").distinct().join(
-        development.select("cycle_id", "video_id"), ["cycle_id", "video_id"], "left_semi")
+        development.select("cycle_id", "video_id").distinct(), ["cycle_id", "video_id"], "left_semi")
 
 
 def confirm_candidate(lock: DataFrame, development: DataFrame, headers: DataFrame, rows: DataFrame,

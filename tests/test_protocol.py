@@ -113,6 +113,27 @@ def test_each_fault_is_named(spark):
     assert "empty_partition" in rules(protocol=protocol.filter(F.col("partition") != LOCKED))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_compared_without_sorting_the_clips(spark):
+    """Positions and counts of ids come from aggregates; null ids equal nothing, a doubled position gives every pair."""
+    h, rows, selected, protocol = tables(spark, {"a": ((4, 0, 0, 4), "nano", 0.4)})
+    listed = [("c", "a", p, v) for p, v in [(1, "d"), (1, "b"), (2, "c"), (2, "a"), (3, "z"), (None, "q"), (4, None), (9, "x"), (10, "x")]]
+    table = spark.createDataFrame(listed, selected.schema)
+    want = sorted(v for _, _, p, v in listed for _, _, q, w in listed
+                  if None not in (p, q, v, w) and q == p + 1 and w < v)
+    assert sorted(r.detail for r in PR.unsorted_ids(table).collect()) == want == ["b", "d", "d"]
+    plan = plan_of(PR.unsorted_ids(selected))
+    assert "SortMergeJoin" not in plan and "Sort " not in plan
+    assert "FullOuter" not in plan_of(PR.report_violations(h, rows, selected, protocol, DEVELOPMENT))
+    odd = rows.withColumn("video_id", F.when(F.col("video_id") != rows.first().video_id, F.col("video_id")))
+    none = selected.withColumn("video_id", F.when(F.col("video_id") != rows.first().video_id, F.col("video_id")))
+    found = PR.report_violations(h, odd, none, protocol, DEVELOPMENT).filter("rule = 'selected_ids_differ'")
+    assert [r.detail for r in found.collect()] == [None, None]
+
+
 def test_reports_must_be_comparable(spark):
     h, rows, _, _ = tables(spark, {"a": ((4, 0, 0, 4), "nano", 0.4), "b": ((3, 0, 1, 4), "nano", 0.5)})
     assert PR.report_comparability(h, rows).count() == 0

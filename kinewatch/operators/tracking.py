@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -146,14 +147,17 @@ def _augment(first: np.ndarray, cols: np.ndarray, cost: np.ndarray, n_cols: int)
     """Column of each row, or -1, at least total cost; a row may stay alone at cost 0.
 
     Row after row is added along the cheapest path of changes, found by Dijkstra's method on reduced costs; the path may
-    end at a free column or by leaving one of its rows alone.
+    end at a free column or by leaving one of its rows alone. A path costs what it touches, not the number of columns.
     """
     n = len(first) - 1
     u, v = np.zeros(n), np.zeros(n_cols)
     col_of, row_of = np.full(n, -1), np.full(n_cols, -1)
+    far, via, open_ = np.full(n_cols, np.inf), np.full(n_cols, -1), np.ones(n_cols, bool)
+    reached: list[np.ndarray] = []
     for start in range(n):
-        far, via = np.full(n_cols, np.inf), np.full(n_cols, -1)
-        open_ = np.ones(n_cols, bool)
+        for js in reached:
+            far[js], open_[js] = np.inf, True
+        reached, heap = [], []
         row, way, seen_rows, seen_cols = start, 0.0, [start], []
         alone, last = np.inf, -1
         while True:
@@ -161,13 +165,19 @@ def _augment(first: np.ndarray, cols: np.ndarray, cost: np.ndarray, n_cols: int)
                 alone, last = way - u[row], row
             js = cols[first[row]:first[row + 1]]
             to = way + cost[first[row]:first[row + 1]] - u[row] - v[js]
-            better = open_[js] & (to < far[js])
-            far[js[better]], via[js[better]] = to[better], row
-            next_ = int(np.where(open_, far, np.inf).argmin())
-            if not open_[next_] or far[next_] >= alone:
+            better = open_[js] & (to < np.minimum(far[js], alone))  # beyond `alone` no path goes
+            js, to = js[better], to[better]
+            far[js], via[js] = to, row
+            reached.append(js)
+            for entry in zip(to.tolist(), js.tolist()):
+                heapq.heappush(heap, entry)
+            while heap and not (open_[heap[0][1]] and heap[0][0] == far[heap[0][1]]):
+                heapq.heappop(heap)  # the column was left, or reached at less since
+            if not heap or heap[0][0] >= alone:
                 way, end = alone, -1
                 break
-            way, open_[next_] = far[next_], False
+            way, next_ = heapq.heappop(heap)
+            open_[next_] = False
             if row_of[next_] < 0:
                 end = next_
                 break

@@ -185,3 +185,13 @@ def test_a_crowd_of_overlapping_boxes():
     first = one.step(0, boxes, np.full(n, 0.9))
     moved = boxes + rng.uniform(-1.5, 1.5, (n, 1))
     assert (one.step(1, moved, np.full(n, 0.9)) == first).mean() > 0.99
+
+
+def test_a_path_costs_what_it_touches(monkeypatch):
+    """A long chain is one component; the columns are laid out once, not once for each row."""
+    n, calls, plain = 3000, [], np.full
+    rows, cols = np.repeat(np.arange(n), 2), np.stack([np.arange(n), np.arange(n) + 1], 1).ravel()
+    monkeypatch.setattr(np, "full", lambda *a, **k: (calls.append(a), plain(*a, **k))[1])
+    r, c = TR.best_pairs(rows, cols, np.tile([0.5, 0.6], n))
+    assert (r == np.arange(n)).all() and (c == r + 1).all()
+    assert len(calls) < 20

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kinewatch.operators.lineage import cut
 from kinewatch.operators.slices import small
 
 
@@ -29,8 +30,9 @@ def write_manifest(clips: DataFrame, path: str) -> None:
     """Manifest in the order of video ids as JSON and CSV lines, plus the small subset; existing output is refused.
 
     Files hold ranges of ids and are named in their order, so read by name they are the same bytes however the rows were
-    spread before. The first line of each CSV table is in `columns` beside it.
+    spread before. The first line of each CSV table is in `columns` beside it. The clips are worked out once for all three.
     """
+    clips = cut(clips)
     ordered = clips.orderBy("video_id")
     subset = clips.filter("small_validation_subset").orderBy("video_id")
     ordered.write.mode("errorifexists").json(f"{path}/manifest_json")

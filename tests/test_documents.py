@@ -116,3 +116,17 @@ def test_canonical_text_is_the_sorted_one(spark):
     got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(FN.canonical_text_sha256(F.col("t"))).collect()]
     want = [hashlib.sha256(json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for v in values]
     assert got == [*want, None, None]
+
+
+def test_the_clips_of_a_manifest_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    clips = spark.range(40).selectExpr("concat('v', id) as video_id", "id % 2 = 0 as small_validation_subset")
+    WR.write_manifest(clips.mapInPandas(count, clips.schema), str(tmp_path / "out"))
+    assert seen.value == 40
+    assert spark.read.csv(str(tmp_path / "out/small_subset_csv")).count() == 20

@@ -300,7 +300,9 @@ def nearest_frame(probes: DataFrame, frames: DataFrame, keys: list[str], at: Col
         F.lit(None).cast(payload_type).alias("_f"), F.struct(*probe_cols).alias("_p"))
     both = carry(left.unionByName(right), keys, "_t", {"_hit": ("last", F.col("_f"))}, width,
                  tie=["_k"], descending=not backward)
-    return both.filter("_k = 1").select("_p.*", F.col("_hit").alias(name))
+    # keys come from the sorted rows, so that later steps know them to lie together
+    probe = [F.col(c) if c in keys else F.col("_p")[c].alias(c) for c in probe_cols]
+    return both.filter("_k = 1").select(*probe, F.col("_hit").alias(name))
 
 
 MAX_BROADCAST_ROWS = 10_000

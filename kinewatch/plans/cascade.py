@@ -32,6 +32,11 @@ class CascadeResult(NamedTuple):
     keyframes: DataFrame | None = None
 
 
+def together(df: DataFrame, width: Width = None) -> DataFrame:
+    """Moves the rows of a scope to one task where scopes are small, so that the steps after it need not move them again."""
+    return df.repartition(*SCOPE) if width is None else df
+
+
 def motion_signals(obs: DataFrame, p: CascadeParams = CascadeParams(),
                    width: Width = None) -> DataFrame:
     smooth = M.smooth_features(M.temporal_features(obs, width), p.thresholds.smoothing_window, width)
@@ -96,10 +101,12 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
         upright_aspect_ratio_max=F.col("upright_aspect_ratio_max"),
         suspect_duration=F.col("suspect_duration"), lying_duration=F.col("lying_duration"),
         longest=spec.longest)
-    keys = ["candidate_id", "suspect_duration", "lying_duration", "track_timeout", *TRACK]
+    keys = [*TRACK, "candidate_id", "suspect_duration", "lying_duration", "track_timeout"]
     fits = obs["confidence"] >= grid["confidence_threshold"]
     for c in own:
         fits = fits & (obs[c] == grid[c])
+    # before the grid multiplies the rows
+    obs, frames = together(obs, width), together(frames, width)
     each = obs.join(small(grid), fits)
     for c in own:
         each = each.drop(grid[c])
@@ -111,7 +118,7 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
     moves = M.motion_states(signals, th, expiry, width, keys)
     track = ["candidate_id", *TRACK]
     log = E.fall_events(moves.select(*track, "frame_id", M.T, "previous_state", "next_state",
-                                     "reason"), frames, events, width, track)
+                                     "reason"), frames, events, width, [*TRACK, "candidate_id"])
     found = E.latest_event_state(E.event_changes(log)).withColumnRenamed("candidate_id", "_first")
     named = found.join(small(same), "_first").drop("_first")
     # an id holds the candidate, as it does when every candidate is followed on its own

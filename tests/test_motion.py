@@ -169,3 +169,15 @@ def test_active_tracks_and_frame_motion(spark):
     assert motion.count() == frames.count()
     assert motion.filter("bbox is null and motion_score <> 0").count() == 0
     assert motion.select(*SCOPE).distinct().count() == 1
+
+
+def test_a_sweep_moves_observations_once(spark):
+    """The rows of each candidate never go through a shuffle, only its state changes, by episode."""
+    from kinewatch.operators.protocol import candidate_grid
+
+    obs, frames = tables(spark, range(2))
+    obs = obs.withColumn("confidence", F.lit(0.9))
+    plan = C.candidate_events(obs, frames, candidate_grid(spark))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n")
+             if "Exchange hashpartitioning" in line and "candidate_id#" in line and "track_id#" in line]
+    assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]

@@ -90,18 +90,20 @@ def fall_events(transitions: DataFrame, frames: DataFrame, p: EventParams,
 
         for pdf in batches:
             done: list[tuple] = []
-            for row in pdf.itertuples(index=False):
-                here = tuple(row[:n])
+            for row in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                here = row[:n]
+                frame, t, state, reason, d_frame, d_t, w_frame, w_t = row[n:]
                 if here != key:
                     if ep is not None:
                         ep.advance(float("inf"))
                         done += taken()
                     key, ep = here, Episodes(p)
-                ep.advance(row.timestamp_seconds)
-                deadline = None if pd.isna(row.d_t) else (int(row.d_frame), float(row.d_t))
-                due = None if pd.isna(row.w_t) else (int(row.w_frame), float(row.w_t))
-                mark = Mark(int(row.frame_id), float(row.timestamp_seconds), row.reason, deadline)
-                ep.transition(mark, row.next_state, due)
+                ep.advance(t)
+                # a missing time arrives as NaN, which differs from itself
+                deadline = None if d_t is None or d_t != d_t else (int(d_frame), d_t)
+                due = None if w_t is None or w_t != w_t else (int(w_frame), w_t)
+                mark = Mark(int(frame), t, reason, deadline)
+                ep.transition(mark, state, due)
                 ep.settle(mark.frame_id, mark.t)
             if ep is not None:
                 done += taken()

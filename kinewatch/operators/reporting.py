@@ -11,13 +11,17 @@ from kinewatch.operators.slices import MAX_GROUP_ROWS
 from pyspark.sql import Window
 
 
-def ranked_values(df: DataFrame, key: str, value: str, limit: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Distinct values per key with `n` (copies) and `rank` (0-based position of the first copy).
+def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Distinct values per key with `n` (copies), written once: the rows behind them may be a whole cascade."""
+    return cut(df.groupBy(key, value).agg(F.count("*").alias("n")))
 
-    Equal values collapse before the shuffle. A key with very many distinct values is range
-    partitioned, ranked per partition and offset by the counts of the partitions before it.
+
+def ranked_values(counts: DataFrame, key: str, value: str, limit: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Adds `rank` (0-based position of the first copy) to the counts of `value_counts`.
+
+    A key with very many distinct values is range partitioned, ranked per partition and offset by the
+    counts of the partitions before it.
     """
-    counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
     top = counts.groupBy(key).count().agg(F.max("count")).first()[0]
     if top is None or top <= limit:
         w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -43,12 +47,19 @@ def _linear(total: Column, q: float, value: str) -> Column:
     return low + (high - low) * share
 
 
+def _totals(counts: DataFrame, v: str, *more: Column) -> DataFrame:
+    # a null counts as a row, but not in the mean
+    known = F.sum(F.when(F.col(v).isNotNull(), F.col("n")))
+    return counts.groupBy("stage").agg(
+        F.sum("n").alias("count"), F.try_divide(F.sum(F.col(v) * F.col("n")), known).alias("mean_ms"),
+        F.max(v).alias("maximum_ms"), *more)
+
+
 def stage_latency_summary(df: DataFrame, limit: int = MAX_GROUP_ROWS) -> DataFrame:
     """count, mean, p50, p95 and max per stage; percentiles are exact and linear."""
     v = "latency_ms"
-    totals = df.groupBy("stage").agg(F.count("*").alias("count"), F.avg(v).alias("mean_ms"),
-                                     F.max(v).alias("maximum_ms"))
-    ranks = ranked_values(df, "stage", v, limit).join(totals, "stage")
+    counts = value_counts(df, "stage", v)
+    ranks = ranked_values(counts, "stage", v, limit).join(_totals(counts, v), "stage")
     n = F.col("count")
     return ranks.groupBy("stage").agg(
         F.first("count").alias("count"), F.first("mean_ms").alias("mean_ms"),
@@ -63,10 +74,9 @@ def negative_latencies(df: DataFrame) -> DataFrame:
 def nearest_rank_latency(df: DataFrame, limit: int = MAX_GROUP_ROWS) -> DataFrame:
     """mean, median, min, max and the value at position round((n-1)*0.95), half to even."""
     v = "latency_ms"
-    totals = df.groupBy("stage").agg(
-        F.count("*").alias("count"), F.avg(v).alias("mean_ms"), F.min(v).alias("minimum_ms"),
-        F.max(v).alias("maximum_ms"))
-    ranks = ranked_values(df, "stage", v, limit).join(totals, "stage")
+    counts = value_counts(df, "stage", v)
+    totals = _totals(counts, v, F.min(v).alias("minimum_ms"))
+    ranks = ranked_values(counts, "stage", v, limit).join(totals, "stage")
     n = F.col("count")
     return ranks.groupBy("stage").agg(
         F.first("count").alias("count"), F.first("mean_ms").alias("mean_ms"),

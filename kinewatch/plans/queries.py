@@ -67,11 +67,12 @@ def r6(*names: str) -> str:
     return ", ".join(f"round({n}, {FINE.get(n, 6)}) as {n}" for n in names)
 
 
-def cam(spark: SparkSession, sf: str, sparse: bool = True) -> tuple[DataFrame, DataFrame, SL.Slices | None]:
-    """Observations, frames and the slices that their large scopes ask for."""
+def cam(spark: SparkSession, sf: str, sparse: bool = True, gather: bool = True) -> tuple[DataFrame, DataFrame, SL.Slices | None]:
+    """Observations, frames and the slices that their large scopes ask for; scopes gathered unless a sweep does so."""
     obs = X.load(spark, sf, X.SPARSE if sparse else X.TRACKED)
     frames = X.load(spark, sf, X.FRAMES)
-    return obs, frames, SL.plan_slices([obs, frames], SCOPE)
+    w = SL.plan_slices([obs, frames], SCOPE)
+    return (C.together(obs, w), C.together(frames, w), w) if gather else (obs, frames, w)
 
 
 # --- detections ----------------------------------------------------------------------------------
@@ -930,7 +931,7 @@ EVALUATED = f"""select variant || '-' || preset as candidate_id, variant, confid
   false_negative_clips, true_negative_clips, {r6('precision', 'recall', 'specificity', 'f1')}
   from ({O.ratios(EVALUATED, 'candidate_id, variant, confidence_threshold')})""")
 def evaluate_candidates(spark, sf):
-    obs, frames, w = cam(spark, sf)
+    obs, frames, w = cam(spark, sf, gather=False)
     obs = obs.withColumn("confidence", 0.1 + (F.col("detection_id") * 7 % 90) / 100.0)
     clips = frames.select(*SCOPE).distinct().withColumn(
         "expected_fall", F.substring("session_id", 2, 18).cast("long") % 2 == 0)

@@ -107,6 +107,25 @@ def test_percentile_over_many_values_in_several_partitions(spark):
     assert [a.p50_ms, a.p95_ms] == pytest.approx(want) and [b.p50_ms, b.p95_ms] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_latencies_are_read_once(spark, limit):
+    """The rows behind the latencies may be a whole cascade, so each runs through one time only."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [("s", float(v)) for v in (1, 2, 4, 9)] + [("one", 5.0)] * 3 + [("one", None)]
+    for summary in (R.stage_latency_summary, R.nearest_rank_latency):
+        seen.value = 0
+        df = spark.createDataFrame(rows, "stage string, latency_ms double").mapInPandas(passing, "stage string, latency_ms double")
+        got = {r.stage: r for r in summary(df, limit).collect()}
+        assert seen.value == len(rows)
+        assert got["s"].mean_ms == 4.0 and got["one"]["count"] == 4 and got["one"].mean_ms == 5.0
+
+
 def test_throughput_and_fingerprint(spark):
     df = spark.createDataFrame([("detection", 20.0), ("tracking", 0.0), ("review", 1.0)], "stage string, latency_ms double")
     assert [(r.stage, r.per_second) for r in R.stage_throughput(df).collect()] == [("detection", 50.0)]

@@ -12,7 +12,7 @@ from kinewatch.functions.scalars import in_group, strictly_after, transition_rea
 from kinewatch.operators.automaton import evidence_of, next_state
 from kinewatch.operators.geometry import with_bbox_geometry
 from kinewatch.operators.lineage import cut
-from kinewatch.operators.slices import Width, nearest_frame, neighbor, place, shortest, with_halo
+from kinewatch.operators.slices import Width, nearest_frame, neighbor, place, shortest, with_halo, within
 from kinewatch.params import (
     FALLING, RECOVERING, SCOPE, STATES, SUSPECTED, TRACK, UPRIGHT, PostureGroups, Thresholds,
 )
@@ -65,6 +65,7 @@ def smooth_features(features: DataFrame, window: int | Column, width: Width = No
     if min(sizes) <= 0:
         raise ValueError("the smoothing window must be positive")
     part = keys
+    width = within(width, keys)
     if width is not None:
         n = max(sizes) - 1
         features = with_halo(features, keys, T, n, width) if n else (
@@ -186,6 +187,7 @@ def motion_states(signals: DataFrame, th: Thresholds, expiry: DataFrame | None =
     per track, and the slices are folded once more from their known start.
     """
     rows = _timeline(signals, expiry, keys)
+    width = within(width, keys)
     packed = F.array_sort(F.collect_list(F.struct(*_ROW))).alias("rows")
     if width is None:
         done = rows.groupBy(*keys).agg(packed).select(

@@ -9,6 +9,7 @@ into slices of that width. All give equal rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,25 +47,34 @@ GRID, ACCURACY = 64, 4096
 class Slices:
     """Where the large keys are cut: per key an array of pieces, each cut evenly into numbered slices.
 
-    A key without an entry is one slice. No slice is shorter than `at_least`.
+    A key without an entry is one slice. No slice is shorter than `at_least`. Groups of the finer key `whole`, if
+    there is one, have been counted and are all small, so steps within them need no slices.
     """
 
     keys: list[str]
     pieces: DataFrame  # keys, _pieces array<struct<start, width, first, last>>
     at_least: float
+    whole: tuple[str, ...] = ()
 
 
 Width = float | Slices | None
 
 
+def within(width: Width, keys: list[str]) -> Width:
+    """None if all groups of these keys are known to be small, otherwise the width as it is."""
+    return None if isinstance(width, Slices) and width.whole and set(width.whole) <= set(keys) else width
+
+
 def plan_slices(tables: list[DataFrame], keys: list[str], order: str = "timestamp_seconds",
-                at_least: float = SHORTEST_SECONDS, limit: int | None = None) -> Slices | None:
+                at_least: float = SHORTEST_SECONDS, limit: int | None = None,
+                finer: list[str] | None = None) -> Slices | None:
     """None while every key is small enough for one task, otherwise slices of at most `limit` rows.
 
     `tables` share the keys and the order column and are counted together, because what is sorted
     together must fit together. Large keys get quantile sketches of the order column; ranges whose even
     slices still hold too many rows are sketched again on their own, so a dense burst within an idle
-    key is cut as finely as it needs, down to slices of `at_least`.
+    key is cut as finely as it needs, down to slices of `at_least`. `finer` names a longer key of some of the
+    tables: steps within its groups stay whole if a count shows all of them to be small.
     """
     limit = limit or MAX_GROUP_ROWS
     rows = None
@@ -74,7 +84,12 @@ def plan_slices(tables: list[DataFrame], keys: list[str], order: str = "timestam
     large = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys))
     if large.isEmpty():
         return None
-    rows = rows.join(small(large), keys)
+    rows = cut(rows.join(small(large), keys))  # read twice a round
+    whole = ()
+    having = [df.select(*finer) for df in tables if set(finer) <= set(df.columns)] if finer else []
+    if having:
+        groups = functools.reduce(DataFrame.unionByName, having).groupBy(*finer).agg(F.count("*").alias("_n"))
+        whole = tuple(finer) if groups.filter(F.col("_n") > limit).isEmpty() else ()
     done, dense = None, rows.withColumn("_from", F.lit(float("-inf")))
     while True:
         sketch = dense.groupBy(*keys, "_from").agg(
@@ -84,7 +99,7 @@ def plan_slices(tables: list[DataFrame], keys: list[str], order: str = "timestam
         # a piece that was sketched again gives way to what replaces it
         gone = new.select(*keys, F.col("_from").alias("start")).distinct()
         done = new if done is None else cut(done.join(gone, [*keys, "start"], "left_anti").unionByName(new))
-        found = Slices(keys, cut(_numbered(done, keys)), float(at_least))
+        found = Slices(keys, cut(_numbered(done, keys)), float(at_least), whole)
         counts = _placed(rows, found).groupBy(*keys, "_start", "_width", "_slice").agg(F.count("*").alias("n"))
         over = counts.filter((F.col("n") > limit) & (F.col("_width") >= 2 * at_least)).select(
             *keys, F.col("_start").alias("start")).distinct()
@@ -195,6 +210,8 @@ def carry(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[st
     sort = [first, *[F.col(t) for t in tie]]
     upto = 0 if inclusive else -1
 
+    width = within(width, keys)
+
     def over(how: str, col: Column, w) -> Column:
         return {"last": lambda: F.last(col, True), "max": lambda: F.max(col),
                 "sum": lambda: F.sum(col)}[how]().over(w)
@@ -238,6 +255,7 @@ def neighbor(df: DataFrame, keys: list[str], order: str, values: dict[str, Colum
              width: Width = None, *, tie: list[str] | None = None,
              following: bool = False) -> DataFrame:
     """Value of the previous (or following) row of the key; values must not be null."""
+    width = within(width, keys)
     if width is None:
         w = Window.partitionBy(*keys).orderBy(order, *(tie or []))
         shift = F.lead if following else F.lag
@@ -251,6 +269,7 @@ def neighbor(df: DataFrame, keys: list[str], order: str, values: dict[str, Colum
 def with_ordinal(df: DataFrame, keys: list[str], order: str, name: str = "ord",
                  width: Width = None, tie: list[str] | None = None) -> DataFrame:
     """0-based position of each row within its key."""
+    width = within(width, keys)
     if width is None:
         w = Window.partitionBy(*keys).orderBy(order, *(tie or []))
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))

@@ -57,7 +57,8 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
     if level == "detector_only":
         return CascadeResult(detections=detections)
     # a slice must be longer than any duration the states wait for
-    width = plan_slices([detections, frames], SCOPE, at_least=max(SHORTEST_SECONDS, 1.25 * p.thresholds.longest))
+    finer = TRACK if "track_id" in detections.columns else None
+    width = plan_slices([detections, frames], SCOPE, at_least=max(SHORTEST_SECONDS, 1.25 * p.thresholds.longest), finer=finer)
     if "track_id" in detections.columns:
         obs = detections
     else:

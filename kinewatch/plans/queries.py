@@ -71,7 +71,7 @@ def cam(spark: SparkSession, sf: str, sparse: bool = True, gather: bool = True)
     """Observations, frames and the slices that their large scopes ask for; scopes gathered unless a sweep does so."""
     obs = X.load(spark, sf, X.SPARSE if sparse else X.TRACKED)
     frames = X.load(spark, sf, X.FRAMES)
-    w = SL.plan_slices([obs, frames], SCOPE)
+    w = SL.plan_slices([obs, frames], SCOPE, finer=TRACK)
     return (C.together(obs, w), C.together(frames, w), w) if gather else (obs, frames, w)
 
 
@@ -253,9 +253,9 @@ BURST_LIMIT = 300  # rows of a slice, small enough for the burst to be cut at ev
 
 
 def burst(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, SL.Slices]:
-    """A camera whose rows nearly all lie within 20 s, on slices."""
+    """A camera whose rows nearly all lie within 20 s, on slices; its tracks stay whole while they are small."""
     obs, frames = X.load(spark, sf, X.BURST), X.load(spark, sf, X.BURST_FRAMES)
-    return obs, frames, SL.plan_slices([obs, frames], SCOPE, limit=BURST_LIMIT)
+    return obs, frames, SL.plan_slices([obs, frames], SCOPE, limit=BURST_LIMIT, finer=TRACK)
 
 
 @query("burst_transitions", f"""{O.ctes(*O.motion(X.BURST, frames=X.BURST_FRAMES))}

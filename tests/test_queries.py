@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from kinewatch.operators import slices
+from kinewatch.operators import motion, slices
+from kinewatch.plans import queries as plans
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,17 @@ def test_query_on_slices(spark, con, name, monkeypatch):
     monkeypatch.setattr(slices, "MAX_GROUP_ROWS", 20)
     df = entry.queries()[name](spark, SF)
     assert difference(df, con, entry.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+@pytest.mark.parametrize("name", ["burst_transitions", "burst_features"])
+def test_tracks_of_a_large_camera(spark, con, monkeypatch, name, limit):
+    """Tracks that a count shows to be small stay whole in a camera that is cut; larger ones are cut too."""
+    cuts = []
+    for module in (motion, slices):
+        monkeypatch.setattr(module, "place", lambda df, *args, place=module.place: cuts.append(df.columns) or place(df, *args))
+    if limit:
+        monkeypatch.setattr(plans, "BURST_LIMIT", limit)
+    df = entry.queries()[name](spark, SF)
+    assert difference(df, con, entry.oracle_sql()[name]) is None
+    assert any("track_id" in columns for columns in cuts) == bool(limit)

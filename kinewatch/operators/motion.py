@@ -91,21 +91,27 @@ def monotonicity_violations(df: DataFrame, keys: list[str], width: Width = None)
     return out.filter(F.col(T) <= F.col("previous_timestamp"))
 
 
-def with_signals(features: DataFrame, groups: PostureGroups, th: Thresholds) -> DataFrame:
+def with_postures(obs: DataFrame, groups: PostureGroups) -> DataFrame:
+    """What the class name alone says; a sweep asks it before its candidates multiply the rows."""
     name = F.col("class_name")
+    return obs.withColumns({"falling_posture": in_group(name, groups.fall), "lying_posture": in_group(name, groups.lying),
+                            "_upright": in_group(name, groups.upright)})
+
+
+def with_signals(features: DataFrame, groups: PostureGroups, th: Thresholds) -> DataFrame:
+    if "_upright" not in features.columns:
+        features = with_postures(features, groups)
     aspect = F.col("aspect_ratio_width_over_height")
-    falling, lying = in_group(name, groups.fall), in_group(name, groups.lying)
+    falling, lying = F.col("falling_posture"), F.col("lying_posture")
     ratio = aspect >= th.aspect_ratio_fall_min
     speed = F.col("vertical_speed_frame_height_per_second") >= th.vertical_speed_min
     return features.withColumns({
         "ratio_signal": ratio,
         "speed_signal": speed,
-        "falling_posture": falling,
-        "lying_posture": lying,
         "fall_signal": ratio | speed | falling | lying,
         "candidate_trigger": speed | falling,
-        "upright_signal": in_group(name, groups.upright) & (aspect <= th.upright_aspect_ratio_max),
-    })
+        "upright_signal": F.col("_upright") & (aspect <= th.upright_aspect_ratio_max),
+    }).drop("_upright")
 
 
 def track_expiry(obs: DataFrame, frames: DataFrame, timeout: float | Column,

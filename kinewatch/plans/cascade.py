@@ -103,12 +103,13 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
         upright_aspect_ratio_max=F.col("upright_aspect_ratio_max"),
         suspect_duration=F.col("suspect_duration"), lying_duration=F.col("lying_duration"),
         longest=spec.longest)
-    keys = [*TRACK, "candidate_id", "suspect_duration", "lying_duration", "track_timeout"]
+    # a session's name tells more rows apart than its source's, so sorts look at it first
+    keys = [*reversed(SCOPE), "track_id", "candidate_id", "suspect_duration", "lying_duration", "track_timeout"]
     fits = obs["confidence"] >= grid["confidence_threshold"]
     for c in own:
         fits = fits & (obs[c] == grid[c])
     # before the grid multiplies the rows
-    obs, frames = together(obs, width), together(frames, width)
+    obs, frames = together(M.with_postures(obs, groups), width), together(frames, width)
     each = obs.join(small(grid), fits)
     for c in own:
         each = each.drop(grid[c])

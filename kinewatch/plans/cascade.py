@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from types import SimpleNamespace
 from typing import NamedTuple
 
@@ -32,9 +33,19 @@ class CascadeResult(NamedTuple):
     keyframes: DataFrame | None = None
 
 
-def together(df: DataFrame, width: Width = None) -> DataFrame:
-    """Moves the rows of a scope to one task where scopes are small, so that the steps after it need not move them again."""
-    return df.repartition(*SCOPE) if width is None else df
+#: Rows that a task takes through all steps of the cascade; its sorts hold them in memory at the same time.
+ROWS_A_TASK = 250_000
+
+
+def together(obs: DataFrame, frames: DataFrame, width: Width = None, times: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Moves the rows of a scope to one task where scopes are small, so that the steps after it need not move them again.
+
+    The number of tasks grows with the observations, each of which becomes up to `times` rows.
+    """
+    if width is not None:
+        return obs, frames
+    n = max(obs.sparkSession.sparkContext.defaultParallelism, math.ceil(obs.count() * times / ROWS_A_TASK))
+    return obs.repartition(n, *SCOPE), frames.repartition(n, *SCOPE)
 
 
 def motion_signals(obs: DataFrame, p: CascadeParams = CascadeParams(),
@@ -66,7 +77,7 @@ def run_cascade(frames: DataFrame, detections: DataFrame, p: CascadeParams = Cas
             detections, tracking, association_width(detections, tracking)), detections)
     if level == "detector_tracking":
         return CascadeResult(detections, obs)
-    obs, frames = together(obs, width), together(frames, width)
+    obs, frames = together(obs, frames, width)
     signals = motion_signals(obs, p, width)
     transitions = transitions_of(obs, frames, p, width)
     log = E.fall_events(transitions, frames, p.events, width)
@@ -95,7 +106,7 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
     every = candidates.select("candidate_id", *own, *SWEPT)
     grid = every.groupBy(*own, *SWEPT).agg(F.min("candidate_id").alias("candidate_id"))
     same = every.join(grid.withColumnRenamed("candidate_id", "_first"), [*own, *SWEPT]).select("candidate_id", "_first")
-    spec = grid.agg(F.sort_array(F.collect_set("smoothing_window")).alias("sizes"), F.max(
+    spec = grid.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("smoothing_window")).alias("sizes"), F.max(
         F.greatest("suspect_duration", "lying_duration")).alias("longest")).first()
     th = SimpleNamespace(
         aspect_ratio_fall_min=F.col("aspect_ratio_fall_min"),
@@ -109,7 +120,7 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
     for c in own:
         fits = fits & (obs[c] == grid[c])
     # before the grid multiplies the rows
-    obs, frames = together(M.with_postures(obs, groups), width), together(frames, width)
+    obs, frames = together(M.with_postures(obs, groups), frames, width, spec.n)
     each = obs.join(small(grid), fits)
     for c in own:
         each = each.drop(grid[c])

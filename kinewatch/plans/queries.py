@@ -72,7 +72,7 @@ def cam(spark: SparkSession, sf: str, sparse: bool = True, gather: bool = True)
     obs = X.load(spark, sf, X.SPARSE if sparse else X.TRACKED)
     frames = X.load(spark, sf, X.FRAMES)
     w = SL.plan_slices([obs, frames], SCOPE, finer=TRACK)
-    return (C.together(obs, w), C.together(frames, w), w) if gather else (obs, frames, w)
+    return (*C.together(obs, frames, w), w) if gather else (obs, frames, w)
 
 
 # --- detections ----------------------------------------------------------------------------------

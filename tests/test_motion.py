@@ -181,3 +181,11 @@ def test_a_sweep_moves_observations_once(spark):
     moved = [line for line in plan.split("\n")
              if "Exchange hashpartitioning" in line and "candidate_id#" in line and "track_id#" in line]
     assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]
+
+
+def test_tasks_grow_with_the_observations(spark, monkeypatch):
+    obs, frames = tables(spark, range(2))
+    monkeypatch.setattr(C, "ROWS_A_TASK", 10)
+    want = -(-obs.count() * 3 // 10)
+    assert [df.rdd.getNumPartitions() for df in C.together(obs, frames, None, 3)] == [want, want]
+    assert C.together(obs, frames, 4.0) == (obs, frames)

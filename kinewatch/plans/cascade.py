@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinewatch.operators import episodes as E
 from kinewatch.operators import motion as M
+from kinewatch.operators.lineage import cut
 from kinewatch.operators.protocol import clip_metrics
 from kinewatch.operators.slices import SHORTEST_SECONDS, Width, plan_slices, small
 from kinewatch.operators.tracking import associate_tracks, association_width
@@ -40,10 +41,14 @@ ROWS_A_TASK = 250_000
 def together(obs: DataFrame, frames: DataFrame, width: Width = None, times: int = 1) -> tuple[DataFrame, DataFrame]:
     """Moves the rows of a scope to one task where scopes are small, so that the steps after it need not move them again.
 
-    The number of tasks grows with the observations, each of which becomes up to `times` rows.
+    The number of tasks grows with the observations, each of which becomes up to `times` rows. Both tables are written
+    and read back first: a plan that holds the cascade twice moves such rows once, and Spark compares where the sides
+    of a union lie by column names that include a table's alias. Left in, the alias makes sides that were planned to
+    lie alike look apart when the plan runs, and the rows of one track end up in two groups.
     """
     if width is not None:
         return obs, frames
+    obs, frames = cut(obs), cut(frames)
     n = max(obs.sparkSession.sparkContext.defaultParallelism, math.ceil(obs.count() * times / ROWS_A_TASK))
     return obs.repartition(n, *SCOPE), frames.repartition(n, *SCOPE)
 
@@ -116,11 +121,11 @@ def candidate_events(obs: DataFrame, frames: DataFrame, candidates: DataFrame,
         longest=spec.longest)
     # a session's name tells more rows apart than its source's, so sorts look at it first
     keys = [*reversed(SCOPE), "track_id", "candidate_id", "suspect_duration", "lying_duration", "track_timeout"]
+    # before the grid multiplies the rows
+    obs, frames = together(M.with_postures(obs, groups), frames, width, spec.n)
     fits = obs["confidence"] >= grid["confidence_threshold"]
     for c in own:
         fits = fits & (obs[c] == grid[c])
-    # before the grid multiplies the rows
-    obs, frames = together(M.with_postures(obs, groups), frames, width, spec.n)
     each = obs.join(small(grid), fits)
     for c in own:
         each = each.drop(grid[c])

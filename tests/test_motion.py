@@ -189,3 +189,15 @@ def test_tasks_grow_with_the_observations(spark, monkeypatch):
     want = -(-obs.count() * 3 // 10)
     assert [df.rdd.getNumPartitions() for df in C.together(obs, frames, None, 3)] == [want, want]
     assert C.together(obs, frames, 4.0) == (obs, frames)
+
+
+def test_tables_of_one_run_keep_their_rows_in_one_plan(spark):
+    """Events, reviews and transitions counted in one plan, over tables that are subqueries, as each counted alone."""
+    from kinewatch.operators.reporting import run_summary
+
+    obs, frames = [spark.sql("select * from (select 'at-' || source_id as source_id, * except (source_id) from {t})", t=t)
+                   for t in tables(spark, range(6))]
+    run = C.run_cascade(frames, obs, P)
+    alone = {"events": run.events.count(), "alerts": run.reviews.count(), "transitions": run.transitions.count()}
+    assert min(alone.values()) > 0
+    assert {r.kind: r.rows for r in run_summary(run.events, run.reviews, run.transitions).collect()} == alone

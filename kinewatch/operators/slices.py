@@ -29,14 +29,15 @@ def slice_width(df: DataFrame, keys: list[str], order: str = "timestamp_seconds"
     """None while every key is small enough for one task, otherwise a width for the densest one.
 
     The width gives slices of about half the limit. One aggregation over the key columns and the
-    order column; it combines before the shuffle.
+    order column; it combines before the shuffle. None as well if no large key is as long as a slice
+    of `at_least` would be.
     """
     limit = limit or MAX_GROUP_ROWS
     sizes = df.groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max(order) - F.min(order)).cast("double").alias("span"))
-    width = sizes.filter(F.col("n") > limit).agg(
-        F.min(F.col("span") * limit / (2 * F.col("n")))).first()[0]
-    return None if width is None else max(width, float(at_least))
+    width, longest = sizes.filter(F.col("n") > limit).agg(
+        F.min(F.col("span") * limit / (2 * F.col("n"))), F.max("span")).first()
+    return None if width is None or longest < at_least else max(width, float(at_least))
 
 
 #: Points of a quantile sketch, and how finely it tells ranks apart.

@@ -27,6 +27,10 @@ SECOND_STAGE_COST = 0.5
 MATCH_BONUS = 1e-4
 #: Track x box cells that are compared at once.
 CELLS = 1 << 20
+#: Tracks of a block at most; larger ones lie farther apart and meet more boxes.
+BLOCK = 64
+#: Edges of a row that are sorted before a path asks for more.
+LISTED = 16
 
 
 def repair_timestamps(frames: DataFrame, fps: float | None, width: float | None = None,
@@ -99,106 +103,157 @@ def track_names(frame: int, place: np.ndarray) -> np.ndarray:
     return (spread(base + place.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
-def best_pairs(rows: np.ndarray, cols: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def kinds(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each kind of equal rows, and the kind of each row."""
+    order = np.lexsort(values.T)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[order[1:]] != values[order[:-1]]).any(axis=1)
+    kind = np.empty(len(values), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    return order[fresh], kind
+
+
+def best_pairs(rows: np.ndarray, cols: np.ndarray, gain: np.ndarray, row_kind: np.ndarray | None = None,
+               col_kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of the edges (row, column, gain above 0) the pairs of largest total gain that use no row and no column twice.
 
-    Edges that meet no other are taken at once. The rest falls into connected components, each solved by shortest
-    augmenting paths. Only edges are held, never a matrix. Equal totals: always the same pairs for the same order of rows.
+    With `row_kind` and `col_kind`, the kind of each row and column, edges name kinds and hold for all of them. Edges that
+    meet no other are taken at once, the rest by shortest augmenting paths. Only edges are held, never a matrix. Equal
+    totals: always the same pairs for the same order of edges.
     """
-    order = np.lexsort((cols, rows))
-    rows, cols, gain = rows[order], cols[order], gain[order]
     if not len(rows):
         return rows, cols
-    r_names, r = np.unique(rows, return_inverse=True)
-    c_names, c = np.unique(cols, return_inverse=True)
-    alone = (np.bincount(r)[r] == 1) & (np.bincount(c)[c] == 1)
-    found_r, found_c = [r[alone]], [c[alone]]
-    r, c, gain = r[~alone], c[~alone], gain[~alone]
-    group = _components(r, c, len(r_names))
-    by_group = np.argsort(group, kind="stable")
-    for part in np.split(by_group, np.flatnonzero(np.diff(group[by_group])) + 1) if len(r) else []:
-        own_r, i = np.unique(r[part], return_inverse=True)
-        own_c, j = np.unique(c[part], return_inverse=True)
-        match = _augment(np.searchsorted(i, np.arange(len(own_r) + 1)), j, -gain[part], len(own_c))
-        some = np.flatnonzero(match >= 0)
-        found_r.append(own_r[some])
-        found_c.append(own_c[match[some]])
+    rows_of, cols_of = _members(row_kind, rows), _members(col_kind, cols)
+    alone = ((np.bincount(rows)[rows] == 1) & (np.bincount(cols)[cols] == 1)
+             & (rows_of.size[rows] == 1) & (cols_of.size[cols] == 1))
+    found_r, found_c = [rows_of.first[rows[alone]]], [cols_of.first[cols[alone]]]
+    rows, cols, gain = rows[~alone], cols[~alone], gain[~alone]
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        rows, cols, gain = rows[order], cols[order], gain[order]
+        some_r, some_c = np.flatnonzero(np.bincount(rows)), np.flatnonzero(np.bincount(cols))
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)]])
+        place = np.zeros(some_c[-1] + 1, np.int64)
+        place[some_c] = np.arange(len(some_c))
+        each_r, kind = rows_of.every(some_r)
+        match = _augment(starts, place[cols], -gain, kind, cols_of.size[some_c])
+        each_c, taken = cols_of.every(some_c)
+        # the rows that share a kind of columns take them one by one
+        paired = np.argsort(match, kind="stable")[np.count_nonzero(match < 0):]
+        nth = np.arange(len(paired)) - np.searchsorted(match[paired], match[paired])
+        found_r.append(each_r[paired])
+        found_c.append(each_c[np.searchsorted(taken, match[paired]) + nth])
     out_r, out_c = np.concatenate(found_r), np.concatenate(found_c)
     order = np.argsort(out_r)
-    return r_names[out_r[order]], c_names[out_c[order]]
-
-
-def _components(r: np.ndarray, c: np.ndarray, n_rows: int) -> np.ndarray:
-    """Component of each edge: the smallest row reached, spread over shared rows and columns with doubling steps."""
-    label = np.arange(n_rows)
-    while len(r):
-        by_col = np.full(int(c.max()) + 1, n_rows)
-        np.minimum.at(by_col, c, label[r])
-        new = label.copy()
-        np.minimum.at(new, r, by_col[c])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label[r]
+    return out_r[order], out_c[order]
+
+
+class _members:
+    """The members of each kind, by kind and then by place; without kinds everything is a kind of its own."""
 
+    def __init__(self, kind: np.ndarray | None, used: np.ndarray) -> None:
+        kind = np.arange(int(used.max()) + 1) if kind is None else kind
+        self.size = np.bincount(kind)
+        self.order = np.argsort(kind, kind="stable")
+        self.at = np.cumsum(self.size) - self.size
+        self.first = self.order[np.minimum(self.at, len(kind) - 1)]
 
-def _augment(first: np.ndarray, cols: np.ndarray, cost: np.ndarray, n_cols: int) -> np.ndarray:
+    def every(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All members of some kinds, and which of these kinds each belongs to."""
+        nth = np.repeat(np.arange(len(some)), self.size[some])
+        before = np.cumsum(self.size[some]) - self.size[some]
+        return self.order[self.at[some][nth] + np.arange(len(nth)) - before[nth]], nth
+
+
+def _augment(first: np.ndarray, cols: np.ndarray, cost: np.ndarray, kind: np.ndarray, room: np.ndarray) -> np.ndarray:
     """Column of each row, or -1, at least total cost; a row may stay alone at cost 0.
 
+    `kind` names the edges of each row, cols[first[k]:first[k + 1]], `room` says how many rows a column takes.
     Row after row is added along the cheapest path of changes, found by Dijkstra's method on reduced costs; the path may
-    end at a free column or by leaving one of its rows alone. A path costs what it touches, not the number of columns.
+    end at a column with room or by leaving one of its rows alone. A kind's edges are looked at cheapest first, up to
+    what a path may still cost: only `LISTED` of them are sorted at first, more if a path asks for them. Prices of
+    columns only fall, so a sorted value is never above the present one and later edges of the list can be left out. Of
+    rows of one kind a path looks at the first.
     """
-    n = len(first) - 1
-    u, v = np.zeros(n), np.zeros(n_cols)
-    col_of, row_of = np.full(n, -1), np.full(n_cols, -1)
-    far, via, open_ = np.full(n_cols, np.inf), np.full(n_cols, -1), np.ones(n_cols, bool)
-    reached: list[np.ndarray] = []
+    n, inf = len(kind), float("inf")
+    bounds, kind, room = first.tolist(), kind.tolist(), room.tolist()
+    u, v, prices = [0.0] * n, [0.0] * len(room), np.zeros(len(room))
+    col_of: list[int] = [-1] * n
+    held: list[list[int]] = [[] for _ in room]
+    listed: list[list[tuple[float, float, int]]] = [[] for _ in range(len(bounds) - 1)]
+    beyond = [-inf] * len(listed)  # no edge that isn't listed is below
+
+    def look_further(k: int) -> None:
+        js, own = cols[bounds[k]:bounds[k + 1]], cost[bounds[k]:bounds[k + 1]]
+        now, want = own - prices[js], max(LISTED, 2 * len(listed[k]))
+        if want < len(js):
+            some = np.argpartition(now, want)
+            beyond[k] = float(now[some[want]])
+            some = np.sort(some[:want])
+        else:
+            beyond[k], some = inf, np.arange(len(js))
+        some = some[np.argsort(now[some], kind="stable")]
+        listed[k] = list(zip(now[some].tolist(), own[some].tolist(), js[some].tolist()))
+
     for start in range(n):
-        for js in reached:
-            far[js], open_[js] = np.inf, True
-        reached, heap = [], []
-        row, way, seen_rows, seen_cols = start, 0.0, [start], []
-        alone, last = np.inf, -1
+        far: dict[int, float] = {}
+        via: dict[int, int] = {}
+        seen: dict[int, float] = {}  # kinds looked at, and from where
+        left: list[tuple[int, float]] = []
+        heap: list[tuple[float, int]] = []
+        best, last, end = inf, -1, -1
+        way, here = 0.0, (start,)
         while True:
-            if way - u[row] < alone:
-                alone, last = way - u[row], row
-            js = cols[first[row]:first[row + 1]]
-            to = way + cost[first[row]:first[row + 1]] - u[row] - v[js]
-            better = open_[js] & (to < np.minimum(far[js], alone))  # beyond `alone` no path goes
-            js, to = js[better], to[better]
-            far[js], via[js] = to, row
-            reached.append(js)
-            for entry in zip(to.tolist(), js.tolist()):
-                heapq.heappush(heap, entry)
-            while heap and not (open_[heap[0][1]] and heap[0][0] == far[heap[0][1]]):
+            for row in here:
+                base, k = way - u[row], kind[row]
+                if base >= seen.get(k, inf):
+                    continue
+                seen[k] = base
+                if base < best:
+                    best, last, end = base, row, -1
+                while True:
+                    for least, own, j in listed[k]:
+                        if base + least >= best:
+                            break
+                        to = base + (own - v[j])
+                        if to < best and to < far.get(j, inf):
+                            far[j], via[j] = to, row
+                            if room[j]:
+                                best, end = to, j
+                            else:
+                                heapq.heappush(heap, (to, j))
+                    if base + beyond[k] >= best:
+                        break
+                    look_further(k)
+            while heap and heap[0][0] != far[heap[0][1]]:
                 heapq.heappop(heap)  # the column was left, or reached at less since
-            if not heap or heap[0][0] >= alone:
-                way, end = alone, -1
+            if not heap or heap[0][0] >= best:
                 break
-            way, next_ = heapq.heappop(heap)
-            open_[next_] = False
-            if row_of[next_] < 0:
-                end = next_
-                break
-            seen_cols.append(next_)
-            row = row_of[next_]
-            seen_rows.append(row)
-        u[start] += way
-        for j, i in zip(seen_cols, seen_rows[1:]):
-            u[i] += way - far[j]
-            v[j] -= way - far[j]
-        if end < 0:  # the last row of the path gives its column up
-            if last == start:
-                continue
+            way, j = heapq.heappop(heap)
+            far[j] = -inf
+            left.append((j, way))
+            here = held[j]
+        u[start] += best
+        for j, at in left:
+            v[j] -= best - at
+            prices[j] = v[j]
+            for row in held[j]:
+                u[row] += best - at
+        if end >= 0:
+            room[end] -= 1
+        elif last == start:
+            continue
+        else:  # the last row of the path gives its column up
             end, col_of[last] = col_of[last], -1
+            held[end].remove(last)
         while True:
             row = via[end]
-            row_of[end] = row
+            held[end].append(row)
             end, col_of[row] = col_of[row], end
             if row == start:
                 break
-    return col_of
+            held[end].remove(row)
+    return np.array(col_of)
 
 
 class Associator:
@@ -213,9 +268,8 @@ class Associator:
 
     @staticmethod
     def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        lo = np.maximum(a[:, None, :2], b[None, :, :2])
-        hi = np.minimum(a[:, None, 2:], b[None, :, 2:])
-        inter = np.clip(hi - lo, 0, None).prod(axis=2)
+        sides = [np.minimum(a[:, None, i + 2], b[None, :, i + 2]) - np.maximum(a[:, None, i], b[None, :, i]) for i in (0, 1)]
+        inter = np.clip(sides[0], 0, None) * np.clip(sides[1], 0, None)
         area = lambda x: (x[:, 2:] - x[:, :2]).prod(axis=1)
         total = area(a)[:, None] + area(b)[None, :] - inter
         return np.where(total > 0, inter / np.where(total > 0, total, 1), 0.0)
@@ -224,17 +278,25 @@ class Associator:
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Track, box and cost of the pairs within the limit.
 
-        Tracks go from left to right in blocks, so a crowded frame needs no whole matrix; below a
-        cost of 1 only boxes that reach into a block's range of x can be within the limit.
+        Tracks go in blocks that lie close to each other, strip by strip and from left to right, so a crowded frame needs
+        no whole matrix. Below a cost of 1 a pair shares at least a part of the box's width and height, which its
+        weight tells; only boxes that reach so far into a block can be within the limit.
         """
-        by_left = np.argsort(self.boxes[tracks, 0], kind="stable")
-        step, found = max(1, CELLS // len(boxes)), []
+        step = max(1, min(BLOCK, CELLS // len(boxes)))
+        own = self.boxes[tracks]
+        strips = math.ceil(math.sqrt(len(tracks) / step))
+        strip = np.empty(len(tracks), np.int64)
+        strip[np.argsort(own[:, 1], kind="stable")] = np.arange(len(tracks)) * strips // len(tracks)
+        close = np.lexsort((own[:, 0], strip))
+        if limit < 1:  # a little less than the share, for rounding
+            part = 0.99 * ((1 - limit) / np.maximum(weight, 1 - limit))[:, None] * (boxes[:, 2:] - boxes[:, :2])
+        found = []
         for at in range(0, len(tracks), step):
-            block = by_left[at:at + step]
-            own = self.boxes[tracks[block]]
+            block = close[at:at + step]
             near = np.arange(len(boxes)) if limit >= 1 else np.nonzero(
-                (boxes[:, 0] < np.fmax.reduce(own[:, 2])) & (boxes[:, 2] > np.fmin.reduce(own[:, 0])))[0]
-            cost = 1.0 - self._iou(own, boxes[near]) * weight[near][None, :]
+                ((np.fmax.reduce(own[block, 2:]) - boxes[:, :2] >= part)
+                 & (boxes[:, 2:] - np.fmin.reduce(own[block, :2]) >= part)).all(axis=1))[0]
+            cost = 1.0 - self._iou(own[block], boxes[near]) * weight[near][None, :]
             r, c = np.nonzero(cost <= limit)
             found.append((block[r], near[c], cost[r, c]))
         return tuple(np.concatenate(part) for part in zip(*found))
@@ -264,17 +326,19 @@ class Associator:
             if not len(dets) or not len(tracks):
                 continue
             weight = scores[dets] if fuse else np.ones(len(dets))
-            r, c, cost = self._near(tracks, boxes[dets], weight, limit)
-            for r, c in zip(*best_pairs(r, c, limit + MATCH_BONUS - cost)):
-                t, d = tracks[r], dets[c]
-                self.boxes[t], self.seen[t], taken[d] = boxes[d], frame, True
-                self.hits[t] = min(self.hits[t] + 1, self.p.minimum_consecutive_frames)
-                if self.hits[t] >= self.p.minimum_consecutive_frames:
-                    ids[d] = self.ids[t]
-        born = [d for d in strong if not taken[d]
-                and scores[d] >= self.p.track_activation_threshold + NEW_TRACK_MARGIN]
-        if born:
-            new = track_names(frame, np.array(born))
+            # equal tracks have equal pairs, and so have equal boxes of equal weight
+            one_track, track_kind = kinds(self.boxes[tracks])
+            one_box, box_kind = kinds(np.column_stack([boxes[dets], weight]))
+            r, c, cost = self._near(tracks[one_track], boxes[dets[one_box]], weight[one_box], limit)
+            r, c = best_pairs(r, c, limit + MATCH_BONUS - cost, track_kind, box_kind)
+            t, d = tracks[r], dets[c]
+            self.boxes[t], self.seen[t], taken[d] = boxes[d], frame, True
+            self.hits[t] = np.minimum(self.hits[t] + 1, self.p.minimum_consecutive_frames)
+            known = self.hits[t] >= self.p.minimum_consecutive_frames
+            ids[d[known]] = self.ids[t[known]]
+        born = strong[~taken[strong] & (scores[strong] >= self.p.track_activation_threshold + NEW_TRACK_MARGIN)]
+        if len(born):
+            new = track_names(frame, born)
             self.boxes = np.vstack([self.boxes, boxes[born]])
             self.ids = np.concatenate([self.ids, new])
             self.seen = np.concatenate([self.seen, np.full(len(born), frame)])
@@ -291,7 +355,7 @@ SEED, WARM, OWN = 0, 1, 2
 
 def association_width(detections: DataFrame, params: TrackingParams = TrackingParams()
                       ) -> int | None:
-    """Slice width in frames for the busiest scope, None while no scope needs slices."""
+    """Slice width in frames for the busiest scope, None while no scope needs slices or none is longer than one."""
     width = slice_width(detections, SCOPE, "frame_id", 2 * params.lost_track_buffer + 1)
     return None if width is None else math.ceil(width)
 
@@ -411,7 +475,10 @@ def _follow(rows: DataFrame, params: TrackingParams, width: int | None) -> DataF
     schema = (", ".join(f"{c} {types[c]}" for c in PIECE)
               + f", kind string, frame_id long, detection_id {types['detection_id']}, track_id long, "
               + ", ".join(f"{b} double" for b in BOX) + ", _seen long, _hits long, _pos long")
-    ordered = rows.repartition(*PIECE).sortWithinPartitions(
+    # few pieces may hold long work, so tasks stay more than cores and are not put together by their bytes
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    ordered = rows.repartition(tasks, *PIECE).sortWithinPartitions(
         *PIECE, "frame_id", "_kind", "_pos", "detection_id")
     step_by = [*PIECE, "frame_id", "_kind"]
 

@@ -195,3 +195,60 @@ def test_a_path_costs_what_it_touches(monkeypatch):
     r, c = TR.best_pairs(rows, cols, np.tile([0.5, 0.6], n))
     assert (r == np.arange(n)).all() and (c == r + 1).all()
     assert len(calls) < 20
+
+
+def test_pairs_between_kinds_are_as_good_as_between_members():
+    rng = np.random.default_rng(6)
+    for turn in range(60):
+        row_kind = rng.permutation(np.r_[np.arange(4), rng.integers(0, 4, rng.integers(0, 25))])
+        col_kind = rng.permutation(np.r_[np.arange(5), rng.integers(0, 5, rng.integers(0, 25))])
+        r, c = np.nonzero(rng.random((4, 5)) < 0.6)
+        gain = rng.choice([0.25, 0.5, 0.75, rng.random()], len(r))
+        if not len(r):
+            continue
+        at = {(a, b): g for a, b, g in zip(r.tolist(), c.tolist(), gain.tolist())}
+        edges = [(i, j, at[a, b]) for i, a in enumerate(row_kind.tolist()) for j, b in enumerate(col_kind.tolist()) if (a, b) in at]
+        pr, pc = TR.best_pairs(r, c, gain, row_kind, col_kind)
+        assert len(set(pr)) == len(pr) and len(set(pc)) == len(pc)
+        got = sum(at[e] for e in zip(row_kind[pr].tolist(), col_kind[pc].tolist()))
+        n, m = len(row_kind), len(col_kind)
+        plain = [np.array(x) for x in zip(*edges)] or [np.zeros(0, int)] * 3
+        qr, qc = TR.best_pairs(*plain)
+        every = {(i, j): g for i, j, g in edges}
+        want = sum(every[e] for e in zip(qr.tolist(), qc.tolist()))
+        assert got == pytest.approx(want, abs=1e-9) and (not edges or want <= dual_bound(*plain, n, m, 200) + 1e-9), turn
+
+
+def test_copies_of_boxes_meet_as_kinds(monkeypatch):
+    """50 places with 40 equal boxes each: pairs are found between places, and every copy goes on as a track."""
+    counts, plain = [], TR.best_pairs
+    monkeypatch.setattr(TR, "best_pairs", lambda r, *rest: (counts.append(len(r)), plain(r, *rest))[1])
+    x = np.repeat(np.arange(50) * 4.0, 40)
+    boxes = np.stack([x, x * 0, x + 20, x * 0 + 20], axis=1)
+    one = TR.Associator(TrackingParams())
+    first = one.step(0, boxes, np.full(2000, 0.9))
+    again = one.step(1, boxes[::-1], np.full(2000, 0.9))
+    assert sorted(first) == sorted(again) and len(set(first)) == 2000
+    assert max(counts) <= 50 * 50
+
+
+def test_boxes_far_below_a_block_are_not_compared(monkeypatch):
+    """Boxes in one column of the picture: a block meets those at its height."""
+    cells, plain = [], TR.Associator._iou
+    monkeypatch.setattr(TR.Associator, "_iou", staticmethod(lambda a, b: (cells.append(len(a) * len(b)), plain(a, b))[1]))
+    y = np.arange(3000) * 5.0
+    boxes = np.stack([y * 0, y, y * 0 + 50, y + 20], axis=1)
+    one = TR.Associator(TrackingParams())
+    first = one.step(0, boxes, np.full(3000, 0.9))
+    assert (one.step(1, boxes, np.full(3000, 0.9)) == first).all()
+    assert sum(cells) < 3000 * 300
+
+
+def test_a_busy_scope_of_few_frames_is_not_cut(spark, monkeypatch):
+    from kinewatch.operators import slices
+
+    monkeypatch.setattr(slices, "MAX_GROUP_ROWS", 20)
+    rows = [det(f, f"{f}-{k}", (k * 50, 0, k * 50 + 40, 40)) for f in range(7) for k in range(10)]
+    assert TR.association_width(spark.createDataFrame(rows, DET)) is None
+    rows += [det(f, f"{f}-{k}", (k * 50, 0, k * 50 + 40, 40)) for f in range(60, 90) for k in range(10)]
+    assert TR.association_width(spark.createDataFrame(rows, DET)) is not None
